@@ -99,6 +99,21 @@ def encode_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Ar
     return np.asarray(coded.indices, dtype=np.int64), coded.dictionary, starts
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 6 << 20):
+    """Parts of a batch with some `most` bytes of text each (a longer text alone), so memory doesn't follow the batch."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    part = np.cumsum(np.asarray(lengths, np.int64)) // most
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def sliced(batches, column: int):
+    for batch in batches:
+        yield from slices(batch, column)
+
+
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Each text's distinct n-word shingles as sorted 64-bit hashes; with fewer words, the whole sequence as one."""
     codes, dictionary, starts = encode_words(texts)

@@ -5,9 +5,13 @@ most k elements, so if the domain of shingle hashes is cut into k + 1 ranges, th
 for a range is a hash of the elements it has there; sets that agree on a range share that signature. Bands overlap so that every
 pair of sizes that the threshold admits has a band in common.
 
-Sets that share a signature aren't paired with each other: each is paired with the least id of its bucket (a star), the distinct
-pairs are verified on the full sets, and links are merged into components. Only where a bucket then still holds several components
-are members of different components compared: component heads first, the rest last. So no link between different sets is lost.
+Sets that share a signature aren't paired with each other: each is paired with the least id of its bucket, the head of a star; the
+distinct pairs are verified on the full sets, and links are merged into components. Where a bucket's members then still lie in
+several components, let D(x) be the elements in which x differs from the head. If x and y aren't both linked to the head, a link
+between them needs an element in D(x) and D(y) both (otherwise their difference is |D(x)| + |D(y)|, which is over the threshold's as
+soon as one of them alone is). So (head, element of D) are the buckets of the next round, again with stars, until nothing is open.
+Copies with edits of their own share no such element, so a large group of them costs its number of edits, not its square, and no
+link between different sets is lost.
 
 Ranges that hold nothing are common to unrelated sets. Up to REFINED ranges a set with an empty range has its whole set cut anew
 by another hash, as often as needed (the same pigeonhole holds there). With more ranges empty ones emit nothing: a pair would be
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, Scratch, documents, mix64, shingle_sets
+from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced
 
 REFINED, SPARSE = 32, 128
 
@@ -72,36 +76,30 @@ def signature_rows(docs: DataFrame, words: int, threshold: Fraction) -> DataFram
 
     def run(batches):
         bands: list[tuple[int, int, int]] = []
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sets = shingle_sets(batch.column(1), words)
             largest = max([0, *map(len, sets)])
-            if not bands or bands[-1][0] * 2 <= largest:
+            if not bands or bands[-1][0] <= largest:
                 bands = size_bands(threshold, 2 * largest + 2)
-            owners, values, pending = [], [], 0
+            owners, values = [], [np.zeros(0, np.uint64)]
             for i, own in enumerate(sets):
-                if not len(own):
-                    continue
                 for j, (least, most, k) in enumerate(bands):
                     if least > len(own):
                         break
                     if len(own) <= most:
-                        owners.append(i)
                         values.append(signatures(own, k, mix64(np.array([j + 1], np.uint64))[0]))
-                        pending += len(values[-1])
-                if pending > 200_000:
-                    yield pa.RecordBatch.from_pydict(_batch_rows(batch.column(0), owners, values))
-                    owners, values, pending = [], [], 0
-            if owners:
-                yield pa.RecordBatch.from_pydict(_batch_rows(batch.column(0), owners, values))
+                        owners.append(np.full(len(values[-1]), i, np.int64))
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *owners]))
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(np.concatenate(values).view(np.int64)), "id": batch.column(0).take(at)})
 
     return docs.select("id", "text").mapInArrow(run, "sig long, id long")
 
 
 def set_digests(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n_shingles, digest): the size of each set and 128 bits that stand for it."""
+    """(id, n_shingles, high, low): the size of each set and 128 bits that stand for it."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sets = shingle_sets(batch.column(1), words)
             with np.errstate(over="ignore"):
                 high = np.array([mix64(s + MIX).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
@@ -115,7 +113,7 @@ def set_arrays(docs: DataFrame, words: int) -> DataFrame:
     """(id, items): each set as a sorted array of hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sets = shingle_sets(batch.column(1), words)
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
@@ -146,24 +144,80 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sets of both, xs and ys."""
+    left, right = sets.select(F.col("id").alias("b"), F.col("items").alias("ys")), sets.select(F.col("id").alias("a"), F.col("items").alias("xs"))
+    return pairs.join(left, "b").join(right, "a")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b, linked): whether the sets of a pair reach the threshold, in whole numbers."""
-    left, right = sets.select(F.col("id").alias("b"), F.col("items").alias("xs")), sets.select(F.col("id").alias("a"), F.col("items").alias("ys"))
-    both = pairs.join(left, "b").join(right, "a")
-    shared = F.size(F.array_intersect("xs", "ys")).cast("long")
+    both = with_sets(pairs, sets).withColumn("shared", F.size(F.array_intersect("xs", "ys")).cast("long"))
     union = F.size("xs") + F.size("ys") - F.col("shared")
-    return both.select("a", "b", "xs", "ys", shared.alias("shared")).select("a", "b", (F.col("shared") * threshold.denominator >= union * threshold.numerator).alias("linked"))
+    return both.select("a", "b", (F.col("shared") * threshold.denominator >= union * threshold.numerator).alias("linked"))
+
+
+#: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
+MOST_BROADCAST = 4_000_000
+
+
+class Linker:
+    """Verifies stars, merges their links and keeps what has been tried."""
+
+    def __init__(self, scratch: Scratch, docs: DataFrame, words: int, threshold: Fraction):
+        self.scratch, self.docs, self.words, self.threshold = scratch, docs, words, threshold
+        self.tried = self.sets = self.labels = None
+
+    def placed(self, members: DataFrame, *ids: str) -> DataFrame:
+        """Adds c_<id>, the present component of each named id column."""
+        for i in ids:
+            if self.labels is None:
+                members = members.withColumn(f"c_{i}", F.col(i))
+            else:
+                found = self.labels.select(F.col("id").alias(i), F.col("component").alias(f"c_{i}"))
+                members = members.join(found, i, "left").withColumn(f"c_{i}", F.coalesce(f"c_{i}", i))
+        return members
+
+    def load(self, pairs: DataFrame) -> None:
+        """Makes the sets of all ids in pairs available."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("id"), "id", "left_anti")
+        ids = self.scratch.table(ids, "involved")
+        n = ids.count()
+        if not n:
+            return
+        texts = self.docs.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "id", "left_semi")
+        more = self.scratch.table(set_arrays(texts, self.words).dropDuplicates(["id"]) if self.repeats else set_arrays(texts, self.words), "sets")
+        self.sets = more if self.sets is None else self.sets.union(more)
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Tries the pairs (a, b) that haven't been tried and lie in two components, and merges components over the links."""
+        pairs = self.placed(pairs, "a", "b").where("c_a != c_b").select("a", "b")
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = self.scratch.table(pairs, "pairs")
+        if pairs.isEmpty():
+            return
+        self.load(pairs)
+        more = self.scratch.table(verified(pairs, self.sets, self.threshold), "verified")
+        self.tried = more if self.tried is None else self.tried.union(more)
+        links = self.tried.where("linked")
+        if not more.where("linked").isEmpty():
+            self.labels = self.scratch.table(components(self.scratch, links), "components")
+        self.scratch.release()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """(id, n_shingles, component) of documents (id, text). The component is the least id that links reach."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "partenum")
+    scratch = Scratch(docs.sparkSession, "partenum")
     docs = docs.select("id", "text")
     digests = scratch.table(set_digests(docs, words), "digests")
     least = digests.where("n_shingles > 0").groupBy("n_shingles", "high", "low").agg(F.min("id").alias("rep"))
     reps = scratch.table(digests.join(least, ["n_shingles", "high", "low"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "reps")
     own = reps.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.min("rep").alias("rep"))
+    linker = Linker(scratch, docs, words, threshold)
+    linker.repeats = own.count() < reps.where("n_shingles > 0 and id is not null").count()
 
     # each bucket's least id, then the members of buckets that have others too
     signed = signature_rows(docs.where("id is not null"), words, threshold)
@@ -171,29 +225,29 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fr
     shared = signed.join(heads, "sig").where("id > head")
     member = own.select("id", F.col("rep").alias("a"))
     head = own.select(F.col("id").alias("head"), F.col("rep").alias("h"))
-    buckets = scratch.table(shared.join(member, "id").join(head, "head").where("a != h").select("sig", "a", "h").distinct(), "buckets")
-    scratch.release()
-
-    tried = scratch.table(buckets.select(F.col("h").alias("a"), F.col("a").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    involved = tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct()
-    sets = scratch.table(set_arrays(docs.join(involved, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
-    scratch.release()
-    tried = scratch.table(verified(tried, sets, threshold), "verified")
-    labels = scratch.table(components(scratch, tried.where("linked")), "components")
-    members = buckets.select("sig", "a").union(buckets.select("sig", F.col("h").alias("a"))).distinct()
-    for last in (False, True):
-        placed = members.join(labels.withColumnRenamed("id", "a"), "a", "left").select("sig", "a", F.coalesce("component", "a").alias("c"))
-        several = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-        open_ = scratch.table(placed.join(several, "sig", "left_semi"), "open")
-        first = open_ if last else open_.groupBy("sig", "c").agg(F.min("a").alias("a"))
-        pairs = first.join(open_.select("sig", F.col("a").alias("b"), F.col("c").alias("d")), "sig").where("c < d" if last else "c != d")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, "more-pairs")
-        if pairs.isEmpty():
+    groups = shared.join(member, "id").join(head, "head").where("a != h").select(F.col("sig").alias("g"), "h", "a").distinct()
+    while True:
+        groups = scratch.table(groups, "groups")  # (g, h, a): a star of each group
+        scratch.release()
+        stars = scratch.table(groups.select(F.least("h", "a").alias("a"), F.greatest("h", "a").alias("b")).distinct(), "stars")
+        linker.verify(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))  # most groups are one component now
+        linker.verify(stars)
+        rest = linker.placed(groups, "a")
+        several = rest.groupBy("g").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high")).where("low < high").select("g")
+        open_ = scratch.table(rest.join(several, "g", "left_semi").select("h", "a").distinct(), "open")
+        if open_.isEmpty():
             break
-        tried = scratch.table(tried.union(verified(pairs, sets, threshold)), "verified")
-        labels = scratch.table(components(scratch, tried.where("linked")), "components")
-    placed = labels.select(F.col("id").alias("rep"), "component")
+        # two members that aren't both linked to their head can only be linked if both differ from it in the same element
+        named = open_.select(F.col("h").alias("a"), F.col("a").alias("b"))
+        linker.load(named)
+        apart = with_sets(named, linker.sets)
+        apart = apart.select(F.col("a").alias("h"), F.col("b").alias("a"), F.explode(F.array_union(F.array_except("xs", "ys"), F.array_except("ys", "xs"))).alias("d"))
+        keyed = scratch.table(apart.select(F.xxhash64("h", "d").alias("g"), "a"), "apart")
+        firsts = keyed.groupBy("g").agg(F.min("a").alias("h"), F.max("a").alias("last")).where("h < last").select("g", "h")
+        groups = keyed.join(firsts, "g").where("a > h").select("g", "h", "a").distinct()
+    if linker.labels is None:
+        return reps.select("id", "n_shingles", F.col("rep").alias("component"))
+    placed = linker.labels.select(F.col("id").alias("rep"), "component")
     return reps.join(placed, "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component"))
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, encode_words, held_out
+from .common import documents, encode_words, held_out, sliced
 
 REJECT_BELOW = 0.3
 _CLASSES = ["lower", "upper", "digit", "blank", "line", "stop", "comma", "bang", "bar", "symbol", "wide"]
@@ -131,7 +131,7 @@ def fit_features(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ste
 
 def _sample(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 0):
             x = features(batch.column(0))
             yield pa.RecordBatch.from_pydict({"x": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float32()))})
 
@@ -152,9 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 20_000, max_unla
         return None
     if prior[1]:
         share = float(np.clip(prior[0], 0.05, 0.98))
-    else:  # positives only: what a plain positive-against-unlabelled model gives positives, against its mean
-        plain = fit_features(positive, unlabelled, 0.5, steps=300)
-        share = float(np.clip(plain.logits(unlabelled).mean() > 0 and 0.9 or 0.5, 0.05, 0.98))
+    else:  # positives only: the mean chance to be labelled over the unlabelled, against that over positives
+        plain = fit_features(positive, np.vstack([positive, unlabelled]), 0.5, steps=300)
+        chance = lambda x: (1 / (1 + np.exp(-np.clip(plain.logits(x), -30, 30)))).mean()
+        share = float(np.clip(chance(unlabelled) / max(chance(positive), 1e-6), 0.05, 0.98))
     return fit_features(positive, unlabelled, share)
 
 
@@ -166,7 +167,7 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, at):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(at)).astype(np.float64))], [*batch.schema.names, "quality_score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, encode_words, held_out
+from .common import documents, encode_words, held_out, sliced
 
 BITS = 18
 LINE = "\x02"
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(shared.value.scores(batch.column(1)))})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
