@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, partenum, quality, secret_scan, toxicity
+from . import fingerprints, mixing, packing, partenum, quality, secret_scan, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": partenum.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_secret_scans": secret_scan.op4_secret_scans,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLES = {"op1_ngram_jaccard_join": partenum.ORACLE}
