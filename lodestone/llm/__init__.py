@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing, partenum, quality, secret_scan, toxicity, warc
+from . import fingerprints, licences, mixing, packing, partenum, quality, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": partenum.op1_ngram_jaccard_join,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
     "op8_warc": warc.op8_warc,
+    "op9_license_scans": licences.op9_license_scans,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLES = {"op1_ngram_jaccard_join": partenum.ORACLE, "op8_warc": warc.ORACLE}
