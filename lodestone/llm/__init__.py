@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licences, mixing, packing, partenum, quality, secret_scan, toxicity, warc
+from . import covertree, fingerprints, licences, mixing, packing, partenum, quality, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": partenum.op1_ngram_jaccard_join,
@@ -11,8 +11,9 @@ QUERIES = {
     "op4_secret_scans": secret_scan.op4_secret_scans,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
+    "op7_exact_top_k_search": covertree.op7_exact_top_k_search,
     "op8_warc": warc.op8_warc,
     "op9_license_scans": licences.op9_license_scans,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
-ORACLES = {"op1_ngram_jaccard_join": partenum.ORACLE, "op8_warc": warc.ORACLE}
+ORACLES = {"op1_ngram_jaccard_join": partenum.ORACLE, "op7_exact_top_k_search": covertree.ORACLE, "op8_warc": warc.ORACLE}
