@@ -6,12 +6,12 @@ for a range is a hash of the elements it has there; sets that agree on a range s
 pair of sizes that the threshold admits has a band in common.
 
 Sets that share a signature aren't paired with each other: each is paired with the least id of its bucket, the head of a star; the
-distinct pairs are verified on the full sets, and links are merged into components. Where a bucket's members then still lie in
-several components, let D(x) be the elements in which x differs from the head. If x and y aren't both linked to the head, a link
-between them needs an element in D(x) and D(y) both (otherwise their difference is |D(x)| + |D(y)|, which is over the threshold's as
-soon as one of them alone is). So (head, element of D) are the buckets of the next round, again with stars, until nothing is open.
-Copies with edits of their own share no such element, so a large group of them costs its number of edits, not its square, and no
-link between different sets is lost.
+distinct pairs are verified on the full sets, and links are merged into components. Where a bucket's members then still lie in several
+components, a bucket of a few has all its pairs of different components tried. In a larger one let D(x) be the elements in which x
+differs from the head. If x and y aren't both linked to the head, a link between them needs a large shared part of D(x) and D(y)
+(without one their difference is |D(x)| + |D(y)|, over the threshold's as soon as one of them alone is). So (head, rare element of D)
+are the buckets of the next round, again with stars, until nothing is open. Copies with edits of their own share no such element, so
+a large group of them costs its number of edits, not its square, and no link between different sets is lost.
 
 Ranges that hold nothing are common to unrelated sets. Up to REFINED ranges a set with an empty range has its whole set cut anew
 by another hash, as often as needed (the same pigeonhole holds there). With more ranges empty ones emit nothing: a pair would be
@@ -29,12 +29,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced
 
 REFINED, SPARSE = 32, 128
+#: In groups of so many members all pairs of different components are tried at once; larger groups go on by stars.
+FEW = 16
 
 
 def size_bands(threshold: Fraction, largest: int) -> list[tuple[int, int, int]]:
@@ -208,6 +210,37 @@ class Linker:
         self.scratch.release()
 
 
+def still_open(linker: Linker, groups: DataFrame) -> DataFrame:
+    """(g, h, a, c_a, n): the members beside the head of groups where these lie in several components, and how many they are."""
+    rest = linker.placed(groups, "a")
+    several = rest.groupBy("g").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high"), F.count("*").alias("n")).where("low < high").select("g", "n")
+    return rest.join(several, "g").select("g", "h", "a", "c_a", "n")
+
+
+def differing(linker: Linker, members: DataFrame, threshold: Fraction) -> DataFrame:
+    """(g, h, a): the next round's groups for members a of stars with head h.
+
+    A member of another component than the head's has two sorts of possible partners in D: others such, where the shared part is over
+    t / (1 + t) of either's elements at threshold t, and members of the head's component, where it is over that part of the latter's.
+    So a prefix of each D, its rarest elements first, short by that part, must hold a shared element."""
+    named = members.select(F.col("h").alias("a"), F.col("a").alias("b"))
+    linker.load(named)
+    apart = with_sets(named, linker.sets).select(F.col("a").alias("h"), F.col("b").alias("a"), F.array_union(F.array_except("xs", "ys"), F.array_except("ys", "xs")).alias("ds"))
+    apart = linker.placed(apart.select("h", "a", "ds"), "h", "a").select("h", "a", (F.col("c_h") == F.col("c_a")).alias("inside"), F.size("ds").alias("size"), F.explode("ds").alias("d"))
+    apart = linker.scratch.table(apart, "apart")
+    often = apart.groupBy("h", "d").agg(F.count("*").alias("often")).where("often > 1")
+    rare = Window.partitionBy("h", "a").orderBy(F.col("often").desc(), "d")
+    ranked = apart.join(often, ["h", "d"]).withColumn("from_end", F.row_number().over(rare))
+    # elements that nobody shares come first in the order; only the part at its end is left out
+    spared = F.floor(F.col("size") * threshold.numerator / (threshold.numerator + threshold.denominator))
+    ranked = ranked.withColumn("early", F.col("from_end") > spared)
+    among = ranked.where("early and not inside").select(F.xxhash64("h", "d", F.lit(1)).alias("g"), "a", F.lit(True).alias("met"), F.lit(True).alias("asked"))
+    across = ranked.where("early or not inside").select(F.xxhash64("h", "d", F.lit(2)).alias("g"), "a", F.col("inside").alias("met"), (~F.col("inside")).alias("asked"))
+    keyed = linker.scratch.table(among.union(across), "keyed")
+    firsts = keyed.groupBy("g").agg(F.min("a").alias("h"), F.max("a").alias("last"), F.max("met").alias("met"), F.max("asked").alias("asked")).where("h < last and met and asked")
+    return keyed.join(firsts.select("g", "h"), "g").where("a > h").select("g", "h", "a").distinct()
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """(id, n_shingles, component) of documents (id, text). The component is the least id that links reach."""
     scratch = Scratch(docs.sparkSession, "partenum")
@@ -232,19 +265,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fr
         stars = scratch.table(groups.select(F.least("h", "a").alias("a"), F.greatest("h", "a").alias("b")).distinct(), "stars")
         linker.verify(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))  # most groups are one component now
         linker.verify(stars)
-        rest = linker.placed(groups, "a")
-        several = rest.groupBy("g").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high")).where("low < high").select("g")
-        open_ = scratch.table(rest.join(several, "g", "left_semi").select("h", "a").distinct(), "open")
+        open_ = scratch.table(still_open(linker, groups), "open")
+        few = open_.where(F.col("n") <= FEW)
+        linker.verify(few.join(few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b")), "g").where("a < b and c_a != c_b").select("a", "b").distinct())
+        open_ = scratch.table(still_open(linker, open_.where(F.col("n") > FEW).select("g", "h", "a")).select("h", "a").distinct(), "open")
         if open_.isEmpty():
             break
-        # two members that aren't both linked to their head can only be linked if both differ from it in the same element
-        named = open_.select(F.col("h").alias("a"), F.col("a").alias("b"))
-        linker.load(named)
-        apart = with_sets(named, linker.sets)
-        apart = apart.select(F.col("a").alias("h"), F.col("b").alias("a"), F.explode(F.array_union(F.array_except("xs", "ys"), F.array_except("ys", "xs"))).alias("d"))
-        keyed = scratch.table(apart.select(F.xxhash64("h", "d").alias("g"), "a"), "apart")
-        firsts = keyed.groupBy("g").agg(F.min("a").alias("h"), F.max("a").alias("last")).where("h < last").select("g", "h")
-        groups = keyed.join(firsts, "g").where("a > h").select("g", "h", "a").distinct()
+        groups = differing(linker, open_, threshold)
     if linker.labels is None:
         return reps.select("id", "n_shingles", F.col("rep").alias("component"))
     placed = linker.labels.select(F.col("id").alias("rep"), "component")
