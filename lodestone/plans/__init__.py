@@ -1,0 +1 @@
+"""Declarative recipes and the DataFrames they stand for."""
