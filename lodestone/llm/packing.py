@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, sliced, whole_array
 from .mixing import CELL_DOCS, running
 
 CAPACITY, END_ID = 1024, 2
@@ -69,7 +69,7 @@ class Encoder:
         return np.fromiter((self.known[p] for p in parts), np.int64, len(parts))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = whole_array(texts)
         split = pc.split_pattern(texts, " ")
         parts, at = split.flatten(), np.asarray(split.offsets, np.int64)
         at = at - at[0]
@@ -112,19 +112,17 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
-        for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
-                owner, piece, start, length, ids = [], [], [], [], []
-                for i, own in enumerate(encoder.encode(batch.column(1))):
-                    cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        owner.append(i)
-                        piece.append(k)
-                        start.append(a)
-                        length.append(b - a)
-                        ids.append(own[a:b].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(owner, pa.int32())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary())})
+        for batch in sliced(batches, 1):
+            owner, piece, start, length, ids = [], [], [], [], []
+            for i, own in enumerate(encoder.encode(batch.column(1))):
+                cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    owner.append(i)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(b - a)
+                    ids.append(own[a:b].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(owner, pa.int32())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

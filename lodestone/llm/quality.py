@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, encode_words, held_out, sliced
+from .common import documents, encode_words, held_out, sliced, whole_array
 
 REJECT_BELOW = 0.3
 _CLASSES = ["lower", "upper", "digit", "blank", "line", "stop", "comma", "bang", "bar", "symbol", "wide"]
@@ -42,9 +42,7 @@ BYTE_CLASS = _byte_classes()
 
 def features(texts: pa.Array) -> np.ndarray:
     """A row of writing statistics for each whole text."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = whole_array(texts)
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = texts.buffers()[2]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, encode_words, held_out, sliced
+from .common import documents, encode_words, held_out, sliced, whole_array
 
 BITS = 18
 LINE = "\x02"
@@ -42,9 +42,7 @@ def word_features(word: str) -> list[int]:
 
 def sentence_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The different words, the number of each word in order, the sentence number of each, and the first sentence of each text."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", f" {LINE} ")
+    texts = pc.replace_substring(whole_array(texts), "\n", f" {LINE} ")
     codes, dictionary, starts = encode_words(texts)
     words = dictionary.to_pylist()
     ends = np.fromiter((w == LINE or bool(_END.search(w)) for w in words), bool, len(words))
