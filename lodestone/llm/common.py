@@ -33,12 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of whole texts are large: unless the session sets their rows itself, a batch holds so many."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Scratch:
     """Tables written below the shared folder. Writing one cuts lineage; lost executors cost a reread, not a rerun."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        text_batches(spark)
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -105,7 +112,7 @@ def encode_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Ar
     return np.asarray(coded.indices, dtype=np.int64), coded.dictionary, starts
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 6 << 20):
+def slices(batch: pa.RecordBatch, column: int, most: int = 3 << 20):
     """Parts of a batch with some `most` bytes of text each (a longer text alone), so memory doesn't follow the batch."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     part = np.cumsum(np.asarray(lengths, np.int64)) // most

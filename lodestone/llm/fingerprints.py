@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced
+from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced, text_batches
 
 PERMUTATIONS, BANDS, WORDS = 128, 32, 5
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -104,6 +104,7 @@ def edited_fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words
 
     The edited text has its last quarter replaced by as much of the beginning of the next document by id."""
     spark = docs.sparkSession
+    text_batches(spark)
     partitions = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     rows = in_order_with_next(docs, partitions, ["text"])

@@ -136,8 +136,10 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = Non
 
 def repeated(docs: DataFrame) -> DataFrame:
     placed, _, pieces = mix(docs.select("doc_id", "text", "source"))
-    found = taken(placed, pieces).groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")
-    return docs.join(found, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
+    found = taken(placed, pieces).groupBy("doc_id").agg(F.max(times).cast("int").alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_id")
+    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

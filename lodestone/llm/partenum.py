@@ -131,14 +131,13 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.table(large, "large")
+        # larger neighbours go to the least of u and its neighbours; then u and its smaller ones to the least of those
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = scratch.table(small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "stars")
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(edges)
-        scratch.drop(large)
         edges = stars
         if state == before:
             break

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, encode_words, held_out, sliced, whole_array
+from .common import documents, encode_words, held_out, sliced, text_batches, whole_array
 
 REJECT_BELOW = 0.3
 _CLASSES = ["lower", "upper", "digit", "blank", "line", "stop", "comma", "bang", "bar", "symbol", "wide"]
@@ -135,11 +135,12 @@ def _sample(docs: DataFrame, ids: DataFrame) -> np.ndarray:
 
     rows = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "x array<float>").toArrow()
     flat = np.asarray(pc.list_flatten(rows["x"]), np.float32)
-    return flat.reshape(rows.num_rows, -1)
+    return flat.reshape(rows.num_rows, len(flat) // max(rows.num_rows, 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 20_000, max_unlabelled: int = 20_000) -> QualityModel | None:
     """None without positive labels."""
+    text_batches(docs.sparkSession)
     known = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
     prior = known.agg(F.avg("quality"), F.count_if(F.col("quality") == 0)).first()
     ordered = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -161,6 +162,7 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     """All columns of documents and the column quality_score."""
     if model is None:
         return docs.withColumn("quality_score", F.lit(1.0))
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, encode_words, held_out, sliced, whole_array
+from .common import documents, encode_words, held_out, sliced, text_batches, whole_array
 
 BITS = 18
 LINE = "\x02"
@@ -124,6 +124,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_labelled:
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) of documents (doc_id, text)."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -135,6 +136,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def offending_sentences(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
     """(doc_id, sentence, start, end, text, score): sentences that score at least `least`; code points, end exclusive."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
