@@ -90,6 +90,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def gathered(batches, column: int, most: int = 6 << 20):
+    """Batches put together to some `most` bytes of text, for work that repeats per batch; at least one, though empty."""
+    held, size = [], 0
+    for batch in sliced(batches, column):
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def whole_array(texts: pa.Array) -> pa.Array:
     """Large strings without nulls in memory of their own: some text kernels misread an array that is a slice of another."""
     if isinstance(texts, pa.ChunkedArray):

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, sliced, whole_array
+from .common import Scratch, documents, gathered, whole_array
 from .mixing import CELL_DOCS, running
 
 CAPACITY, END_ID = 1024, 2
@@ -37,68 +37,115 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Stand for a line end, and for the lack of a blank before a word, while a text is cut; texts that hold them are encoded whole.
+LINE, BARE = "\ue000", "\ue001"
+
+
 class Encoder:
-    """Token ids of texts. A blank before a visible character always begins a token, so what stands between such blanks is encoded
-    once and remembered; texts with other runs of white space are encoded whole."""
+    """Token ids of texts. A blank or line end between visible characters always separates tokens, as does what ends a word of
+    letters; so each word is encoded once, remembered, and put together again. Texts with other runs of white space, control
+    characters or the two signs above are encoded whole."""
 
     def __init__(self, path: str, remembered: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)  # a character of a byte-level token is a byte
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.pool, self.filled = [0], np.zeros(1 << 16, np.uint32), 0
+        self.known: dict[str, int] = {"": 0}
+        self.starts, self.pool, self.filled, self.count = np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32), 0, 1
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, parts: list[str]) -> np.ndarray:
-        if len(self.known) + len(parts) > self.remembered:
-            self.clear()
-        new = [p for p in parts if p not in self.known]
-        for ids, p in zip(self.whole([" " + p for p in new]), new):
-            self.known[p] = len(self.starts) - 1
-            if self.filled + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-            self.pool[self.filled : self.filled + len(ids)] = ids
-            self.filled += len(ids)
-            self.starts.append(self.filled)
-        return np.fromiter((self.known[p] for p in parts), np.int64, len(parts))
+    def remember(self, new: list[str]) -> None:
+        """Encodes words with a blank before them, or words without, in long texts, and finds them again by their bytes."""
+        for blank in (True, False):
+            own = [w for w in new if w.startswith(" ") == blank]
+            for a in range(0, len(own), 4000):
+                block = own[a : a + 4000]
+                ids = np.asarray(self.tokenizer.encode_batch_fast([("" if blank else "\n").join(block)], add_special_tokens=False)[0].ids, np.uint32)
+                size = np.fromiter((len(w.encode()) for w in block), np.int64, len(block))
+                first = np.cumsum(size + (not blank)) - (size + (not blank))
+                place = np.concatenate([[0], np.cumsum(self.width[ids])])
+                low, high = np.searchsorted(place, first), np.searchsorted(place, first + size)
+                kept = np.ones(len(ids), bool)
+                if not blank:
+                    kept[high[:-1]] = False
+                self.append(block, ids[kept], high - low)
+
+    def append(self, block: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(block)
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.count + n + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.starts[self.count : self.count + n] = self.filled + np.cumsum(lengths) - lengths
+        self.known.update(zip(block, range(self.count, self.count + n)))
+        self.filled += len(ids)
+        self.count += n
+        self.starts[self.count] = self.filled
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        new = {w for w in words if w not in known}
+        if new:
+            if len(known) + len(new) > self.remembered:
+                self.clear()
+                known, new = self.known, set(words) - {""}
+            self.remember(sorted(new))
+        return np.fromiter((known[w] for w in words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
         texts = whole_array(texts)
-        split = pc.split_pattern(texts, " ")
+        if not len(texts):
+            return []
+        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pc.replace_substring(texts, "\n", f" {LINE} {BARE}"), pa.scalar(BARE, pa.large_string())), " ")
         parts, at = split.flatten(), np.asarray(split.offsets, np.int64)
-        at = at - at[0]
         coded = parts.dictionary_encode()
-        codes, words = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
-        odd = np.fromiter((not w or w[0].isspace() or w[0] < " " for w in words), bool, len(words))
-        first = at[:-1]
-        inner = np.ones(len(codes), bool)
-        inner[first] = False
-        odd_before = np.concatenate([[0], np.cumsum(odd[codes] & inner)])
-        plain = odd_before[at[1:]] == odd_before[first]
-        used = np.zeros(len(words), bool)
-        doc = np.repeat(np.arange(len(texts)), np.diff(at))
-        inner &= plain[doc]
-        used[codes[inner]] = True
-        wanted = np.flatnonzero(used)
-        number = np.zeros(len(words), np.int64)
-        number[wanted] = self.learn([words[i] for i in wanted])
-        starts = np.asarray(self.starts, np.int64)
-        heads = [words[c] for c in codes[first]]
-        opening = self.whole([h if p else t for h, p, t in zip(heads, plain, ([None] * len(heads) if plain.all() else texts.to_pylist()))])
-        chosen = number[codes[inner]]
-        lengths = starts[chosen + 1] - starts[chosen]
+        words = coded.dictionary
+        bare = pc.starts_with(words, BARE)
+        body = pc.if_else(bare, pc.utf8_slice_codeunits(words, 1), words)
+        line = pc.equal(words, LINE)
+        odd = pc.or_(pc.equal(body, ""), pc.match_substring_regex(body, r"[\x00-\x20\x7f-\x{a0}\x{e000}\x{e001}]|\p{Z}"))
+        odd = np.asarray(pc.and_not(odd, line).cast(pa.uint8()), bool)
+        core = pc.utf8_rtrim(body, ".,;:!?")
+        core = pc.if_else(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), core, body)
+        heads = pc.if_else(line, "\n", pc.if_else(bare, core, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), core, pa.scalar("", pa.large_string()))))
+        heads = pc.if_else(pa.array(odd), "", heads).dictionary_encode()
+        ended = np.flatnonzero(np.asarray(pc.not_equal(body, core).cast(pa.uint8()), bool) & ~odd)
+        texts_of = lambda x: x.take(pa.array(ended)).to_numpy(zero_copy_only=False).tolist()
+        endings = pa.array([b[len(c) :] for b, c in zip(texts_of(body), texts_of(core))], pa.string()).dictionary_encode()
+        known = self.numbers([*heads.dictionary.to_numpy(zero_copy_only=False).tolist(), *endings.dictionary.to_pylist()])
+        head, ending = known[: len(heads.dictionary)], known[len(heads.dictionary) :]
+        head, tail = head[np.asarray(heads.indices)], np.zeros(len(words), np.int64)
+        tail[ended] = ending[np.asarray(endings.indices)] if len(ended) else 0
+
+        segments = np.empty(2 * len(words), np.int64)
+        segments[::2], segments[1::2] = head, tail
+        first = self.starts[segments]
+        lengths = self.starts[segments + 1] - first
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.pool[np.repeat(starts[chosen] - (ends - lengths), lengths) + np.arange(total)]
-        per_doc = np.bincount(doc[inner], lengths, len(texts)).astype(np.int64)
-        bounds = np.concatenate([[0], np.cumsum(per_doc)])
-        return [np.concatenate([np.asarray(o, np.uint32), flat[a:b], np.array([END_ID], np.uint32)]) for o, a, b in zip(opening, bounds[:-1], bounds[1:])]
+        flat = self.pool[np.repeat(first - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        per_word = np.concatenate([[0], ends[1::2]]).astype(np.int32)
+        of_words = pa.ListArray.from_arrays(pa.array(per_word), pa.array(flat)).take(coded.indices)
+        ids = np.asarray(of_words.flatten())
+        places = np.asarray(of_words.offsets, np.int64)[at]
+        plain = np.ones(len(texts), bool)
+        if odd.any():
+            odd_before = np.concatenate([[0], np.cumsum(odd[np.asarray(coded.indices)])])
+            plain = odd_before[at[1:]] == odd_before[at[:-1]]
+        other = iter(self.whole(texts.filter(pa.array(~plain)).to_pylist()) if not plain.all() else [])
+        end = np.array([END_ID], np.uint32)
+        return [np.concatenate([ids[a:b] if p else np.asarray(next(other), np.uint32), end]) for a, b, p in zip(places[:-1], places[1:], plain)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -112,7 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
-        for batch in sliced(batches, 1):
+        for batch in gathered(batches, 1):
             owner, piece, start, length, ids = [], [], [], [], []
             for i, own in enumerate(encoder.encode(batch.column(1))):
                 cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
