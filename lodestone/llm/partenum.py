@@ -36,7 +36,7 @@ from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced
 
 REFINED, SPARSE = 32, 128
 #: In groups of so many members all pairs of different components are tried at once; larger groups go on by stars.
-FEW = 16
+FEW = 64
 
 
 def size_bands(threshold: Fraction, largest: int) -> list[tuple[int, int, int]]:
@@ -210,10 +210,12 @@ class Linker:
 
 
 def still_open(linker: Linker, groups: DataFrame) -> DataFrame:
-    """(g, h, a, c_a, n): the members beside the head of groups where these lie in several components, and how many they are."""
+    """(g, h, a, c_a, n): the members beside the head of groups where these lie in several components, and how many they are. Of
+    groups with the same head and members one stays."""
     rest = linker.placed(groups, "a")
-    several = rest.groupBy("g").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high"), F.count("*").alias("n")).where("low < high").select("g", "n")
-    return rest.join(several, "g").select("g", "h", "a", "c_a", "n")
+    several = rest.groupBy("g", "h").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("a")).alias("x"), F.sum("a").alias("y")).where("low < high")
+    several = several.groupBy("h", "n", "x", "y").agg(F.min("g").alias("g"))
+    return rest.join(several.select("g", "n"), "g").select("g", "h", "a", "c_a", "n")
 
 
 def differing(linker: Linker, members: DataFrame, threshold: Fraction) -> DataFrame:
