@@ -49,11 +49,11 @@ def corpus(seed):
     words = [f"w{i}" for i in range(4000)]
     common = [f"c{i}" for i in range(60)]
     texts = []
-    for length, copies, edits in ((400, 40, 12), (120, 30, 5), (15, 20, 2)):
+    for length, copies, edits in ((300, 24, 10), (15, 12, 2)):
         base = [rng.choice(words) for _ in range(length)]
         near = family(rng, base, copies, edits, words)
         texts += near + family(rng, near[1], copies // 3, edits, words)  # copies of a copy
-    texts += [[*common, *(rng.choice(words) for _ in range(rng.randint(5, 30)))] for _ in range(24)]
+    texts += [[*common, *(rng.choice(words) for _ in range(rng.randint(5, 30)))] for _ in range(12)]
     texts += [["a"], ["a", "b"], ["a", "b"], [], ["A", "B"]]
     rng.shuffle(texts)
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
