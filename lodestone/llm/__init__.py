@@ -16,4 +16,4 @@ QUERIES = {
     "op9_license_scans": licences.op9_license_scans,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
-ORACLES = {"op1_ngram_jaccard_join": partenum.ORACLE, "op7_exact_top_k_search": covertree.ORACLE, "op8_warc": warc.ORACLE}
+ORACLES = {"op1_ngram_jaccard_join": partenum.ORACLE, "op4_secret_scans": secret_scan.ORACLE, "op7_exact_top_k_search": covertree.ORACLE, "op8_warc": warc.ORACLE, "op9_license_scans": licences.ORACLE}

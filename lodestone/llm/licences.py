@@ -129,3 +129,27 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(documents(spark, sf_dir, "doc_id", "text"))
     listed = lambda c: F.concat_ws(",", F.array_sort(F.array_distinct(c)))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", listed(F.col("base")).alias("base_labels"), listed(F.concat("base", "found")).alias("labels"), "score")
+
+
+def _oracle(phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = 0.9) -> str:
+    """The scan in DuckDB: every place and every line against every template."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = "list_filter(regexp_split_to_array({}, '" + GAP + "'), lambda x: x <> '')"
+    places, labels = [], []
+    for phrase, label in phrases.items():
+        parts = phrase.split(" ")
+        at = " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(parts))
+        places.append(f"list_filter(range(1, len(ws) + 1), lambda i: {at})")
+        labels.append(f"CASE WHEN len({places[-1]}) > 0 THEN ['{label}'] ELSE [] END")
+    rows = ", ".join(f"('{label}', {words_of(t)!r})" for label, t in templates)
+    return f"""WITH w AS (SELECT doc_id, {lower.format("coalesce(text, '')")} AS t FROM documents),
+b AS (SELECT doc_id, {words.format('t')} AS ws FROM w),
+p AS (SELECT doc_id, len(ws) AS n, list_concat(list_concat({places[0]}, {places[1]}), {places[2]}) AS spots, list_concat(list_concat({labels[0]}, {labels[1]}), {labels[2]}) AS base FROM b),
+t(label, ws) AS (VALUES {rows}),
+l AS (SELECT doc_id, {words.format('line')} AS own FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w)),
+f AS (SELECT doc_id, list(label) AS found, max(c) AS c FROM (SELECT doc_id, label, CAST(len(list_intersect(ws, own)) AS DOUBLE) / len(ws) AS c FROM l, t) WHERE c >= {threshold} - 1e-9 GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, list_min(spots) - 1 AS first_word, list_max(spots) - 1 AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels, CASE WHEN len(spots) > 0 THEN 1.0 ELSE coalesce(c, 0.0) END AS score FROM p LEFT JOIN f USING (doc_id)"""
+
+
+ORACLE = _oracle()

@@ -145,3 +145,20 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda i: F.size(F.filter("spans", lambda x: x["kind"] == i)).cast("long")
     base = F.filter("spans", lambda x: x["kind"] < 3)
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """The spans in DuckDB: matches and the pieces between them, as above."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found, lists = [], []
+    for i, r in enumerate(rules):
+        found.append(f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, regexp_extract_all(t, {quoted(r.pattern)}, 0) AS m, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS g, string_split_regex(t, {quoted(r.pattern)}) AS p, {r.least} AS least FROM d")
+    total = lambda xs, n: f"coalesce(list_sum(list_transform({xs}[1:{n}], lambda x: length(x))), 0)"
+    lists = f"""SELECT doc_id, k, kind, {total('p', 'i')} + {total('m', 'i - 1')} AS a, length(m[i]) AS n, length(g[i]) AS counts, least FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r)"""
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r AS ({' UNION ALL '.join(found)}),
+s AS (SELECT doc_id, k, a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT) AS span FROM ({lists}) WHERE counts >= least),
+f AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, string_agg(span, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (doc_id)"""
+
+
+ORACLE = _oracle()
