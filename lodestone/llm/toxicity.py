@@ -97,18 +97,37 @@ def fit(sampled: pa.Table, steps: int = 250, decay: float = 3e-5, least_document
         return ToxicityModel(np.zeros(1 << BITS), -20.0, 0.0)
     words, codes, number, first = sentence_words(sampled["text"])
     owned = [word_features(w) for w in words]
+    flat = np.fromiter((x for f in owned for x in f), np.int32)
     sizes = np.array([len(f) for f in owned], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.fromiter((x for f in owned for x in f), np.int64, int(starts[-1]))
-    times = sizes[codes]
-    at = np.repeat(starts[codes] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-    feature, sentence = flat[at], np.repeat(number, times)
+    del words, owned
     n = np.diff(first)
-    doc = np.repeat(np.arange(len(label)), n)[sentence]
-    seen = np.unique(doc * (1 << BITS) + feature) & ((1 << BITS) - 1)
-    kept = np.bincount(seen, minlength=1 << BITS) >= least_documents
-    sentence, feature = sentence[kept[feature]], feature[kept[feature]]
-    vocabulary, feature = np.unique(feature, return_inverse=True)
+    doc = np.repeat(np.arange(len(label)), n)[number]
+
+    def parts(flat: np.ndarray, sizes: np.ndarray):
+        """(rows, features) of the words, block by block: a feature for each word's part is long."""
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        for low in range(0, len(codes), 200_000):
+            own = codes[low : low + 200_000]
+            times = sizes[own]
+            at = np.repeat(starts[own] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            yield np.repeat(np.arange(low, low + len(own)), times), flat[at]
+
+    documents_with = np.zeros(1 << BITS, np.int64)
+    last = np.full(1 << BITS, -1, np.int64)  # a block may end within a document
+    for row, feature in parts(flat, sizes):
+        seen = np.unique(doc[row] << BITS | feature)
+        owner, feature = seen >> BITS, seen & ((1 << BITS) - 1)
+        fresh = last[feature] != owner
+        documents_with += np.bincount(feature[fresh], minlength=1 << BITS)
+        last[feature] = owner
+    kept = documents_with >= least_documents
+    vocabulary = np.flatnonzero(kept)
+    place = np.cumsum(kept) - 1
+    word_of = np.repeat(np.arange(len(sizes)), sizes)[kept[flat]]
+    flat, sizes = place[flat[kept[flat]]].astype(np.int32), np.bincount(word_of, minlength=len(sizes))
+    blocks = [(number[row].astype(np.int32), feature) for row, feature in parts(flat, sizes)]
+    sentence, feature = (np.concatenate([b[i] for b in blocks] or [np.zeros(0, np.int32)]) for i in (0, 1))
+    del blocks
     w, bias, leak = _descend(label, n, sentence, feature, len(vocabulary), steps, decay, rate)
     weights = np.zeros(1 << BITS)
     weights[vocabulary] = w
@@ -153,7 +172,7 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, least: float = 0.
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sentence long, start long, end long, text string, score double")
 
 
-def op2_toxicity(spark: SparkSession, sf_dir: str, max_labelled: int = 8_000) -> DataFrame:
+def op2_toxicity(spark: SparkSession, sf_dir: str, max_labelled: int = 4_000) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = fit(training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", max_labelled).toArrow())
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
