@@ -5,13 +5,13 @@ most k elements, so if the domain of shingle hashes is cut into k + 1 ranges, th
 for a range is a hash of the elements it has there; sets that agree on a range share that signature. Bands overlap so that every
 pair of sizes that the threshold admits has a band in common.
 
-Sets that share a signature aren't paired with each other: each is paired with the least id of its bucket, the head of a star; the
-distinct pairs are verified on the full sets, and links are merged into components. Where a bucket's members then still lie in several
-components, a bucket of a few has all its pairs of different components tried. In a larger one let D(x) be the elements in which x
-differs from the head. If x and y aren't both linked to the head, a link between them needs a large shared part of D(x) and D(y)
-(without one their difference is |D(x)| + |D(y)|, over the threshold's as soon as one of them alone is). So (head, rare element of D)
-are the buckets of the next round, again with stars, until nothing is open. Copies with edits of their own share no such element, so
-a large group of them costs its number of edits, not its square, and no link between different sets is lost.
+Sets that share a signature aren't paired with each other: each is paired with one of its bucket, the head of a star; the distinct
+pairs are verified on the full sets, and links are merged into components. Where a bucket's members then still lie in several
+components, a bucket of a few has all its pairs of different components tried. A larger one is taken apart around the set of
+elements that most of its members hold (see around_centres): pairs near that centre are settled by one more star, and the rest can
+only be linked if they share a rare difference from it, so those differences are the buckets of the next round. What two such rounds
+leave open is tried pair by pair. Copies with edits of their own share no such difference, so a large group of them costs its number
+of edits, not its square, and no link between different sets is lost.
 
 Ranges that hold nothing are common to unrelated sets. Up to REFINED ranges a set with an empty range has its whole set cut anew
 by another hash, as often as needed (the same pigeonhole holds there). With more ranges empty ones emit nothing: a pair would be
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced
 
 REFINED, SPARSE = 32, 128
-#: In groups of so many members all pairs of different components are tried at once; larger groups go on by stars.
-FEW = 64
+#: In groups of so many members all pairs of different components are tried at once; larger groups go on by stars, and so do
+#: the groups that these leave, for so many levels; then all pairs are tried.
+FEW, LEVELS = 64, 3
 
 
 def size_bands(threshold: Fraction, largest: int) -> list[tuple[int, int, int]]:
@@ -209,37 +210,59 @@ class Linker:
         self.scratch.release()
 
 
-def still_open(linker: Linker, groups: DataFrame) -> DataFrame:
-    """(g, h, a, c_a, n): the members beside the head of groups where these lie in several components, and how many they are. Of
-    groups with the same head and members one stays."""
-    rest = linker.placed(groups, "a")
-    several = rest.groupBy("g", "h").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("a")).alias("x"), F.sum("a").alias("y")).where("low < high")
-    several = several.groupBy("h", "n", "x", "y").agg(F.min("g").alias("g"))
-    return rest.join(several.select("g", "n"), "g").select("g", "h", "a", "c_a", "n")
-
-
-def differing(linker: Linker, members: DataFrame, threshold: Fraction) -> DataFrame:
-    """(g, h, a): the next round's groups for members a of stars with head h.
-
-    A member of another component than the head's has two sorts of possible partners in D: others such, where the shared part is over
-    t / (1 + t) of either's elements at threshold t, and members of the head's component, where it is over that part of the latter's.
-    So a prefix of each D, its rarest elements first, short by that part, must hold a shared element."""
-    named = members.select(F.col("h").alias("a"), F.col("a").alias("b"))
-    linker.load(named)
-    apart = with_sets(named, linker.sets).select(F.col("a").alias("h"), F.col("b").alias("a"), F.array_union(F.array_except("xs", "ys"), F.array_except("ys", "xs")).alias("ds"))
-    apart = linker.placed(apart.select("h", "a", "ds"), "h", "a").select("h", "a", (F.col("c_h") == F.col("c_a")).alias("inside"), F.size("ds").alias("size"), F.explode("ds").alias("d"))
-    apart = linker.scratch.table(apart, "apart")
-    often = apart.groupBy("h", "d").agg(F.count("*").alias("often")).where("often > 1")
-    rare = Window.partitionBy("h", "a").orderBy(F.col("often").desc(), "d")
-    ranked = apart.join(often, ["h", "d"]).withColumn("from_end", F.row_number().over(rare))
-    # elements that nobody shares come first in the order; only the part at its end is left out
-    spared = F.floor(F.col("size") * threshold.numerator / (threshold.numerator + threshold.denominator))
-    ranked = ranked.withColumn("early", F.col("from_end") > spared)
-    among = ranked.where("early and not inside").select(F.xxhash64("h", "d", F.lit(1)).alias("g"), "a", F.lit(True).alias("met"), F.lit(True).alias("asked"))
-    across = ranked.where("early or not inside").select(F.xxhash64("h", "d", F.lit(2)).alias("g"), "a", F.col("inside").alias("met"), (~F.col("inside")).alias("asked"))
-    keyed = linker.scratch.table(among.union(across), "keyed")
-    firsts = keyed.groupBy("g").agg(F.min("a").alias("h"), F.max("a").alias("last"), F.max("met").alias("met"), F.max("asked").alias("asked")).where("h < last and met and asked")
-    return keyed.join(firsts.select("g", "h"), "g").where("a > h").select("g", "h", "a").distinct()
+def stars_of(members: DataFrame) -> DataFrame:
+    """(a, b): pairs of each group's head and its other members (g, a, short). The head is the member of most groups: among copies
+    of one text that is the text itself, or what is nearest to it."""
+    degree = members.groupBy("a").agg(F.count("*").alias("degree"))
+    heads = members.join(degree, "a").groupBy("g").agg(F.max_by("a", F.struct("degree", -F.col("a"))).alias("h"))
+    return members.join(heads, "g").where("a != h").select("a", "h").distinct()
+
+
+def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def still_open(linker: Linker, members: DataFrame) -> DataFrame:
+    """(g, a, short, c_a, n): groups whose members lie in several components, and their sizes. Of groups with the same members one
+    stays."""
+    rest = linker.placed(members, "a")
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "short")).alias("x"), F.sum("a").alias("y")]
+    several = rest.groupBy("g").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high"), F.max("short").alias("some"), *same).where("low < high and some")
+    several = several.groupBy("n", "x", "y").agg(F.min("g").alias("g"))
+    return rest.join(several.select("g", "n"), "g").select("g", "a", "short", "c_a", "n")
+
+
+def around_centres(linker: Linker, large: DataFrame, threshold: Fraction) -> DataFrame:
+    """Settles the pairs of large groups (g, a) that lie near the group's centre, and gives the groups (g, a, short) in which all
+    other links of theirs are found.
+
+    The centre is the set of elements that most members hold; D(x) is where a member x differs from it. With c = (1 - t) / (1 + t) at
+    threshold t and excess e(x) = |D(x)| - c |x|, x and y are linked exactly if e(x) + e(y) <= 2 |D(x) and D(y)|. If that holds
+    without a shared element, both are linked to the member m of least excess, so a star around m settles it. Else, with e(y) the
+    lesser, the shared part is at least e(y), and at least (e(x) + e(m)) / 2: so the rarest elements of D(x) and D(y), short of these
+    counts less one, hold a shared element. Edits of a copy's own are the rarest and are shared with nobody."""
+    scratch, unit = linker.scratch, threshold.numerator + threshold.denominator
+    named = large.select("g", "a").distinct()
+    linker.load(named.select("a", F.col("a").alias("b")))
+    held = named.join(linker.sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a")
+    sizes = named.groupBy("g").agg(F.count("*").alias("n"))
+    common = held.select("g", F.explode("xs").alias("d")).groupBy("g", "d").agg(F.count("*").alias("often")).join(sizes, "g").where("2 * often > n")
+    centres = scratch.table(common.groupBy("g").agg(F.collect_list("d").alias("centre")), "centres")  # at most two sets' elements
+    apart = held.join(centres, "g", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
+    apart = apart.select("g", "a", F.size("xs").alias("size"), F.array_union(F.array_except("xs", "centre"), F.array_except("centre", "xs")).alias("ds"))
+    excess = F.size("ds").cast("long") * unit - F.col("size") * (threshold.denominator - threshold.numerator)
+    apart = scratch.table(apart.select("g", "a", "ds", excess.alias("e")), "apart")
+    least = apart.groupBy("g").agg(F.min("e").alias("least"), F.min_by("a", F.struct("e", "a")).alias("m"))
+    linker.verify(ordered(named.join(least, "g").where("a != m"), "a", "m"))
+
+    elements = apart.join(least.select("g", "least"), "g").select("g", "a", "e", "least", F.size("ds").alias("k"), F.explode("ds").alias("d"))
+    often = elements.groupBy("g", "d").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("g", "a").orderBy("often", "d"))
+    short = F.col("k") - F.greatest(F.lit(1), F.ceil(F.col("e") / unit)) + 1
+    long = F.col("k") - F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("least")) / (2 * unit))) + 1
+    # an element that one member alone has is shared with nobody, but it takes its place in the order
+    kept = elements.join(often, ["g", "d"]).withColumn("place", place).where((F.col("place") <= long) & (F.col("often") > 1))
+    return kept.select(F.xxhash64("g", "d").alias("g"), "a", (F.col("place") <= short).alias("short"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -259,20 +282,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fr
     shared = signed.join(heads, "sig").where("id > head")
     member = own.select("id", F.col("rep").alias("a"))
     head = own.select(F.col("id").alias("head"), F.col("rep").alias("h"))
-    groups = shared.join(member, "id").join(head, "head").where("a != h").select(F.col("sig").alias("g"), "h", "a").distinct()
-    while True:
-        groups = scratch.table(groups, "groups")  # (g, h, a): a star of each group
+    found = shared.join(member, "id").join(head, "head").where("a != h").select(F.col("sig").alias("g"), "h", "a")
+    members = found.select("g", "a").union(found.select("g", F.col("h").alias("a"))).distinct().withColumn("short", F.lit(True))
+    for level in range(1, LEVELS + 1):
+        members = scratch.table(members, "members")
         scratch.release()
-        stars = scratch.table(groups.select(F.least("h", "a").alias("a"), F.greatest("h", "a").alias("b")).distinct(), "stars")
-        linker.verify(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))  # most groups are one component now
-        linker.verify(stars)
-        open_ = scratch.table(still_open(linker, groups), "open")
-        few = open_.where(F.col("n") <= FEW)
-        linker.verify(few.join(few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b")), "g").where("a < b and c_a != c_b").select("a", "b").distinct())
-        open_ = scratch.table(still_open(linker, open_.where(F.col("n") > FEW).select("g", "h", "a")).select("h", "a").distinct(), "open")
-        if open_.isEmpty():
+        stars = scratch.table(stars_of(members), "stars")
+        linker.verify(ordered(stars.groupBy("a").agg(F.min("h").alias("h")), "a", "h"))  # most groups are one component now
+        linker.verify(ordered(stars, "a", "h"))
+        open_ = scratch.table(still_open(linker, members), "open")
+        few = open_.where(F.col("n") <= FEW) if level < LEVELS else open_
+        other = few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("short").alias("s_b"))
+        linker.verify(few.join(other, "g").where("a < b and c_a != c_b and (short or s_b)").select("a", "b").distinct())
+        large = open_.where(F.col("n") > FEW)
+        if level == LEVELS or large.isEmpty():
+            break
+        large = scratch.table(still_open(linker, large.select("g", "a", "short")), "large")
+        if large.isEmpty():
             break
-        groups = differing(linker, open_, threshold)
+        members = around_centres(linker, large, threshold)
     if linker.labels is None:
         return reps.select("id", "n_shingles", F.col("rep").alias("component"))
     placed = linker.labels.select(F.col("id").alias("rep"), "component")
