@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numbers, periods, text, vectors
-from .operators import aggregates, catalogue, joins, ledger, retrieval
+from .operators import aggregates, catalogue, evidence, joins, ledger, retrieval
 from .operators.aggregates import Measure
 from .operators.joins import JoinRule, Scope
 from .plans.composition import Composition, Step
@@ -572,3 +572,62 @@ def q_windowed_counts(spark, sf_dir):
 def q_html_blocks(spark, sf_dir):
     """S15, F26, P6."""
     return markup.document_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("""SELECT 'o_orderkey' AS source, o_orderkey AS record FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'
+UNION SELECT 'c_custkey', c_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""")
+def q_used_records(spark, sf_dir):
+    """The records that a joined relation uses, by source."""
+    both = joins.join(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"), JoinRule(["o_custkey"], ["c_custkey"]))
+    return evidence.used_records(both, ["o_orderkey", "c_custkey"])
+
+
+@query("""WITH kept AS (SELECT c_custkey AS record, 'c_name' AS field, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END FROM customer),
+shown AS (SELECT c_custkey AS record, 'c_name' AS field, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer)
+SELECT record, field, s.value, s.value IS NOT DISTINCT FROM k.value AS agrees FROM shown s JOIN kept k USING (record, field)""")
+def q_cell_address_join(spark, sf_dir):
+    """Disclosed cells against retained ones by address."""
+    c = table(spark, sf_dir, "customer")
+    kept = c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")))
+    names = ["c_name", "c_mktsegment"]
+    return evidence.same_cells(evidence.cells(c, "c_custkey", names), evidence.cells(kept, "c_custkey", names))
+
+
+@query("SELECT event_type, count(*) AS calls, round(coalesce(sum(CASE WHEN event_id % 7 <> 0 THEN value END), 0), 4) AS amount, count(*) FILTER (event_id % 7 = 0) AS unreported FROM events GROUP BY 1")
+def q_usage_summary(spark, sf_dir):
+    """A18."""
+    e = table(spark, sf_dir, "events").withColumn("amount", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    return evidence.usage(e, "event_type", "amount").withColumn("amount", F.round("amount", 4))
+
+
+@query("SELECT d.doc_id FROM documents d SEMI JOIN (SELECT DISTINCT sha256(text) AS h FROM documents d JOIN labels l USING (doc_id) WHERE quality = 0) b ON sha256(d.text) = b.h")
+def q_same_revision(spark, sf_dir):
+    """Documents whose content is that of a document labelled poor."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    poor = d.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_semi")
+    return evidence.same_revision(d, poor, ["h"]).select("doc_id")
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events)")
+def q_value_intersection(spark, sf_dir):
+    """Values that two sources share."""
+    return table(spark, sf_dir, "orders").select("o_custkey").intersect(table(spark, sf_dir, "events").select(F.col("user_id").alias("o_custkey")))
+
+
+@query("SELECT conv_id, count(*) AS turns, max(turn) - min(turn) + 1 = count(DISTINCT turn) AS complete FROM conversations GROUP BY 1")
+def q_extent_by_group(spark, sf_dir):
+    """Positions without a gap, group by group."""
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), (F.max("turn") - F.min("turn") + 1 == F.count_distinct("turn")).alias("complete"))
+
+
+@query("SELECT p_partkey, array_to_string(string_split(upper(p_type), ' '), '|') AS words FROM part")
+def q_listed_values(spark, sf_dir):
+    """F16: the entries of a cell that holds a list."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", text.listed(F.col("p_type"), " ")).alias("words"))
+
+
+@query("SELECT event_id, regexp_replace(CAST(json_extract_string(props, '$.k') AS VARCHAR), '[.]0$', '') AS k FROM events")
+def q_scalar_text(spark, sf_dir):
+    """A scalar of a JSON column as canonical text."""
+    return table(spark, sf_dir, "events").select("event_id", evidence.scalar_text(F.get_json_object("props", "$.k")).alias("k"))

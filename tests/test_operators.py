@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import sinks, streaming
 from lodestone.functions import numbers, periods, text
-from lodestone.operators import aggregates, catalogue, joins, ledger, retrieval
+from lodestone.operators import aggregates, catalogue, evidence, joins, ledger, retrieval
 from lodestone.operators.aggregates import Measure
 from lodestone.operators.joins import JoinRule, Scope
 from lodestone.plans.composition import Composition, Step
@@ -220,3 +220,20 @@ def test_streams(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     assert spark.table("accepted").count() == events.select("user_id").distinct().count()
     assert streaming.sessions(events, "ts", "user_id").agg(F.sum("events")).first()[0] == events.count()
+
+
+def test_evidence(spark):
+    assert evidence.json_changes({"a": 1, "b": {"c/d": 2}, "e": 3}, {"a": 1, "b": {"c/d": 4}, "f": True}) == [{"op": "replace", "path": "/b/c~1d", "value": 4}, {"op": "remove", "path": "/e"}, {"op": "add", "path": "/f", "value": True}]
+    df = spark.createDataFrame([('{"a": 1}', '{"a": 1.5}')], "x string, y string")
+    assert evidence.state_delta(df, "x", "y").first().delta == '[{"op": "replace", "path": "/a", "value": 1.5}]'
+    assert [one(spark, c) for c in evidence.approval(F.lit("개발: 자동 / 운영: 심의"))] == ["자동", "심의"]
+    assert [one(spark, evidence.path_matches(F.lit("Response.Items.Code"), s)) for s in ("code", "items.code", "tems.code", "items")] == [True, True, False, False]
+    assert one(spark, evidence.canonical_list(F.array(F.lit(" b"), F.lit("a"), F.lit("b"), F.lit(" ")))) == ["a", "b"]
+    assert one(spark, evidence.checklist(F.array(F.lit("spatial"), F.lit("proxy")))) == ["same coordinate system", "stated transform"]
+    hits = spark.createDataFrame([("a", 1, 1, True), ("b", 1, 1, True), ("b", 2, 2, True), ("c", 3, 1, False)], "axis string, pk long, rank int, exact boolean")
+    assert sorted(map(tuple, evidence.first_exact_per_axis(hits).collect())) == [("a", 1), ("b", 2)]
+    selected = spark.createDataFrame([(5, "x", 1), (6, "x", 2), (7, "y", 3), (9, "z", 4)], "pk long, role string, position int")
+    pool, anchors = spark.createDataFrame([(5,), (6,), (7,)], "pk long"), spark.createDataFrame([(5, 1), (8, 2)], "pk long, position int")
+    assert [tuple(r) for r in evidence.bridges(selected, pool, anchors).collect()] == [(8, 5, "x", 1), (5, 7, "y", 3)]
+    assert evidence.replayed(selected, selected.orderBy(F.desc("pk"))) and not evidence.replayed(selected, pool)
+    assert evidence.select_evidence(selected, "pk", pool, ["role"]).count() == 3
