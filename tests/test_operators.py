@@ -13,7 +13,7 @@ from lodestone.operators import aggregates, catalogue, evidence, joins, ledger,
 from lodestone.operators.aggregates import Measure
 from lodestone.operators.joins import JoinRule, Scope
 from lodestone.plans.composition import Composition, Step
-from lodestone.sources import markup, tables
+from lodestone.sources import markup, snapshots, tables
 
 
 def one(spark, column):
@@ -237,3 +237,35 @@ def test_evidence(spark):
     assert [tuple(r) for r in evidence.bridges(selected, pool, anchors).collect()] == [(8, 5, "x", 1), (5, 7, "y", 3)]
     assert evidence.replayed(selected, selected.orderBy(F.desc("pk"))) and not evidence.replayed(selected, pool)
     assert evidence.select_evidence(selected, "pk", pool, ["role"]).count() == 3
+
+
+def test_snapshots(spark, tmp_path):
+    import gzip
+    import json
+
+    entry = {"pk": "1", "title": "t", "apply_count": 3, "formats": ["CSV"]}
+    with gzip.open(tmp_path / "a.json.gz", "wt") as f:
+        f.write(json.dumps(entry) + "\n" + json.dumps({**entry, "pk": "2"}) + "\n")
+    assert snapshots.read_snapshot(spark, str(tmp_path / "a.json.gz")).count() == 2
+    (tmp_path / "b.json").write_text(json.dumps(entry) + "\n" + json.dumps(entry))
+    with pytest.raises(ValueError):
+        snapshots.read_snapshot(spark, str(tmp_path / "b.json"))
+    (tmp_path / "p").mkdir()
+    for n in (1, 2):
+        (tmp_path / "p" / f"{n}.json").write_text(json.dumps({"page": n, "total": 2, "items": [{**entry, "pk": str(n)}]}))
+    assert sorted(r.pk for r in snapshots.read_pages(spark, str(tmp_path / "p")).collect()) == ["1", "2"]
+    (tmp_path / "p" / "2.json").unlink()
+    with pytest.raises(ValueError):
+        snapshots.read_pages(spark, str(tmp_path / "p"))
+    rows = spark.createDataFrame([("1", "t", "o", "c", "d", "1,200", "x", "2024", "rest", "csv,XLS", "N"), ("2", "t", "o", "c", "d", "1", "2", "2024", "", "", "Y")], "pk string, title string, org string, category string, description string, apply_count string, view_count string, modified_at string, svc_type string, formats string, deleted string")
+    assert [(r.apply_count, r.view_count, r.formats) for r in snapshots.monthly_entries(rows).collect()] == [(1200, 0, ["CSV", "XLS"])]
+    versions = spark.createDataFrame([("a", "2024-01"), ("a", "2024-02")], "k string, edition string")
+    assert snapshots.edition(versions, "k", "a", "2024-01").count() == 1
+    with pytest.raises(ValueError):
+        snapshots.edition(versions, "k", "a", "2024-03")
+    shaped = spark.createDataFrame([(1, {"A": "title", "B": None}), (2, {"A": "name", "B": "count"}), (3, {"A": "x", "B": "5"})], "record long, fields map<string,string>")
+    assert snapshots.header_row(shaped) == 2
+    spark.createDataFrame([("1", "h", [1.0, 2.0])], "pk string, doc_hash string, vec array<float>").write.parquet(str(tmp_path / "v"))
+    assert snapshots.read_vectors(spark, str(tmp_path / "v"), 2).count() == 1
+    with pytest.raises(ValueError):
+        snapshots.read_vectors(spark, str(tmp_path / "v"), 3)
