@@ -282,8 +282,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fr
     shared = signed.join(heads, "sig").where("id > head")
     member = own.select("id", F.col("rep").alias("a"))
     head = own.select(F.col("id").alias("head"), F.col("rep").alias("h"))
-    found = shared.join(member, "id").join(head, "head").where("a != h").select(F.col("sig").alias("g"), "h", "a")
-    members = found.select("g", "a").union(found.select("g", F.col("h").alias("a"))).distinct().withColumn("short", F.lit(True))
+    found = shared.join(member, "id").join(head, "head").where("a != h")
+    members = found.select(F.col("sig").alias("g"), F.explode(F.array("h", "a")).alias("a"), F.lit(True).alias("short")).distinct()
     for level in range(1, LEVELS + 1):
         members = scratch.table(members, "members")
         scratch.release()
