@@ -24,6 +24,8 @@ from .common import Scratch
 
 VERSION = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
+#: So many payloads that several pages share (some 60 bytes each) may be sent to every executor; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -42,14 +44,15 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    first = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    rows = rows.join(first, ["digest", "bytes"])
-    older = (F.col("bytes") >= least_bytes) & (F.col("n") > 1) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    alike = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    alike = Scratch(pages.sparkSession, "archives").table(alike, "alike")
+    rows = rows.join(F.broadcast(alike) if alike.count() <= MOST_BROADCAST else alike, ["digest", "bytes"], "left")
+    older = (F.col("bytes") >= least_bytes) & F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select("page_id", "url", "payload", "digest", "bytes", F.when(older, F.col("first")).alias("refers_to"))
 
 
-def write(rows: DataFrame, path: str, records_per_file: int = 4096) -> None:
-    """Writes records as uncompressed archives."""
+def write(rows: DataFrame, path: str, records_per_file: int = 4096, compression: str = "gzip") -> None:
+    """Writes records as archives, by default each a gzip file; uncompressed ones (none) are split when they are read."""
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     lines = [
@@ -64,7 +67,7 @@ def write(rows: DataFrame, path: str, records_per_file: int = 4096) -> None:
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit(BREAK), body)
-    rows.select(record).write.option("lineSep", BREAK).option("maxRecordsPerFile", records_per_file).text(path)
+    rows.select(record).write.option("lineSep", BREAK).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -105,6 +108,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, type, page_id, url, digest, payload_bytes, refers_to, payload) of every record of the archives below a path."""
     scratch = Scratch(spark, "warc")
     pieces = scratch.table(candidates(spark, path), "pieces")
+    scratch.release()
     header = F.substring_index("piece", BREAK, 1)
     length = field(header, "Content-Length").cast("long")
     whole = F.octet_length("piece") > F.octet_length(header)

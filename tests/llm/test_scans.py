@@ -215,12 +215,13 @@ def test_water_filling():
 # --- archives
 
 
-def test_payloads_that_hold_records_come_back_whole(spark):
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_payloads_that_hold_records_come_back_whole(spark, compression):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     bodies = ["<p>é</p>", None, "", "same", "same", inner, inner * 3 + "tail", "WARC/1.1\r\n", "x" * 300000, "WARC/1.1\r\nContent-Length: 999999\r\n\r\n", "\r\n\r\n", inner]
     pages = spark.createDataFrame([(i, f"http://h/{i}\r\nx", b, "extra") for i, b in enumerate(bodies)], "page_id long, url string, html string, digest string")
     path = warc.Scratch(spark, "t").path("archive")
-    warc.write(warc.records(pages).repartition(2), path, records_per_file=4)
+    warc.write(warc.records(pages).repartition(2), path, records_per_file=4, compression=compression)
     got = {r.page_id: r for r in warc.read(spark, path).collect()}
     assert sorted(got) == list(range(len(bodies)))
     first = {}
