@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import haversine_m, trimmed
-from ..functions.periods import intersect, overlaps
+from ..functions.periods import intersect
 from ..functions.text import starts_with_tokens, tokens
 
 
