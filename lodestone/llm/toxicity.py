@@ -12,7 +12,7 @@ scored one by one; null ids are scored too; extra columns are ignored; without l
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, encode_words, held_out, sliced, text_batches, whole_array
+from .common import documents, encode_words, gathered, held_out, text_batches, whole_array
 
 BITS = 18
 LINE = "\x02"
@@ -60,10 +60,22 @@ class ToxicityModel:
     weights: np.ndarray  # a weight for each word feature
     bias: float
     leak: float  # of the noisy-or: -log(1 - chance without any sentence)
+    known: dict[str, float] = field(default_factory=dict, repr=False)  # weights of words met lately, up to `remembered`
+    remembered: int = 400_000
+
+    def word_weights(self, words: list[str]) -> np.ndarray:
+        known, new = self.known, [w for w in words if w not in self.known]
+        if len(known) + len(new) > self.remembered:
+            known.clear()
+            new = words
+        filled = {i: float(self.weights[i]) for i in np.flatnonzero(self.weights).tolist()} if new else {}
+        for w in new:
+            known[w] = sum(filled.get(x, 0.0) for x in word_features(w))
+        return np.fromiter((known[w] for w in words), np.float64, len(words))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         words, codes, number, first = sentence_words(texts)
-        of = np.fromiter((self.weights[word_features(w)].sum() for w in words), np.float64, len(words))
+        of = self.word_weights(words)
         each = np.logaddexp(0, self.bias + np.bincount(number, of[codes] if len(codes) else None, int(first[-1])))
         total = np.concatenate([[0.0], np.cumsum(each)])
         return -np.expm1(-(total[first[1:]] - total[first[:-1]] + self.leak))
@@ -147,7 +159,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in sliced(batches, 1):
+        for batch in gathered(batches, 1):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(shared.value.scores(batch.column(1)))})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
