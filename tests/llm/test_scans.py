@@ -68,6 +68,31 @@ def test_redaction_keeps_clean_rows(spark):
     assert secret_scan.redact_secrets(spark, docs(spark, rows).limit(0)).count() == 0
 
 
+KEY = ["MIIEpAIBAAKCAQEA7bq3+/" + c * 42 for c in "abcdefgh"] + ["Qx7/zz=="]
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+
+def test_no_part_of_a_private_key_survives(spark):
+    whole = "\n".join([BEGIN, *KEY, END])
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0011AABB", ""]
+    rows = {
+        1: ("before\n" + whole + "\nafter", "before\n[SECRET]\nafter"),
+        2: (whole.replace("\n", "\r\n"), "[SECRET]"),
+        3: ("a " + "\n".join([BEGIN, *headers, *KEY, END]) + " b", "a [SECRET] b"),
+        4: ('{"k": "' + whole.replace("\n", "\\n") + '\\n"}', '{"k": "[SECRET]\\n"}'),
+        5: ("\n".join([BEGIN, *KEY]), "[SECRET]"),
+        6: ("\n".join([BEGIN, *headers, *KEY, "", "plain words follow"]), "[SECRET]\n\nplain words follow"),
+        7: (f"{whole}\nbetween\n{whole}\nend", "[SECRET]\nbetween\n[SECRET]\nend"),
+        8: ("\n".join([BEGIN, *KEY, "-----BEGIN CERTIFICATE-----", "kept", "-----END CERTIFICATE-----"]), "[SECRET]\n-----BEGIN CERTIFICATE-----\nkept\n-----END CERTIFICATE-----"),
+        9: ("\n".join([BEGIN, *KEY * 200, END]), "[SECRET]"),
+        10: (f"a line such as {BEGIN} opens a key", "a line such as [SECRET] opens a key"),
+    }
+    out = secret_scan.redact_secrets(spark, docs(spark, [(i, t) for i, (t, _) in rows.items()]))
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {i: want for i, (_, want) in rows.items()}
+    assert not any(line in t for t in got.values() for line in KEY)
+
+
 # --- licences
 
 
