@@ -2,16 +2,20 @@
 
 A text's shingles of five words are hashed once and then permuted by multiply-add universal hashing, all in numpy; the minima of the
 permutations are the signature. The share of equal minima of two signatures estimates the Jaccard similarity of the shingle sets.
-Near copies are found by joining bands of the signature in Spark and verifying candidates on the shingle sets themselves.
+Near copies are found by joining bands of the signature in Spark and verifying candidates on the shingle sets themselves: a star for
+each band, then the bands whose members still lie in several classes are taken up again (see partenum), so any two near copies with
+a band in common have the same class, the least doc_id that links reach.
 
 Defined results: a null text is the empty text; texts without words have no shingles and share one signature, whose likeness to each
 other is 1 and to all others 0; fewer than five words are one shingle; repeated rows have equal fingerprints and follow each other
-in the order of ids; a row with a null id comes first in that order; extra columns are ignored; an empty table gives an empty one.
+in the order of ids; a row with a null id comes first in that order and has no class; texts without words are their own class; rows
+that repeat an id share a class; extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced, text_batches
+from .partenum import MOST_BROADCAST, joined_groups, set_arrays, with_sets
 
 PERMUTATIONS, BANDS, WORDS = 128, 32, 5
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -140,37 +145,61 @@ def edited_fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, words: int = WORDS) -> DataFrame:
-    """(a, b, jaccard): pairs of a band's least id and its other members whose shingle sets have that Jaccard similarity or more."""
-    scratch = Scratch(docs.sparkSession, "fingerprints")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+def banded_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, n_shingles, high, low, bands) of documents (id, text): each set's size, 128 bits that stand for it, and a hash of each band."""
     rows = PERMUTATIONS // BANDS
 
     def run(batches):
         for batch in sliced(batches, 1):
-            marks = signatures(shingle_sets(batch.column(1), words))
-            filled = np.flatnonzero(~(marks == EMPTY).all(1))
+            own = shingle_sets(batch.column(1), words)
+            marks = signatures(own)
             with np.errstate(over="ignore"):
-                bands = np.zeros((len(filled), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+                high = np.array([mix64(s + MIX).sum(dtype=np.uint64) for s in own], dtype=np.uint64)
+                low = np.array([mix64(s ^ MIX).sum(dtype=np.uint64) for s in own], dtype=np.uint64)
+                bands = np.zeros((len(own), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for i in range(rows):
-                    bands = mix64(bands * MIX + marks[filled][:, i::rows])
-            yield pa.RecordBatch.from_pydict({"band": pa.array(bands.reshape(-1).view(np.int64)), "doc_id": batch.column(0).take(pa.array(np.repeat(filled, BANDS)))})
+                    bands = mix64(bands * MIX + marks[:, i::rows])
+            at = pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column(0),
+                "n_shingles": pa.array([len(s) for s in own], pa.int64()),
+                "high": pa.array(high.view(np.int64)),
+                "low": pa.array(low.view(np.int64)),
+                "bands": pa.ListArray.from_arrays(at, pa.array(bands.reshape(-1).view(np.int64))),
+            })
 
-    def sets(batches):
-        for batch in sliced(batches, 1):
-            own = shingle_sets(batch.column(1), words)
-            at = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "items": pa.ListArray.from_arrays(at, pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)))})
-
-    banded = docs.mapInArrow(run, "band long, doc_id long")
-    heads = banded.groupBy("band").agg(F.min("doc_id").alias("a"))
-    pairs = scratch.table(banded.join(heads, "band").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    held = scratch.table(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "sets")
-    both = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("items").alias("ys")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("items").alias("xs")), "a")
+    return docs.mapInArrow(run, "id long, n_shingles long, high long, low long, bands array<long>")
+
+
+def near_groups(scratch: Scratch, docs: DataFrame, least: Fraction, words: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, component) of documents (id, text) and the links (a, b) that make the components."""
+    marked = scratch.table(banded_sets(docs, words), "bands")
+    signed = marked.where("id is not null and n_shingles > 0").select(F.explode("bands").alias("sig"), "id")
+    return joined_groups(scratch, docs, marked.drop("bands"), signed, words, least)
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, words: int = WORDS) -> DataFrame:
+    """(a, b, jaccard): verified links that hold each class of near copies together."""
+    scratch = Scratch(docs.sparkSession, "fingerprints")
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    links = scratch.table(near_groups(scratch, docs, Fraction(str(least)), words)[1], "links")
+    ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    sets = scratch.table(set_arrays(docs.join(ids, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
     shared = F.size(F.array_intersect("xs", "ys"))
-    return both.select("a", "b", (shared / (F.size("xs") + F.size("ys") - shared)).alias("jaccard")).where(F.col("jaccard") >= least)
+    return with_sets(links, sets).select("a", "b", (shared / (F.size("xs") + F.size("ys") - shared)).alias("jaccard"))
+
+
+def near_classes(docs: DataFrame, least: Fraction = Fraction(4, 5), words: int = WORDS) -> DataFrame:
+    """(doc_id, class_id) of the documents (doc_id, text) whose class is another's id."""
+    scratch = Scratch(docs.sparkSession, "fingerprints")
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    found, _ = near_groups(scratch, docs, least, words)
+    return scratch.table(found.where("id != component").groupBy("id").agg(F.min("component").alias("class_id")).withColumnRenamed("id", "doc_id"), "classes")
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(documents(spark, sf_dir, "doc_id", "text"))
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    classes = near_classes(docs)
+    few = classes.count() <= MOST_BROADCAST
+    marked = edited_fingerprints(docs).join(F.broadcast(classes) if few else classes, "doc_id", "left")
+    return marked.withColumn("class_id", F.coalesce("class_id", "doc_id"))

@@ -270,6 +270,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fr
     scratch = Scratch(docs.sparkSession, "partenum")
     docs = docs.select("id", "text")
     digests = scratch.table(set_digests(docs, words), "digests")
+    return joined_groups(scratch, docs, digests, signature_rows(docs.where("id is not null"), words, threshold), words, threshold)[0]
+
+
+def joined_groups(scratch: Scratch, docs: DataFrame, digests: DataFrame, signed: DataFrame, words: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, component) of documents (id, text) with their digests, and links (a, b) that hold the components together:
+    those verified, and of equal sets each with the least id. Sets that share a signature (sig, id) are candidates; no link between
+    two of a signature's sets is lost to its component."""
     least = digests.where("n_shingles > 0").groupBy("n_shingles", "high", "low").agg(F.min("id").alias("rep"))
     reps = scratch.table(digests.join(least, ["n_shingles", "high", "low"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "reps")
     own = reps.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.min("rep").alias("rep"))
@@ -277,7 +284,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fr
     linker.repeats = own.count() < reps.where("n_shingles > 0 and id is not null").count()
 
     # each bucket's least id, then the members of buckets that have others too
-    signed = signature_rows(docs.where("id is not null"), words, threshold)
     heads = signed.groupBy("sig").agg(F.min("id").alias("head"))
     shared = signed.join(heads, "sig").where("id > head")
     member = own.select("id", F.col("rep").alias("a"))
@@ -301,10 +307,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fr
         if large.isEmpty():
             break
         members = around_centres(linker, large, threshold)
+    links = reps.where("n_shingles > 0 and id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     if linker.labels is None:
-        return reps.select("id", "n_shingles", F.col("rep").alias("component"))
+        return reps.select("id", "n_shingles", F.col("rep").alias("component")), links
+    links = links.union(linker.tried.where("linked").select("a", "b")).distinct()
     placed = linker.labels.select(F.col("id").alias("rep"), "component")
-    return reps.join(placed, "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    return reps.join(placed, "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component")), links
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:

@@ -153,6 +153,20 @@ def test_near_copies_are_verified(spark):
     assert found == {(1, 2), (1, 4)}
 
 
+def test_near_copies_behind_a_smaller_unlike_id_share_a_class(spark, tmp_path):
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(280)]
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    tail = own(38)
+    # 1 to 30 share the passage with 40 and 41, are below 0.8 to all, and head every band; 40 and 41 are near copies
+    rows = [(i, " ".join(common + own(38))) for i in range(1, 31)] + [(40, " ".join(common + tail)), (41, " ".join(common + tail[:8] + own(30)))]
+    rows += [(50, ""), (51, None), (None, " ".join(common + tail))]
+    assert {(r.a, r.b) for r in fingerprints.near_copies(docs(spark, rows)).collect()} == {(40, 41)}
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id or 0, r.class_id) for r in fingerprints.op6_document_fingerprints(spark, str(tmp_path)).collect())
+    assert got == [(0, None), *((i, i) for i in range(1, 31)), (40, 40), (41, 40), (50, 50), (51, 51)]
+
+
 # --- packing
 
 
