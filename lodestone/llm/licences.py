@@ -1,10 +1,11 @@
 """License scans by an exact set-similarity join, in DataFrame operations only.
 
-A text block (a line) matches a template if it holds at least the threshold's share of the template's different words. Template words
-are ordered by how many blocks of the whole corpus hold them, rarest first. A block that matches must hold one of the first
-(words - needed + 1) words of the template in that order: those prefixes are joined with the blocks' words. The length filter asks
-for as many template words in the block as are needed; the positional filter asks that the words behind the joined one, in block and
-template, still suffice. What is left is verified on the full sets, so exactly the matching blocks are found.
+A text block is any run of as many words as the longest template has, wherever lines end: wrapped notices are whole, and words far
+apart make no match. A block matches a template if it holds at least the threshold's share of the template's different words. Template
+words are ordered by how many texts of the whole corpus hold them, rarest first. A text with a matching block must hold one of the
+first (words - needed + 1) words of the template in that order: those prefixes are joined with the texts' words. The length filter
+asks for as many template words in the text as are needed; the positional filter asks that the words behind the joined one, in text
+and template, still suffice. What is left is verified block by block, so exactly the matching texts are found.
 
 Templates are a fixed list, so their words, prefixes and counts are the only things collected or broadcast. Beside the join, phrases
 of consecutive words are counted and placed.
@@ -77,39 +78,50 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFra
     return out.select(*docs.columns, "n_words", total.cast("long").alias("n_base"), some(firsts, F.least).alias("first_word"), some(lasts, F.greatest).alias("last_word"), F.array_compact(F.array(*labels)).alias("base"))
 
 
-def block_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(key columns, block, held): the lines that hold template words, with those words in the vocabulary's order."""
-    lines = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    own = F.split(F.lower("line"), GAP)
-    held = F.array_intersect(F.array(*map(F.lit, vocabulary)), own)
-    return lines.select("doc_id", "text_key", "block", held.alias("held")).where(F.size("held") > 0)
+def held_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Adds held, the template words of each text that has any, in the vocabulary's order."""
+    held = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(F.lower("text"), GAP))
+    return docs.select("doc_id", "text_key", "text", held.alias("held")).where(F.size("held") > 0)
 
 
 def matching_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
-    """(doc_id, text_key, block, label, containment): every block of documents (doc_id, text_key, text) that meets the threshold."""
+    """(doc_id, text_key, block, label, containment): for each template that documents (doc_id, text_key, text) match, the first word
+    of the best block, from 0."""
     spark = docs.sparkSession
     sets = [(label, words_of(t)) for label, t in templates]
+    width = max(len("".join(c if c.isalnum() else " " for c in t).split()) for _, t in templates)
     vocabulary = sorted({w for _, ws in sets for w in ws})
-    counted = block_words(docs, vocabulary).select(F.explode("held").alias("word")).groupBy("word").count()
+    counted = held_words(docs, vocabulary).select(F.explode("held").alias("word")).groupBy("word").count()
     frequency = {r["word"]: r["count"] for r in counted.collect()}  # at most the templates' words
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
-    index, needs = [], []
+    index, needs, prefixes = [], [], set()
     for t, (label, ws) in enumerate(sets):
         ws = sorted(ws, key=place.get)
         need = math.ceil(threshold * len(ws) - 1e-9)
         needs.append(need)
+        prefixes |= set(ws[: len(ws) - need + 1])
         index += [(w, t, label, p, len(ws), need, ws) for p, w in enumerate(ws[: len(ws) - need + 1])]
     index = spark.createDataFrame(index, "word string, template int, label string, p int, n int, need int, words array<string>")
-    prefixes = F.array(*map(F.lit, sorted({r for r in order if any(r in sorted(ws, key=place.get)[: len(ws) - n + 1] for (_, ws), n in zip(sets, needs))})))
-    blocks = block_words(docs, order).where((F.size("held") >= min(needs)) & F.arrays_overlap("held", prefixes))
-    joined = blocks.select("*", F.posexplode("held").alias("q", "word")).join(F.broadcast(index), "word")
+    prefixes = F.array(*map(F.lit, sorted(prefixes)))
+    texts = held_words(docs, order).where((F.size("held") >= min(needs)) & F.arrays_overlap("held", prefixes))
+    rare = F.filter(F.transform("held", lambda w, q: F.struct(q.alias("q"), w.alias("word"))), lambda x: F.array_contains(prefixes, x["word"]))
+    joined = texts.withColumn("x", F.explode(rare)).select("doc_id", "text_key", "text", "held", "x.q", "x.word").join(F.broadcast(index), "word")
     length = F.size("held") >= F.col("need")
     position = F.least(F.col("n") - F.col("p"), F.size("held") - F.col("q")) >= F.col("need")
     # of several joined words of a pair the first in the order speaks for it; the words before it aren't shared, so its bound holds
     first = F.element_at(F.array_intersect("words", "held"), 1) == F.col("word")
-    shared = F.size(F.array_intersect("held", "words"))
-    return joined.where(length & first & position).withColumn("shared", shared).where("shared >= need").select("doc_id", "text_key", "block", "label", (F.col("shared") / F.col("n")).alias("containment"))
+    pairs = joined.where(length & first & position & (F.size(F.array_intersect("held", "words")) >= F.col("need")))
+    # a best block starts with a word of the template
+    own = F.filter(F.split(F.lower("text"), GAP), lambda w: w != "")
+    hits = F.filter(F.transform(own, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains("words", x["word"]))
+
+    def block(h, k):
+        inside = F.filter(F.slice("hits", k + 1, F.lit(width)), lambda x: x["at"] < h["at"] + width)
+        return F.struct(F.size(F.array_distinct(F.transform(inside, lambda x: x["word"]))).alias("shared"), (-h["at"]).alias("back"))
+
+    best = pairs.withColumn("hits", hits).withColumn("best", F.array_max(F.transform("hits", block))).where("best.shared >= need")
+    return best.select("doc_id", "text_key", (-F.col("best.back")).alias("block"), "label", (F.col("best.shared") / F.col("n")).alias("containment"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:

@@ -120,6 +120,16 @@ def test_license_scan_equals_plain_python(spark):
     assert licences.scan(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_notices_do_not_depend_on_line_ends(spark):
+    mit, bsd = (next(t for k, t in licences.TEMPLATES if k == label and len(t) > 100) for label in ("mit", "bsd"))
+    wrapped = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    far = " ".join(w + " x" * 200 for w in bsd.split())
+    filler = " ".join(f"f{i}" for i in range(3000))
+    rows = [(1, "Copyright\n\n" + wrapped(mit, 6) + "\n(the"), (2, "# " + wrapped(bsd, 8).replace("\n", "\n# ")), (3, far), (4, f"{filler} {mit} {filler}"), (5, wrapped(bsd, 1))]
+    got = {r.doc_id: sorted(set(r.found)) for r in licences.scan(docs(spark, rows)).collect()}
+    assert got == {1: ["mit"], 2: ["bsd"], 3: [], 4: ["mit"], 5: ["bsd"]}
+
+
 # --- fingerprints
 
 
