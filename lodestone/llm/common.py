@@ -70,6 +70,37 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken, found = {c.lower() for c in df.columns}, f"_{name}"
+    while found.lower() in taken:
+        found = f"_{found}"
+    return found
+
+
+#: A key is hot if it holds more than 1 / HOT of a table's rows, and more than HOT rows.
+HOT = 1000
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """left (a written table) joined with right, which has each key at most once.
+
+    Hot keys, at most HOT of them, are listed on the driver; their rows are dealt into parts by a hash, and right's rows repeated for
+    each part, so that no task gets all rows of one key. `counts` has the keys and a column n, their rows in left, if they are known."""
+    spark = left.sparkSession
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count("*").alias("n"))
+    most = max(HOT, left.count() // HOT)
+    hot = [tuple(r) for r in counts.where(F.col("n") > most).select(*on, "n").collect()]
+    if not hot:
+        return left.join(right, on, how)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*on).schema.fields)
+    parts = F.broadcast(spark.createDataFrame([(*key, -(-n // most)) for *key, n in hot], f"{schema}, _parts long"))
+    dealt = left.join(parts, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*left.columns), "_parts"), F.lit(0)).cast("long")).drop("_parts")
+    repeated = right.join(parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(repeated, [*on, "_part"], how).drop("_part")
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns or ("*",))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced, text_batches
-from .partenum import MOST_BROADCAST, joined_groups, set_arrays, with_sets
+from .partenum import MOST_BROADCAST, joined_groups, marked_sets, set_arrays, with_sets
 
 PERMUTATIONS, BANDS, WORDS = 128, 32, 5
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -145,37 +145,20 @@ def edited_fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def banded_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, n_shingles, high, low, bands) of documents (id, text): each set's size, 128 bits that stand for it, and a hash of each band."""
-    rows = PERMUTATIONS // BANDS
-
-    def run(batches):
-        for batch in sliced(batches, 1):
-            own = shingle_sets(batch.column(1), words)
-            marks = signatures(own)
-            with np.errstate(over="ignore"):
-                high = np.array([mix64(s + MIX).sum(dtype=np.uint64) for s in own], dtype=np.uint64)
-                low = np.array([mix64(s ^ MIX).sum(dtype=np.uint64) for s in own], dtype=np.uint64)
-                bands = np.zeros((len(own), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                for i in range(rows):
-                    bands = mix64(bands * MIX + marks[:, i::rows])
-            at = pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column(0),
-                "n_shingles": pa.array([len(s) for s in own], pa.int64()),
-                "high": pa.array(high.view(np.int64)),
-                "low": pa.array(low.view(np.int64)),
-                "bands": pa.ListArray.from_arrays(at, pa.array(bands.reshape(-1).view(np.int64))),
-            })
-
-    return docs.mapInArrow(run, "id long, n_shingles long, high long, low long, bands array<long>")
+def band_hashes(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """A hash of each band of each set's signature."""
+    marks = signatures(sets)
+    with np.errstate(over="ignore"):
+        bands = np.zeros((len(sets), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+        for i in range(PERMUTATIONS // BANDS):
+            bands = mix64(bands * MIX + marks[:, i :: PERMUTATIONS // BANDS])
+    return list(bands)
 
 
 def near_groups(scratch: Scratch, docs: DataFrame, least: Fraction, words: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n_shingles, component) of documents (id, text) and the links (a, b) that make the components."""
-    marked = scratch.table(banded_sets(docs, words), "bands")
-    signed = marked.where("id is not null and n_shingles > 0").select(F.explode("bands").alias("sig"), "id")
-    return joined_groups(scratch, docs, marked.drop("bands"), signed, words, least)
+    """(id, n_shingles, root, component) of documents (id, text) and the links (a, b) that make the components."""
+    marked = scratch.table(marked_sets(docs.select("id", F.lit(0).cast("long").alias("mark"), "text"), words, lambda: band_hashes), "bands")
+    return joined_groups(scratch, docs, marked, words, least)
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, words: int = WORDS) -> DataFrame:
@@ -184,7 +167,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = WORDS) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     links = scratch.table(near_groups(scratch, docs, Fraction(str(least)), words)[1], "links")
     ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    sets = scratch.table(set_arrays(docs.join(ids, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
+    sets = scratch.table(set_arrays(docs.join(ids, "id", "left_semi"), words).dropDuplicates(["id"]).withColumnRenamed("id", "key"), "sets")
     shared = F.size(F.array_intersect("xs", "ys"))
     return with_sets(links, sets).select("a", "b", (shared / (F.size("xs") + F.size("ys") - shared)).alias("jaccard"))
 

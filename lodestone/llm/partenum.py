@@ -1,128 +1,213 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets fall into bands of sizes. Two sets with Jaccard similarity of the threshold or more whose sizes lie in one band differ in at
-most k elements, so if the domain of shingle hashes is cut into k + 1 ranges, they agree on one range at least. A set's signature
-for a range is a hash of the elements it has there; sets that agree on a range share that signature. Bands overlap so that every
-pair of sizes that the threshold admits has a band in common.
+Sets fall into overlapping bands of sizes, so that every pair of sizes that the threshold admits has a band in common. Two sets of a
+band that reach the threshold differ in at most k elements. The domain of shingle hashes is cut into n partitions and each of these
+into three parts; at most k / 2 partitions hold two differences or more, so with n > k / 2 there are good ones: of their three parts
+two agree. A signature is the hash of two of a partition's three parts, and all three such subsets are enumerated; sets that agree on
+one share that signature.
+
+A set needs fewer than n partitions. What it may differ in depends on its own size, d elements, so with n partitions at least
+n - d / 2 are good for any partner; it emits the first d / 2 + 1, and one more for each of its partitions with an empty subset, which
+emits no signature (it would be common to unrelated sets). Whichever of two partners emits the fewer partitions, one of those is good
+and not empty. A set with too many empty subsets for that emits all its partitions and is cut anew by another hash as well; so are
+those partners for which it matters. After DEEPEST such cuts empty subsets count, so no pair is given up at any size.
 
 Sets that share a signature aren't paired with each other: each is paired with one of its bucket, the head of a star; the distinct
 pairs are verified on the full sets, and links are merged into components. Where a bucket's members then still lie in several
-components, a bucket of a few has all its pairs of different components tried. A larger one is taken apart around the set of
-elements that most of its members hold (see around_centres): pairs near that centre are settled by one more star, and the rest can
-only be linked if they share a rare difference from it, so those differences are the buckets of the next round. What two such rounds
-leave open is tried pair by pair. Copies with edits of their own share no such difference, so a large group of them costs its number
-of edits, not its square, and no link between different sets is lost.
-
-Ranges that hold nothing are common to unrelated sets. Up to REFINED ranges a set with an empty range has its whole set cut anew
-by another hash, as often as needed (the same pigeonhole holds there). With more ranges empty ones emit nothing: a pair would be
-missed only if its k differences fell into k different ranges, one each (chance n! / n^n, under 1e-13 from 33 ranges on), and from
-SPARSE ranges on, ranges with fewer than three elements emit nothing (under 1e-20). Both are rarer than equal 64-bit hashes.
-
-Defined results: null, empty or blank text gives the empty set, which is linked with nothing and is its own component; texts with
-fewer words than a shingle have their whole sequence as one shingle; repeated rows and equal sets share a component; a null id
-keeps its row, with a null component unless its text equals that of others; extra columns are ignored; an empty table gives none.
+components, a bucket of up to FEW has its pairs of different components tried. Larger ones are put together into clusters by the
+sets they share, and taken apart around the elements that most of a cluster's sets hold (see around_centres): pairs near that centre
+are settled by one more star, and the rest can only be linked if they share a rare difference from it, so those differences are the
+buckets of the next round, each with at most half of the sets. This ends when no large bucket is open. Copies with edits of their own
+share no such difference, so a large group of them costs its number of edits, not its square, and no link between different sets is
+lost.
+
+Before sets are read, pairs are dropped whose sizes, or whose parities of elements in 1,024 classes, already differ by more than the
+threshold allows. Keys that hold over a thousandth of a table's rows are joined in parts (see split_join).
+
+Sets are told apart by 128 bits, and by 64 of them while links are made. Defined results: null, empty or blank text gives the empty
+set, which is linked with nothing and is its own component; texts with fewer words than a shingle have their whole sequence as one
+shingle; repeated rows and equal sets share a component; rows that repeat an id with different texts are each linked by their own
+text; a null id keeps its row, with a null component unless its text equals that of others; very long texts are cut like others (their
+sets are read one pair at a time); extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced
+from .common import MIX, Scratch, documents, fresh, mix64, shingle_sets, sliced, split_join
 
-REFINED, SPARSE = 32, 128
-#: In groups of so many members all pairs of different components are tried at once; larger groups go on by stars, and so do
-#: the groups that these leave, for so many levels; then all pairs are tried.
-FEW, LEVELS = 64, 3
+#: Buckets of so many sets have their pairs of different components tried at once; larger ones go on around their centres.
+FEW = 8
+#: Cuts of a set by further hashes, while too many subsets are empty.
+DEEPEST = 6
+#: Longs that hold a set's parities.
+PARITY = 16
+#: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+#: Set digests that a task remembers, so that equal sets it meets are signed once.
+REMEMBERED = 500_000
+
+
+def differences(a: int, b: int, threshold: Fraction) -> int:
+    """How many elements sets of these sizes may differ in."""
+    return int((1 - threshold) / (1 + threshold) * (a + b))
 
 
 def size_bands(threshold: Fraction, largest: int) -> list[tuple[int, int, int]]:
-    """(least size, greatest size, greatest difference) of each band up to the largest size."""
+    """(least size, greatest size, partitions) of each band up to the largest size."""
     growth = 1 / threshold ** (4 if threshold >= Fraction(17, 20) else 2)
     bands, least = [], 1
     while least <= largest:
         following = int(least * growth) + 1
         most = int((following - 1) / threshold)
-        bands.append((least, most, int((1 - threshold) / (1 + threshold) * 2 * most)))
+        enough = differences(most, most, threshold) // 2 + 1
+        bands.append((least, most, enough + 1 + enough // 50))
         least = following
     return bands
 
 
-def signatures(own: np.ndarray, k: int, tag: np.uint64, depth: int = 0) -> np.ndarray:
-    """Signatures of a sorted set of 64-bit hashes for a difference of k elements."""
-    n = k + 1
-    edges = (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64)
-    at = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
+@lru_cache(maxsize=4096)
+def _edges(n: int) -> np.ndarray:
+    return (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64)
+
+
+@lru_cache(maxsize=4096)
+def _tags(tag: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(own + MIX), dtype=np.uint64)])
-        held = at[1:] - at[:-1]
-        found = mix64((sums[at[1:]] - sums[at[:-1]]) ^ mix64(tag + np.arange(n, dtype=np.uint64) * MIX))
-        if n > REFINED:
-            return found[held >= (3 if n >= SPARSE else 1)]
-        if n == 1 or depth == 3 or held.all():
-            return found
-        again = np.sort(mix64(own ^ (MIX * np.uint64(2 * depth + 3))))
-        return np.concatenate([found[held > 0], *(signatures(again, k, x, depth + 1) for x in found[held == 0])])
+        return mix64(np.uint64(tag) + np.arange(n, dtype=np.uint64) * MIX).reshape(-1, 3)
 
 
-def _batch_rows(ids: pa.Array, owners: list[int], values: list[np.ndarray]) -> dict:
-    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-    return {"sig": pa.array(flat.view(np.int64)), "id": ids.take(pa.array(np.repeat(np.array(owners, np.int64), [len(v) for v in values])))}
+def signatures(own: np.ndarray, partitions: int, needed: int, tag: int, depth: int = 0) -> np.ndarray:
+    """Signatures of a sorted set of 64-bit hashes that needs `needed` good partitions."""
+    with np.errstate(over="ignore"):
+        at = np.zeros(3 * partitions + 1, np.int64)
+        at[1:-1] = np.searchsorted(own, _edges(3 * partitions))
+        at[-1] = len(own)
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(mix64(own + MIX), out=sums[1:])
+        parts, held = np.diff(sums[at]).reshape(-1, 3), np.diff(at).reshape(-1, 3)
+        subsets, some = parts + parts[:, (1, 2, 0)], (held + held[:, (1, 2, 0)]) > 0
+        found = mix64(subsets ^ _tags(tag, 3 * partitions))
+    if depth == DEEPEST:
+        return found.reshape(-1)
+    emitted = needed + int((~some.all(1)).sum())
+    signed = found[:emitted][some[:emitted]]
+    if emitted <= partitions:
+        return signed
+    again = np.sort(mix64(own ^ (MIX * np.uint64(2 * depth + 3))))
+    return np.concatenate([signed, signatures(again, partitions, needed, tag + (1 << 32), depth + 1)])
+
+
+class Signer:
+    """All signatures of a set, over the bands that hold its size."""
+
+    def __init__(self, threshold: Fraction):
+        self.threshold, self.bands = threshold, size_bands(threshold, 4096)
+
+    def __call__(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        largest = max(map(len, sets), default=0)
+        if self.bands[-1][0] <= largest:
+            self.bands = size_bands(self.threshold, 2 * largest)
+        return [self.sign(own) for own in sets]
+
+    def sign(self, own: np.ndarray) -> np.ndarray:
+        size, found = len(own), [np.zeros(0, np.uint64)]
+        for j, (least, most, partitions) in enumerate(self.bands):
+            if least > size:
+                break
+            if size <= most:
+                d = differences(size, min(most, int(size / self.threshold)), self.threshold)
+                if d:  # else no other set of the band is that near
+                    found.append(signatures(own, partitions, d // 2 + 1, j + 1))
+        return np.concatenate(found)
+
+
+def lists(values: list[np.ndarray]) -> pa.ListArray:
+    at = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=at[1:])
+    flat = np.concatenate([*values, np.zeros(0, np.uint64)]).astype(np.uint64, copy=False)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
+
+
+def summaries(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    """n_shingles, high and low (128 bits that stand for the set) and bits (its parities)."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    with np.errstate(over="ignore"):
+        high, low = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(x), dtype=np.uint64)])[ends] for x in (flat + MIX, flat ^ MIX))
+        high, low = mix64(np.diff(high) + sizes.astype(np.uint64)), mix64(np.diff(low))
+    bits, width = [], 64 * PARITY
+    for a in range(0, len(sets), 512):
+        b = min(len(sets), a + 512)
+        place = np.repeat(np.arange(b - a, dtype=np.int64) * width, sizes[a:b]) + (flat[ends[a] : ends[b]] % np.uint64(width)).astype(np.int64)
+        odd = (np.bincount(place, minlength=(b - a) * width) & 1).astype(np.uint8)
+        bits.append(np.packbits(odd).view(np.int64))
+    flat_bits = np.concatenate([*bits, np.zeros(0, np.int64)])
+    at = np.arange(len(sets) + 1, dtype=np.int32) * PARITY
+    return {"n_shingles": pa.array(sizes), "high": pa.array(high.view(np.int64)), "low": pa.array(low.view(np.int64)), "bits": pa.ListArray.from_arrays(pa.array(at), pa.array(flat_bits))}
 
 
-def signature_rows(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """(sig, id): every signature of every set."""
+def marked_sets(docs: DataFrame, words: int, signer) -> DataFrame:
+    """(id, mark, n_shingles, high, low, bits, sigs) of documents (id, mark, text): one pass over the texts.
 
-    def run(batches):
-        bands: list[tuple[int, int, int]] = []
-        for batch in sliced(batches, 1):
-            sets = shingle_sets(batch.column(1), words)
-            largest = max([0, *map(len, sets)])
-            if not bands or bands[-1][0] <= largest:
-                bands = size_bands(threshold, 2 * largest + 2)
-            owners, values = [], [np.zeros(0, np.uint64)]
-            for i, own in enumerate(sets):
-                for j, (least, most, k) in enumerate(bands):
-                    if least > len(own):
-                        break
-                    if len(own) <= most:
-                        values.append(signatures(own, k, mix64(np.array([j + 1], np.uint64))[0]))
-                        owners.append(np.full(len(values[-1]), i, np.int64))
-            at = pa.array(np.concatenate([np.zeros(0, np.int64), *owners]))
-            yield pa.RecordBatch.from_pydict({"sig": pa.array(np.concatenate(values).view(np.int64)), "id": batch.column(0).take(at)})
-
-    return docs.select("id", "text").mapInArrow(run, "sig long, id long")
-
-
-def set_digests(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n_shingles, high, low): the size of each set and 128 bits that stand for it."""
+    `signer()` makes a function from a list of sets to their signatures. Of equal sets that a task meets the first has signatures."""
 
     def run(batches):
-        for batch in sliced(batches, 1):
-            sets = shingle_sets(batch.column(1), words)
-            with np.errstate(over="ignore"):
-                high = np.array([mix64(s + MIX).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-                low = np.array([mix64(s ^ MIX).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "high": pa.array(high.view(np.int64)), "low": pa.array(low.view(np.int64))})
-
-    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, high long, low long")
+        sign, seen = signer(), set()
+        for batch in sliced(batches, 2):
+            sets = shingle_sets(batch.column(2), words)
+            out = summaries(sets)
+            new, named = [], np.asarray(batch.column(0).is_valid().cast(pa.uint8()), bool)
+            for i, key in enumerate(out["high"].to_pylist()):
+                if len(sets[i]) and named[i] and key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            signed = [np.zeros(0, np.uint64)] * len(sets)
+            for i, s in zip(new, sign([sets[i] for i in new])):
+                signed[i] = s
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "mark": batch.column(1), **out, "sigs": lists(signed)})
+
+    return docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, n_shingles long, high long, low long, bits array<long>, sigs array<long>")
 
 
 def set_arrays(docs: DataFrame, words: int) -> DataFrame:
-    """(id, items): each set as a sorted array of hashes."""
+    """(id, high, items): each set as a sorted array of hashes."""
 
     def run(batches):
         for batch in sliced(batches, 1):
             sets = shingle_sets(batch.column(1), words)
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "items": pa.ListArray.from_arrays(pa.array(at), pa.array(flat))})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "high": summaries(sets)["high"], "items": lists(sets)})
+
+    return docs.select("id", "text").mapInArrow(run, "id long, high long, items array<long>")
+
+
+def buckets(scratch: Scratch, marked: DataFrame) -> DataFrame:
+    """(g, a): the sets that share a signature with others. Buckets with the same sets are one: g is a hash of what they hold.
 
-    return docs.select("id", "text").mapInArrow(run, "id long, items array<long>")
+    Signatures that hold over 1 / 100,000 of all, as a sample shows, are at most so many and are sent to all tasks, so their buckets
+    aren't put together in one; the others are."""
+    signed = lambda rows: rows.select(F.explode("sigs").alias("sig"), F.col("high").alias("a"))
+    sample = signed(marked.where(F.pmod(F.xxhash64("high"), F.lit(16)) == 0))
+    total = marked.where(F.pmod(F.xxhash64("high"), F.lit(16)) == 0).agg(F.sum(F.size("sigs"))).first()[0] or 0
+    hot = scratch.table(sample.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > max(16, total // 100_000)).select("sig"), "hot")
+    some = not hot.isEmpty()
+    cold = signed(marked).join(F.broadcast(hot), "sig", "left_anti") if some else signed(marked)
+    bucket = Window.partitionBy("sig")
+    held = cold.withColumn("least", F.min("a").over(bucket)).withColumn("most", F.max("a").over(bucket)).withColumn("held", F.bit_xor(F.xxhash64("a")).over(bucket)).withColumn("n", F.count("*").over(bucket))
+    members = held.where("least < most").select(F.xxhash64("least", "most", "held", "n").alias("g"), "a")
+    if some:
+        members = members.union(signed(marked).join(F.broadcast(hot), "sig").select(F.col("sig").alias("g"), "a"))
+    return scratch.table(members.distinct(), "members")
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -131,14 +216,17 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
         # larger neighbours go to the least of u and its neighbours; then u and its smaller ones to the least of those
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nearest = least.select("u", F.least("m", "u").alias("m"))
+        large = split_join(both.where("v > u"), nearest, ["u"], least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.table(large, "large")
+        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        small = split_join(large, low.select("u", "m"), ["u"], low).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = scratch.table(small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "stars")
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(edges)
+        for done in (edges, least, large, low):
+            scratch.drop(done)
         edges = stars
         if state == before:
             break
@@ -147,32 +235,29 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sets of both, xs and ys."""
-    left, right = sets.select(F.col("id").alias("b"), F.col("items").alias("ys")), sets.select(F.col("id").alias("a"), F.col("items").alias("xs"))
-    return pairs.join(left, "b").join(right, "a")
+    """Pairs (a, b), a written table, with the sets of both, xs and ys."""
+    both = split_join(pairs, sets.select(F.col("key").alias("b"), F.col("items").alias("ys")), ["b"])
+    return both.join(sets.select(F.col("key").alias("a"), F.col("items").alias("xs")), "a")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b, linked): whether the sets of a pair reach the threshold, in whole numbers."""
+    """(a, b) of the pairs whose sets reach the threshold, in whole numbers."""
     both = with_sets(pairs, sets).withColumn("shared", F.size(F.array_intersect("xs", "ys")).cast("long"))
     union = F.size("xs") + F.size("ys") - F.col("shared")
-    return both.select("a", "b", (F.col("shared") * threshold.denominator >= union * threshold.numerator).alias("linked"))
-
-
-#: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
-MOST_BROADCAST = 4_000_000
+    return both.where(F.col("shared") * threshold.denominator >= union * threshold.numerator).select("a", "b")
 
 
 class Linker:
-    """Verifies stars, merges their links and keeps what has been tried."""
+    """Verifies pairs of sets (a, b), merges components over their links, and keeps what has been tried. A set goes by its key."""
 
-    def __init__(self, scratch: Scratch, docs: DataFrame, words: int, threshold: Fraction):
+    def __init__(self, scratch: Scratch, docs: DataFrame, summary: DataFrame, words: int, threshold: Fraction):
         self.scratch, self.docs, self.words, self.threshold = scratch, docs, words, threshold
-        self.tried = self.sets = self.labels = None
+        self.summary = summary  # (key, id, n_shingles, bits) of the sets that share signatures
+        self.tried = self.sets = self.labels = self.links = None
 
-    def placed(self, members: DataFrame, *ids: str) -> DataFrame:
-        """Adds c_<id>, the present component of each named id column."""
-        for i in ids:
+    def placed(self, members: DataFrame, *keys: str) -> DataFrame:
+        """Adds c_<key>, the present component of each named key column."""
+        for i in keys:
             if self.labels is None:
                 members = members.withColumn(f"c_{i}", F.col(i))
             else:
@@ -180,148 +265,228 @@ class Linker:
                 members = members.join(found, i, "left").withColumn(f"c_{i}", F.coalesce(f"c_{i}", i))
         return members
 
-    def load(self, pairs: DataFrame) -> None:
-        """Makes the sets of all ids in pairs available."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def load(self, keys: DataFrame) -> None:
+        """Makes the sets of (key) available."""
         if self.sets is not None:
-            ids = ids.join(self.sets.select("id"), "id", "left_anti")
-        ids = self.scratch.table(ids, "involved")
-        n = ids.count()
+            keys = keys.join(self.sets.select("key"), "key", "left_anti")
+        keys = self.scratch.table(keys.join(self.summary.select("key", "id"), "key"), "involved")
+        n = keys.count()
         if not n:
             return
-        texts = self.docs.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "id", "left_semi")
-        more = self.scratch.table(set_arrays(texts, self.words).dropDuplicates(["id"]) if self.repeats else set_arrays(texts, self.words), "sets")
+        sent = F.broadcast(keys) if n <= MOST_BROADCAST else keys
+        found = set_arrays(self.docs.join(sent.select("id"), "id", "left_semi"), self.words)
+        # an id may have several texts
+        found = found.join(sent.select("id", F.col("key").alias("high")), ["id", "high"], "left_semi").select(F.col("high").alias("key"), "items")
+        more = self.scratch.table(found, "sets")
+        if more.count() > n:  # rows are repeated
+            more = self.scratch.table(more.dropDuplicates(["key"]), "sets")
         self.sets = more if self.sets is None else self.sets.union(more)
 
+    def near_enough(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sizes and parities don't rule them out."""
+        side = lambda k: self.summary.select(F.col("key").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+        both = split_join(pairs, side("b"), ["b"]).join(side("a"), "a")
+        t = self.threshold
+        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        sizes = F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator
+        return both.where(sizes & (apart * (t.denominator + t.numerator) <= (F.col("n_a") + F.col("n_b")) * (t.denominator - t.numerator))).select("a", "b")
+
     def verify(self, pairs: DataFrame) -> None:
         """Tries the pairs (a, b) that haven't been tried and lie in two components, and merges components over the links."""
-        pairs = self.placed(pairs, "a", "b").where("c_a != c_b").select("a", "b")
+        both_ways = (F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        pairs = self.placed(pairs, "a", "b").where("c_a != c_b").select("a", "b", *both_ways)
         if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = self.scratch.table(pairs, "pairs")
+            pairs = pairs.join(self.tried, ["low", "high"], "left_anti")
+        pairs = self.scratch.table(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
             return
-        self.load(pairs)
-        more = self.scratch.table(verified(pairs, self.sets, self.threshold), "verified")
-        self.tried = more if self.tried is None else self.tried.union(more)
-        links = self.tried.where("linked")
-        if not more.where("linked").isEmpty():
-            self.labels = self.scratch.table(components(self.scratch, links), "components")
+        tried = pairs.select(*both_ways)
+        self.tried = tried if self.tried is None else self.tried.union(tried)
+        near = self.scratch.table(self.near_enough(pairs), "near")
+        if near.isEmpty():
+            return
+        self.load(near.select(F.col("a").alias("key")).union(near.select("b")).distinct())
+        links = self.scratch.table(verified(near, self.sets, self.threshold), "links")
+        if not links.isEmpty():
+            self.merge(links)
         self.scratch.release()
 
+    def merge(self, links: DataFrame) -> None:
+        self.links = links if self.links is None else self.links.union(links)
+        between = self.placed(links, "a", "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        found = components(self.scratch, between)
+        if self.labels is not None:
+            moved = split_join(self.labels.withColumnRenamed("component", "old"), found.select(F.col("id").alias("old"), "component"), ["old"], how="left")
+            moved = moved.select("id", F.coalesce("component", "old").alias("component"))
+            found = moved.union(found.join(self.labels.select("id"), "id", "left_anti").select("id", "component"))
+        self.labels = self.scratch.table(found, "labels")
+
 
 def stars_of(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of each group's head and its other members (g, a, short). The head is the member of most groups: among copies
-    of one text that is the text itself, or what is nearest to it."""
+    """(a, h): pairs of each group's head and its other members (g, a), a written table. The head is the member of most groups: among
+    copies of one text that is the text itself, or what is nearest to it."""
     degree = members.groupBy("a").agg(F.count("*").alias("degree"))
-    heads = members.join(degree, "a").groupBy("g").agg(F.max_by("a", F.struct("degree", -F.col("a"))).alias("h"))
-    return members.join(heads, "g").where("a != h").select("a", "h").distinct()
+    heads = members.join(degree, "a").groupBy("g").agg(F.max_by("a", F.struct("degree", F.col("a"))).alias("h"))
+    return split_join(members, heads, ["g"]).where("a != h").select("a", "h").distinct()
 
 
 def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    """(a, b) of pairs, b being what many share."""
+    return pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
 
 
 def still_open(linker: Linker, members: DataFrame) -> DataFrame:
     """(g, a, short, c_a, n): groups whose members lie in several components, and their sizes. Of groups with the same members one
     stays."""
-    rest = linker.placed(members, "a")
-    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "short")).alias("x"), F.sum("a").alias("y")]
+    rest = linker.scratch.table(linker.placed(members, "a"), "rest")
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "short")).alias("x"), F.sum(F.xxhash64("a") % (1 << 30)).alias("y")]
     several = rest.groupBy("g").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high"), F.max("short").alias("some"), *same).where("low < high and some")
-    several = several.groupBy("n", "x", "y").agg(F.min("g").alias("g"))
-    return rest.join(several.select("g", "n"), "g").select("g", "a", "short", "c_a", "n")
+    several = linker.scratch.table(several.groupBy("n", "x", "y").agg(F.min("g").alias("g")), "several")
+    return split_join(rest, several.select("g", "n"), ["g"]).select("g", "a", "short", "c_a", "n")
+
+
+def clusters(scratch: Scratch, large: DataFrame) -> DataFrame:
+    """(g, a, short): groups (g, a), a written table, that share members put together; each set is then in one."""
+    first = large.groupBy("g").agg(F.min("a").alias("b"))
+    edges = split_join(large.select("g", "a"), first, ["g"]).select("a", "b")
+    return components(scratch, edges).select(F.col("component").alias("g"), F.col("id").alias("a"), F.lit(True).alias("short"))
 
 
-def around_centres(linker: Linker, large: DataFrame, threshold: Fraction) -> DataFrame:
-    """Settles the pairs of large groups (g, a) that lie near the group's centre, and gives the groups (g, a, short) in which all
-    other links of theirs are found.
+def around_centres(linker: Linker, named: DataFrame) -> DataFrame:
+    """Settles the pairs of large groups (g, a), a written table, that lie near the group's centre, and gives the groups (g, a, short)
+    in which all other links of theirs are found.
 
     The centre is the set of elements that most members hold; D(x) is where a member x differs from it. With c = (1 - t) / (1 + t) at
     threshold t and excess e(x) = |D(x)| - c |x|, x and y are linked exactly if e(x) + e(y) <= 2 |D(x) and D(y)|. If that holds
     without a shared element, both are linked to the member m of least excess, so a star around m settles it. Else, with e(y) the
     lesser, the shared part is at least e(y), and at least (e(x) + e(m)) / 2: so the rarest elements of D(x) and D(y), short of these
     counts less one, hold a shared element. Edits of a copy's own are the rarest and are shared with nobody."""
-    scratch, unit = linker.scratch, threshold.numerator + threshold.denominator
-    named = large.select("g", "a").distinct()
-    linker.load(named.select("a", F.col("a").alias("b")))
-    held = named.join(linker.sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a")
-    sizes = named.groupBy("g").agg(F.count("*").alias("n"))
+    scratch, threshold = linker.scratch, linker.threshold
+    unit = threshold.numerator + threshold.denominator
+    linker.load(named.select(F.col("a").alias("key")).distinct())
+    sizes = scratch.table(named.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    held = named.join(linker.sets.select(F.col("key").alias("a"), F.col("items").alias("xs")), "a")
     common = held.select("g", F.explode("xs").alias("d")).groupBy("g", "d").agg(F.count("*").alias("often")).join(sizes, "g").where("2 * often > n")
     centres = scratch.table(common.groupBy("g").agg(F.collect_list("d").alias("centre")), "centres")  # at most two sets' elements
-    apart = held.join(centres, "g", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
+    apart = split_join(named, centres, ["g"], sizes, "left").join(linker.sets.select(F.col("key").alias("a"), F.col("items").alias("xs")), "a")
+    apart = apart.withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
     apart = apart.select("g", "a", F.size("xs").alias("size"), F.array_union(F.array_except("xs", "centre"), F.array_except("centre", "xs")).alias("ds"))
     excess = F.size("ds").cast("long") * unit - F.col("size") * (threshold.denominator - threshold.numerator)
     apart = scratch.table(apart.select("g", "a", "ds", excess.alias("e")), "apart")
-    least = apart.groupBy("g").agg(F.min("e").alias("least"), F.min_by("a", F.struct("e", "a")).alias("m"))
-    linker.verify(ordered(named.join(least, "g").where("a != m"), "a", "m"))
+    least = scratch.table(apart.groupBy("g").agg(F.min("e").alias("least"), F.min_by("a", F.struct("e", "a")).alias("m")), "least")
+    around = scratch.table(split_join(apart, least, ["g"], sizes).select("g", "a", "ds", "e", "least", "m"), "around")
+    linker.verify(ordered(around.where("a != m"), "a", "m"))
 
-    elements = apart.join(least.select("g", "least"), "g").select("g", "a", "e", "least", F.size("ds").alias("k"), F.explode("ds").alias("d"))
-    often = elements.groupBy("g", "d").agg(F.count("*").alias("often"))
+    elements = around.select("g", "a", "e", "least", F.size("ds").alias("k"), F.explode("ds").alias("d"))
+    often = scratch.table(elements.groupBy("g", "d").agg(F.count("*").alias("often")), "often")
+    often_of = split_join(scratch.table(elements, "elements"), often, ["g", "d"], often.withColumnRenamed("often", "n"))
     place = F.row_number().over(Window.partitionBy("g", "a").orderBy("often", "d"))
     short = F.col("k") - F.greatest(F.lit(1), F.ceil(F.col("e") / unit)) + 1
     long = F.col("k") - F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("least")) / (2 * unit))) + 1
     # an element that one member alone has is shared with nobody, but it takes its place in the order
-    kept = elements.join(often, ["g", "d"]).withColumn("place", place).where((F.col("place") <= long) & (F.col("often") > 1))
+    kept = often_of.withColumn("place", place).where((F.col("place") <= long) & (F.col("often") > 1))
     return kept.select(F.xxhash64("g", "d").alias("g"), "a", (F.col("place") <= short).alias("short"))
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """(id, n_shingles, component) of documents (id, text). The component is the least id that links reach."""
-    scratch = Scratch(docs.sparkSession, "partenum")
-    docs = docs.select("id", "text")
-    digests = scratch.table(set_digests(docs, words), "digests")
-    return joined_groups(scratch, docs, digests, signature_rows(docs.where("id is not null"), words, threshold), words, threshold)[0]
-
-
-def joined_groups(scratch: Scratch, docs: DataFrame, digests: DataFrame, signed: DataFrame, words: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(id, n_shingles, component) of documents (id, text) with their digests, and links (a, b) that hold the components together:
-    those verified, and of equal sets each with the least id. Sets that share a signature (sig, id) are candidates; no link between
-    two of a signature's sets is lost to its component."""
-    least = digests.where("n_shingles > 0").groupBy("n_shingles", "high", "low").agg(F.min("id").alias("rep"))
-    reps = scratch.table(digests.join(least, ["n_shingles", "high", "low"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "reps")
-    own = reps.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.min("rep").alias("rep"))
-    linker = Linker(scratch, docs, words, threshold)
-    linker.repeats = own.count() < reps.where("n_shingles > 0 and id is not null").count()
-
-    # each bucket's least id, then the members of buckets that have others too
-    heads = signed.groupBy("sig").agg(F.min("id").alias("head"))
-    shared = signed.join(heads, "sig").where("id > head")
-    member = own.select("id", F.col("rep").alias("a"))
-    head = own.select(F.col("id").alias("head"), F.col("rep").alias("h"))
-    found = shared.join(member, "id").join(head, "head").where("a != h")
-    members = found.select(F.col("sig").alias("g"), F.explode(F.array("h", "a")).alias("a"), F.lit(True).alias("short")).distinct()
-    for level in range(1, LEVELS + 1):
-        members = scratch.table(members, "members")
-        scratch.release()
+def link_all(linker: Linker, members: DataFrame) -> None:
+    """Finds the components of all links between sets that have a group (g, a) in common, a written table."""
+    scratch, level = linker.scratch, 0
+    members = members.select("g", "a", F.lit(True).alias("short"))
+    while True:
+        level += 1
         stars = scratch.table(stars_of(members), "stars")
-        linker.verify(ordered(stars.groupBy("a").agg(F.min("h").alias("h")), "a", "h"))  # most groups are one component now
+        popular = stars.groupBy("h").agg(F.count("*").alias("n"))
+        known = split_join(stars, popular, ["h"], popular)
+        linker.verify(known.groupBy("a").agg(F.max_by("h", F.struct("n", "h")).alias("b")))  # most groups are one component now
         linker.verify(ordered(stars, "a", "h"))
         open_ = scratch.table(still_open(linker, members), "open")
-        few = open_.where(F.col("n") <= FEW) if level < LEVELS else open_
+        few = open_.where(F.col("n") <= FEW)
         other = few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("short").alias("s_b"))
         linker.verify(few.join(other, "g").where("a < b and c_a != c_b and (short or s_b)").select("a", "b").distinct())
-        large = open_.where(F.col("n") > FEW)
-        if level == LEVELS or large.isEmpty():
-            break
-        large = scratch.table(still_open(linker, large.select("g", "a", "short")), "large")
+        large = scratch.table(open_.where(F.col("n") > FEW).select("g", "a", "short"), "large")
         if large.isEmpty():
-            break
-        members = around_centres(linker, large, threshold)
-    links = reps.where("n_shingles > 0 and id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+            return
+        large = scratch.table(still_open(linker, large).select("g", "a", "short"), "large")
+        if large.isEmpty():
+            return
+        # once only: differences from a centre are other groups than signatures make
+        named = scratch.table(clusters(scratch, large) if level == 1 else large.select("g", "a").distinct(), "named")
+        members = scratch.table(around_centres(linker, named), "members")
+        scratch.release()
+
+
+def joined_groups(scratch: Scratch, docs: DataFrame, marked: DataFrame, words: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, n_shingles, root, component) of documents (id, text) with their marked sets, a written table that is dropped, and links (a, b)
+    between ids that hold the components together: those verified, and of equal sets each with the least id. Sets that share a
+    signature are candidates; no link between two of a signature's sets is lost to its component."""
+    light = scratch.table(marked.select("id", "mark", "n_shingles", F.col("high").alias("key")), "light")
+    filled = light.where("n_shingles > 0")
+    copies = scratch.table(filled.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "copies")
+    members = buckets(scratch, marked)
+    named = scratch.table(members.select(F.col("a").alias("key")).distinct().join(copies.select("key", "id"), "key"), "named")
+    summary = marked.where("n_shingles > 0").select(F.col("high").alias("key"), "id", "n_shingles", "bits").join(named, ["key", "id"])
+    summary = scratch.table(summary, "summary")
+    if summary.count() > named.count():  # rows are repeated
+        summary = scratch.table(summary.dropDuplicates(["key"]), "summary")
+    scratch.drop(marked)
+    scratch.release()
+    linker = Linker(scratch, docs, summary, words, threshold)
+    link_all(linker, members)
+    roots = copies.select("key", "id", "n")
     if linker.labels is None:
-        return reps.select("id", "n_shingles", F.col("rep").alias("component")), links
-    links = links.union(linker.tried.where("linked").select("a", "b")).distinct()
-    placed = linker.labels.select(F.col("id").alias("rep"), "component")
-    return reps.join(placed, "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component")), links
+        roots = scratch.table(roots.select("key", "n", F.col("key").alias("root"), F.col("id").alias("component")), "roots")
+    else:
+        labelled = scratch.table(roots.join(linker.labels.select(F.col("id").alias("key"), F.col("component").alias("root")), "key"), "labelled")
+        ids = scratch.table(labelled.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("n")), "ids")
+        linked = split_join(labelled, ids.select("root", "component"), ["root"], ids).select("key", "n", "root", "component")
+        alone = roots.join(linker.labels.select(F.col("id").alias("key")), "key", "left_anti").select("key", "n", F.col("key").alias("root"), F.col("id").alias("component"))
+        roots = scratch.table(linked.union(alone), "roots")
+    placed = split_join(filled, roots.select("key", "root", "component"), ["key"], roots).select("id", "mark", "n_shingles", "root", "component")
+    none = light.where("n_shingles = 0").select("id", "mark", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("id").alias("component"))
+    equal = split_join(filled.where("id is not null"), copies.select("key", F.col("id").alias("a")), ["key"], copies).where("id > a").select("a", F.col("id").alias("b"))
+    if linker.links is not None:
+        name = lambda k: copies.select(F.col("key").alias(k), F.col("id").alias(f"id_{k}"))
+        between = split_join(linker.links, name("b"), ["b"]).join(name("a"), "a").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        equal = equal.union(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return placed.union(none), equal.distinct()
+
+
+def jaccard_groups(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """(id, mark, n_shingles, root, component) of documents (id, mark, text): rows of one root are linked, and component is the least
+    id among them; rows without words have no root."""
+    scratch = Scratch(docs.sparkSession, "partenum")
+    marked = scratch.table(marked_sets(docs, words, lambda: Signer(threshold)), "marked")
+    return joined_groups(scratch, docs.select("id", "text"), marked, words, threshold)[0]
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """(id, n_shingles, component) of documents (id, text). The component is the least id that links reach."""
+    found = jaccard_groups(docs.select(F.col("id").cast("long"), F.lit(0).cast("long").alias("mark"), "text"), words, threshold)
+    return found.select("id", "n_shingles", "component")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """Pipeline stage: of each group of near copies the row with the least doc_id stays, all columns as they were.
 
-    Rows without words, and rows with a null doc_id, are in no group and stay; of rows that repeat a doc_id one stays."""
-    found = jaccard_components(docs.select(F.col("doc_id").cast("long").alias("id"), "text"))
-    gone = found.where("id != component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    Rows without words, and rows with a null doc_id, are in no group and stay. Of rows that repeat a doc_id with the same text one
+    stays; with different texts of one group one of them does; with texts of different groups each is kept or goes with its own."""
+    id_, mark, text = fresh(docs, "id"), fresh(docs, "mark"), F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64(text))
+    scratch = Scratch(spark, "near-copies")
+    groups = jaccard_groups(keyed.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(mark).alias("mark"), "text"))
+    rows = scratch.table(groups.where("root is not null").groupBy("root", "id", "mark").agg(F.count("*").alias("n")), "rows")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    sizes = scratch.table(sizes, "sizes")
+    firsts = rows.join(sizes.select("root", F.col("least").alias("id")), ["root", "id"]).groupBy("root").agg(F.min("id").alias("kept"), F.min("mark").alias("own"))
+    tested = split_join(rows, scratch.table(firsts, "firsts"), ["root"], sizes)
+    gone = scratch.table(tested.where("id != kept or mark != own").select(F.col("id").alias(id_), F.col("mark").alias(mark)), "gone")
+    again = scratch.table(rows.where("n > 1").select(F.col("id").alias(id_), F.col("mark").alias(mark)), "again")
+    sent = lambda x: F.broadcast(x) if x.count() <= MOST_BROADCAST else x
+    kept = keyed.join(sent(gone), [id_, mark], "left_anti")
+    if not again.isEmpty():
+        several = kept.join(sent(again), [id_, mark], "left_semi").dropDuplicates([id_, mark])
+        kept = kept.join(sent(again), [id_, mark], "left_anti").unionByName(several)
+    return kept.select(docs.columns)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
