@@ -86,12 +86,13 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFra
     """left (a written table) joined with right, which has each key at most once.
 
     Hot keys, at most HOT of them, are listed on the driver; their rows are dealt into parts by a hash, and right's rows repeated for
-    each part, so that no task gets all rows of one key. `counts` has the keys and a column n, their rows in left, if they are known."""
+    each part, so that no task gets all rows of one key. `counts`, if given, has left's keys and a column n, their rows."""
     spark = left.sparkSession
     if counts is None:
         counts = left.groupBy(*on).agg(F.count("*").alias("n"))
-    most = max(HOT, left.count() // HOT)
-    hot = [tuple(r) for r in counts.where(F.col("n") > most).select(*on, "n").collect()]
+    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+    most = max(HOT, (total or 0) // HOT)
+    hot = [tuple(r) for r in counts.where(F.col("n") > most).select(*on, "n").collect()] if (largest or 0) > most else []
     if not hot:
         return left.join(right, on, how)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*on).schema.fields)

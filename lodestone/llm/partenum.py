@@ -101,7 +101,7 @@ def signatures(own: np.ndarray, partitions: int, needed: int, tag: int, depth: i
     signed = found[:emitted][some[:emitted]]
     if emitted <= partitions:
         return signed
-    again = np.sort(mix64(own ^ (MIX * np.uint64(2 * depth + 3))))
+    again = np.sort(mix64(own ^ _tags(2 * depth + 3, 3)[0, 0]))
     return np.concatenate([signed, signatures(again, partitions, needed, tag + (1 << 32), depth + 1)])
 
 
@@ -395,7 +395,7 @@ def link_all(linker: Linker, members: DataFrame) -> None:
     while True:
         level += 1
         stars = scratch.table(stars_of(members), "stars")
-        popular = stars.groupBy("h").agg(F.count("*").alias("n"))
+        popular = scratch.table(stars.groupBy("h").agg(F.count("*").alias("n")), "popular")
         known = split_join(stars, popular, ["h"], popular)
         linker.verify(known.groupBy("a").agg(F.max_by("h", F.struct("n", "h")).alias("b")))  # most groups are one component now
         linker.verify(ordered(stars, "a", "h"))
