@@ -82,21 +82,23 @@ def fresh(df: DataFrame, name: str) -> str:
 HOT = 1000
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """left (a written table) joined with right, which has each key at most once.
-
-    Hot keys, at most HOT of them, are listed on the driver; their rows are dealt into parts by a hash, and right's rows repeated for
-    each part, so that no task gets all rows of one key. `counts`, if given, has left's keys and a column n, their rows."""
-    spark = left.sparkSession
-    if counts is None:
-        counts = left.groupBy(*on).agg(F.count("*").alias("n"))
+def hot_parts(counts: DataFrame, on: list[str]) -> DataFrame | None:
+    """(on, _parts): the hot keys of (on, n), at most HOT of them, and into how many parts each is to be cut; None if there are none."""
     total, largest = counts.agg(F.sum("n"), F.max("n")).first()
     most = max(HOT, (total or 0) // HOT)
-    hot = [tuple(r) for r in counts.where(F.col("n") > most).select(*on, "n").collect()] if (largest or 0) > most else []
-    if not hot:
+    if (largest or 0) <= most:
+        return None
+    hot = [tuple(r) for r in counts.where(F.col("n") > most).select(*on, "n").collect()]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*on).schema.fields)
+    return counts.sparkSession.createDataFrame([(*key, -(-n // most)) for *key, n in hot], f"{schema}, _parts long")
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], parts: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined with right, which has each key at most once. The rows of hot keys (see hot_parts) are dealt into parts by a hash, and
+    right's rows repeated for each part, so that no task gets all rows of one key."""
+    if parts is None:
         return left.join(right, on, how)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*on).schema.fields)
-    parts = F.broadcast(spark.createDataFrame([(*key, -(-n // most)) for *key, n in hot], f"{schema}, _parts long"))
+    parts = F.broadcast(parts)
     dealt = left.join(parts, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*left.columns), "_parts"), F.lit(0)).cast("long")).drop("_parts")
     repeated = right.join(parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(repeated, [*on, "_part"], how).drop("_part")

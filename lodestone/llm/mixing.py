@@ -2,28 +2,34 @@
 
 Targets: the total is shared by weight; no source's target exceeds `most_repeats` times its size, and what is cut off is reshared by
 weight among the others. Order: each source's documents are shuffled by a hash of the id, laid end to end and cut into blocks of
-equal word counts. Schedule: slot t of the mix looks up the fraction of t times the golden ratio in the sources' cumulative target
-shares, so every source's slots are spread evenly. Slots are ranked within their source, and the source's r-th slot takes its r-th
-block, starting over after the last one; the slot that reaches the target is cut there.
+equal word counts. Schedule: slot t of the mix looks up the fraction of t times the golden ratio (40 bits, in whole numbers) in the
+sources' cumulative target shares, so every source's slots are spread evenly. Slots are ranked within their source, and the source's
+r-th slot takes its r-th block, starting over after the last one; the slot that reaches the target is cut there. There are as many
+slots as all sources need. A source's count strays from its need by a few slots, so what some have too many is given, in order, to
+those that have too few: at most some 2 log2(slots) for each source.
 
 Running sums and ranks go in two levels (sums of bounded cells, then inside a cell), so no source, however large, meets in one task.
 Sources are a list that a person weighs, so the per-source totals, a row each, go to the driver (`MOST_SOURCES`).
 
 Defined results: a null text has 0 words and takes part with nothing; a null source is a source of its own, last in order; a document
-without words is taken 0 times; repeated rows count each; null ids are allowed and shuffled last; extra columns are ignored; an
-empty table gives an empty mix.
+without words is taken 0 times; very long texts span blocks like others; repeated rows count each; null ids are allowed; extra columns
+are ignored; an empty table gives an empty mix. In the pipeline's stage rows with the same id, source and size are repeated as often
+as the one that the mix takes most of.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, documents
+from .common import WORD, Scratch, documents, fresh
 
-GOLDEN = 0.6180339887498949
+#: The golden ratio's fraction in 40 bits.
+GOLDEN, BITS = 679535556991, 40
+#: Places of a slot in the cumulative shares are found by their first bits.
+PLACE_BITS = 12
 MOST_SOURCES = 100_000
 BLOCK = 1024
 CELL_DOCS, CELL_SLOTS = 4096, 16384
@@ -66,9 +72,15 @@ def running(df: DataFrame, group: list[str], cell: str, amount: str, order: list
     return summed.join(cells, [*group, cell]).withColumn(before, F.col("_ahead") + F.col("_inside")).drop("_ahead", "_inside")
 
 
+def golden_point(slot: str) -> Column:
+    """slot times the golden ratio, modulo 1, times 2**40. The product is taken in two parts that a long holds."""
+    low, high = f"({slot} & 1048575) * {GOLDEN}", f"((shiftright({slot}, 20) & 1048575) * {GOLDEN & 1048575}) & 1048575"
+    return F.expr(f"(({low}) + shiftleft({high}, 20)) & {(1 << BITS) - 1}")
+
+
 def schedule(spark: SparkSession, rows: list, block: int) -> DataFrame:
     """(s, rank, slot, block, words): the mix, slot by slot. words is what the slot takes of its block."""
-    need, shares = [], []
+    need = []
     for s, _, size, target in rows:
         words = math.floor(target + 1e-6)
         full, rest = divmod(words, size) if size else (0, 0)
@@ -76,19 +88,26 @@ def schedule(spark: SparkSession, rows: list, block: int) -> DataFrame:
         slots = full * blocks + -(-rest // block)
         if slots:
             need.append((s, size, blocks, slots, words))
-            shares.append(slots)
     if not need:
         return spark.createDataFrame([], "s int, rank long, slot long, block long, words long")
-    total, at, intervals = sum(shares), 0, []
-    for (s, size, blocks, slots, words), n in zip(need, shares):
-        intervals.append((s, size, blocks, slots, words, at / total, (at + n) / total if at + n < total else 1.1))
-        at += n
-    # an interval's count strays from its share by some log2(total) slots; so many slots more let each source reach its need
-    more = math.ceil(4 * (math.log2(total + 2) + 2) * total / min(shares)) if len(shares) > 1 else 0
-    slots = spark.range(total + more).select(F.col("id").alias("slot"), F.expr(f"pmod(id * {GOLDEN}D, 1D)").alias("u"), (F.col("id") / CELL_SLOTS).cast("long").alias("cell"))
-    found = spark.createDataFrame(intervals, "s int, size long, blocks long, need long, wanted long, low double, high double")
-    slots = slots.join(F.broadcast(found), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    ranked = running(slots.withColumn("one", F.lit(1)), ["s"], "cell", "one", ["slot"], "rank").where("rank < need")
+    total, at, intervals, wide = sum(n[3] for n in need), 0, [], BITS - PLACE_BITS
+    for s, _, _, slots, _ in need:
+        low, high = (at << BITS) // total, ((at + slots) << BITS) // total
+        if high > low:
+            intervals += [(place, s, low, high) for place in range(low >> wide, ((high - 1) >> wide) + 1)]  # all sources' together: one each, and 2**12
+        at += slots
+    slots = spark.range(total).select(F.col("id").alias("slot"), golden_point("id").alias("u"), (F.col("id") / CELL_SLOTS).cast("long").alias("cell")).withColumn("place", F.shiftright("u", wide))
+    found = spark.createDataFrame(intervals, "place long, s int, low long, high long")
+    slots = slots.join(F.broadcast(found), "place").where("u >= low and u < high").select("s", "slot", "cell", F.lit(1).alias("one"))
+    needs = spark.createDataFrame(need, "s int, size long, blocks long, need long, wanted long")
+    scratch = Scratch(spark, "schedule")
+    ranked = scratch.table(running(slots, ["s"], "cell", "one", ["slot"], "rank").select("s", "slot", "rank").join(F.broadcast(needs), "s"), "ranked")
+    counts = ranked.groupBy("s").agg(F.count("*").alias("n"))
+    short = needs.join(counts, "s", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < need").withColumn("rank", F.explode(F.sequence(F.col("n"), F.col("need") - 1)))
+    short = short.withColumn("i", F.row_number().over(Window.orderBy("s", "rank"))).drop("n")
+    free = ranked.where("rank >= need").select("slot", F.row_number().over(Window.orderBy("slot")).alias("i"))
+    columns = ["s", "slot", "rank", "size", "blocks", "wanted"]
+    ranked = ranked.where("rank < need").select(*columns).union(short.join(free, "i").select(*columns))
     number = F.col("rank") % F.col("blocks")
     whole = F.least(F.lit(block).cast("long"), F.col("size") - F.col("block") * block)
     left = F.col("wanted") - F.floor(F.col("rank") / F.col("blocks")).cast("long") * F.col("size") - F.col("block") * block
@@ -102,7 +121,7 @@ def mix(docs: DataFrame, cycle: list[float] = (5, 2, 1), share: float = 1.5, mos
     pieces: (key columns, slot, s, block, from, thru), the words [from, thru) of a document that a slot takes."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
     sized = scratch.table(sized, "sizes")
     sources, rows = targets_of(spark, sized, list(cycle), share, most_repeats)
     n = sized.count()
@@ -137,9 +156,16 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = Non
 def repeated(docs: DataFrame) -> DataFrame:
     placed, _, pieces = mix(docs.select("doc_id", "text", "source"))
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
-    found = taken(placed, pieces).groupBy("doc_id").agg(F.max(times).cast("int").alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_id")
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    own, count, copy = fresh(docs, "size"), fresh(docs, "times"), fresh(docs, "copy")
+    found = taken(placed, pieces).groupBy("doc_id", "source", "size").agg(F.max(times).cast("int").alias(count)).where(F.col(count) > 0)
+    found = found.select(F.col("doc_id").alias(f"{count}_id"), F.col("source").alias(f"{count}_source"), F.col("size").alias(f"{count}_size"), count)
+    sized = docs.withColumn(own, word_count("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{count}_id")) & F.col("source").eqNullSafe(F.col(f"{count}_source")) & (F.col(own) == F.col(f"{count}_size"))
+    return sized.join(found, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count)))).select(docs.columns)
+
+
+def word_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

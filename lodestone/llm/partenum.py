@@ -14,7 +14,7 @@ those partners for which it matters. After DEEPEST such cuts empty subsets count
 
 Sets that share a signature aren't paired with each other: each is paired with one of its bucket, the head of a star; the distinct
 pairs are verified on the full sets, and links are merged into components. Where a bucket's members then still lie in several
-components, a bucket of up to FEW has its pairs of different components tried. Larger ones are put together into clusters by the
+components, a small bucket (FEW) has its pairs of different components tried. Larger ones are put together into clusters by the
 sets they share, and taken apart around the elements that most of a cluster's sets hold (see around_centres): pairs near that centre
 are settled by one more star, and the rest can only be linked if they share a rare difference from it, so those differences are the
 buckets of the next round, each with at most half of the sets. This ends when no large bucket is open. Copies with edits of their own
@@ -41,10 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, Scratch, documents, fresh, mix64, shingle_sets, sliced, split_join
+from .common import HOT, MIX, Scratch, documents, fresh, hot_parts, mix64, shingle_sets, sliced, split_join
 
-#: Buckets of so many sets have their pairs of different components tried at once; larger ones go on around their centres.
-FEW = 8
+#: Buckets of so many sets have their pairs of different components tried at once; larger ones go on around their centres. Those of
+#: signatures hold the same pairs over and over, those of differences hardly do.
+FEW, SEVERAL = 8, 64
 #: Cuts of a set by further hashes, while too many subsets are empty.
 DEEPEST = 6
 #: Longs that hold a set's parities.
@@ -211,42 +212,45 @@ def buckets(scratch: Scratch, marked: DataFrame) -> DataFrame:
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(id, component): least id reachable over links (a, b), for ids that have links. Alternating large and small stars."""
+    """(id, component): least id reachable over links (a, b), for ids that have links. Alternating large and small stars, until every
+    id is a centre or hangs on one alone."""
     edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("far"), F.count("*").alias("n")), "least")
+        unsettled, total, largest = least.agg(F.count_if((F.col("m") < F.col("u")) & ((F.col("far") > F.col("u")) | (F.col("n") > 1))), F.sum("n"), F.max("n")).first()
+        if not unsettled:
+            break
+        parts = hot_parts(least, ["u"]) if largest > max(HOT, total // HOT) else None
         # larger neighbours go to the least of u and its neighbours; then u and its smaller ones to the least of those
         nearest = least.select("u", F.least("m", "u").alias("m"))
-        large = split_join(both.where("v > u"), nearest, ["u"], least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.table(large, "large")
-        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
-        small = split_join(large, low.select("u", "m"), ["u"], low).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = split_join(both.where("v > u"), nearest, ["u"], parts).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = split_join(large, low, ["u"], parts).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = scratch.table(small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "stars")
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for done in (edges, least, large, low):
-            scratch.drop(done)
+        scratch.drop(edges)
+        scratch.drop(least)
         edges = stars
-        if state == before:
-            break
-        before = state
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a written table, with the sets of both, xs and ys."""
-    both = split_join(pairs, sets.select(F.col("key").alias("b"), F.col("items").alias("ys")), ["b"])
+def with_sets(pairs: DataFrame, sets: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) with the sets of both, xs and ys. `parts` are the hot keys b."""
+    both = split_join(pairs, sets.select(F.col("key").alias("b"), F.col("items").alias("ys")), ["b"], parts)
     return both.join(sets.select(F.col("key").alias("a"), F.col("items").alias("xs")), "a")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction, parts: DataFrame | None = None) -> DataFrame:
     """(a, b) of the pairs whose sets reach the threshold, in whole numbers."""
-    both = with_sets(pairs, sets).withColumn("shared", F.size(F.array_intersect("xs", "ys")).cast("long"))
+    both = with_sets(pairs, sets, parts).withColumn("shared", F.size(F.array_intersect("xs", "ys")).cast("long"))
     union = F.size("xs") + F.size("ys") - F.col("shared")
     return both.where(F.col("shared") * threshold.denominator >= union * threshold.numerator).select("a", "b")
 
 
+def counted(rows: DataFrame, *on: str) -> DataFrame:
+    return rows.groupBy(*on).agg(F.count("*").alias("n"))
+
+
 class Linker:
     """Verifies pairs of sets (a, b), merges components over their links, and keeps what has been tried. A set goes by its key."""
 
@@ -254,6 +258,7 @@ class Linker:
         self.scratch, self.docs, self.words, self.threshold = scratch, docs, words, threshold
         self.summary = summary  # (key, id, n_shingles, bits) of the sets that share signatures
         self.tried = self.sets = self.labels = self.links = None
+        self.merges = 0
 
     def placed(self, members: DataFrame, *keys: str) -> DataFrame:
         """Adds c_<key>, the present component of each named key column."""
@@ -282,10 +287,10 @@ class Linker:
             more = self.scratch.table(more.dropDuplicates(["key"]), "sets")
         self.sets = more if self.sets is None else self.sets.union(more)
 
-    def near_enough(self, pairs: DataFrame) -> DataFrame:
+    def near_enough(self, pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
         """The pairs whose sizes and parities don't rule them out."""
         side = lambda k: self.summary.select(F.col("key").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-        both = split_join(pairs, side("b"), ["b"]).join(side("a"), "a")
+        both = split_join(pairs, side("b"), ["b"], parts).join(side("a"), "a")
         t = self.threshold
         apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
         sizes = F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator
@@ -302,32 +307,34 @@ class Linker:
             return
         tried = pairs.select(*both_ways)
         self.tried = tried if self.tried is None else self.tried.union(tried)
-        near = self.scratch.table(self.near_enough(pairs), "near")
+        parts = hot_parts(counted(pairs, "b"), ["b"])
+        near = self.scratch.table(self.near_enough(pairs, parts), "near")
         if near.isEmpty():
             return
         self.load(near.select(F.col("a").alias("key")).union(near.select("b")).distinct())
-        links = self.scratch.table(verified(near, self.sets, self.threshold), "links")
+        links = self.scratch.table(verified(near, self.sets, self.threshold, parts), "links")
         if not links.isEmpty():
             self.merge(links)
-        self.scratch.release()
 
     def merge(self, links: DataFrame) -> None:
         self.links = links if self.links is None else self.links.union(links)
         between = self.placed(links, "a", "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
         found = components(self.scratch, between)
+        self.merges += 1
         if self.labels is not None:
-            moved = split_join(self.labels.withColumnRenamed("component", "old"), found.select(F.col("id").alias("old"), "component"), ["old"], how="left")
+            old = self.labels.withColumnRenamed("component", "old")
+            moved = split_join(old, found.select(F.col("id").alias("old"), "component"), ["old"], hot_parts(counted(old, "old"), ["old"]), "left")
             moved = moved.select("id", F.coalesce("component", "old").alias("component"))
             found = moved.union(found.join(self.labels.select("id"), "id", "left_anti").select("id", "component"))
         self.labels = self.scratch.table(found, "labels")
 
 
-def stars_of(members: DataFrame) -> DataFrame:
-    """(a, h): pairs of each group's head and its other members (g, a), a written table. The head is the member of most groups: among
-    copies of one text that is the text itself, or what is nearest to it."""
+def stars_of(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(a, h): pairs of each group's head and its other members (g, a). The head is the member of most groups: among copies of one text
+    that is the text itself, or what is nearest to it. `parts` are the hot groups."""
     degree = members.groupBy("a").agg(F.count("*").alias("degree"))
     heads = members.join(degree, "a").groupBy("g").agg(F.max_by("a", F.struct("degree", F.col("a"))).alias("h"))
-    return split_join(members, heads, ["g"]).where("a != h").select("a", "h").distinct()
+    return split_join(members, heads, ["g"], parts).where("a != h").select("a", "h").distinct()
 
 
 def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -335,21 +342,21 @@ def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
 
 
-def still_open(linker: Linker, members: DataFrame) -> DataFrame:
+def still_open(linker: Linker, members: DataFrame, parts: DataFrame | None) -> DataFrame:
     """(g, a, short, c_a, n): groups whose members lie in several components, and their sizes. Of groups with the same members one
     stays."""
     rest = linker.scratch.table(linker.placed(members, "a"), "rest")
     same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "short")).alias("x"), F.sum(F.xxhash64("a") % (1 << 30)).alias("y")]
     several = rest.groupBy("g").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high"), F.max("short").alias("some"), *same).where("low < high and some")
-    several = linker.scratch.table(several.groupBy("n", "x", "y").agg(F.min("g").alias("g")), "several")
-    return split_join(rest, several.select("g", "n"), ["g"]).select("g", "a", "short", "c_a", "n")
+    several = several.groupBy("n", "x", "y").agg(F.min("g").alias("g"))
+    return split_join(rest, several.select("g", "n"), ["g"], parts).select("g", "a", "short", "c_a", "n")
 
 
-def clusters(scratch: Scratch, large: DataFrame) -> DataFrame:
-    """(g, a, short): groups (g, a), a written table, that share members put together; each set is then in one."""
+def clusters(scratch: Scratch, large: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(g, a): groups (g, a) that share members put together; each set is then in one."""
     first = large.groupBy("g").agg(F.min("a").alias("b"))
-    edges = split_join(large.select("g", "a"), first, ["g"]).select("a", "b")
-    return components(scratch, edges).select(F.col("component").alias("g"), F.col("id").alias("a"), F.lit(True).alias("short"))
+    edges = split_join(large.select("g", "a"), first, ["g"], parts).select("a", "b")
+    return components(scratch, edges).select(F.col("component").alias("g"), F.col("id").alias("a"))
 
 
 def around_centres(linker: Linker, named: DataFrame) -> DataFrame:
@@ -364,22 +371,24 @@ def around_centres(linker: Linker, named: DataFrame) -> DataFrame:
     scratch, threshold = linker.scratch, linker.threshold
     unit = threshold.numerator + threshold.denominator
     linker.load(named.select(F.col("a").alias("key")).distinct())
-    sizes = scratch.table(named.groupBy("g").agg(F.count("*").alias("n")), "sizes")
-    held = named.join(linker.sets.select(F.col("key").alias("a"), F.col("items").alias("xs")), "a")
+    sizes = scratch.table(counted(named, "g"), "sizes")
+    parts = hot_parts(sizes, ["g"])
+    held = scratch.table(named.join(linker.sets.select(F.col("key").alias("a"), F.col("items").alias("xs")), "a"), "held")
     common = held.select("g", F.explode("xs").alias("d")).groupBy("g", "d").agg(F.count("*").alias("often")).join(sizes, "g").where("2 * often > n")
-    centres = scratch.table(common.groupBy("g").agg(F.collect_list("d").alias("centre")), "centres")  # at most two sets' elements
-    apart = split_join(named, centres, ["g"], sizes, "left").join(linker.sets.select(F.col("key").alias("a"), F.col("items").alias("xs")), "a")
-    apart = apart.withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
+    centres = common.groupBy("g").agg(F.collect_list("d").alias("centre"))  # at most two sets' elements
+    apart = split_join(held, centres, ["g"], parts, "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
     apart = apart.select("g", "a", F.size("xs").alias("size"), F.array_union(F.array_except("xs", "centre"), F.array_except("centre", "xs")).alias("ds"))
     excess = F.size("ds").cast("long") * unit - F.col("size") * (threshold.denominator - threshold.numerator)
     apart = scratch.table(apart.select("g", "a", "ds", excess.alias("e")), "apart")
-    least = scratch.table(apart.groupBy("g").agg(F.min("e").alias("least"), F.min_by("a", F.struct("e", "a")).alias("m")), "least")
-    around = scratch.table(split_join(apart, least, ["g"], sizes).select("g", "a", "ds", "e", "least", "m"), "around")
+    scratch.drop(held)
+    least = apart.groupBy("g").agg(F.min("e").alias("least"), F.min_by("a", F.struct("e", "a")).alias("m"))
+    around = scratch.table(split_join(apart, least, ["g"], parts), "around")
+    scratch.drop(apart)
     linker.verify(ordered(around.where("a != m"), "a", "m"))
 
     elements = around.select("g", "a", "e", "least", F.size("ds").alias("k"), F.explode("ds").alias("d"))
-    often = scratch.table(elements.groupBy("g", "d").agg(F.count("*").alias("often")), "often")
-    often_of = split_join(scratch.table(elements, "elements"), often, ["g", "d"], often.withColumnRenamed("often", "n"))
+    often = scratch.table(counted(elements, "g", "d"), "often")
+    often_of = split_join(elements, often.withColumnRenamed("n", "often"), ["g", "d"], hot_parts(often, ["g", "d"]))
     place = F.row_number().over(Window.partitionBy("g", "a").orderBy("often", "d"))
     short = F.col("k") - F.greatest(F.lit(1), F.ceil(F.col("e") / unit)) + 1
     long = F.col("k") - F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("least")) / (2 * unit))) + 1
@@ -394,23 +403,28 @@ def link_all(linker: Linker, members: DataFrame) -> None:
     members = members.select("g", "a", F.lit(True).alias("short"))
     while True:
         level += 1
-        stars = scratch.table(stars_of(members), "stars")
-        popular = scratch.table(stars.groupBy("h").agg(F.count("*").alias("n")), "popular")
-        known = split_join(stars, popular, ["h"], popular)
-        linker.verify(known.groupBy("a").agg(F.max_by("h", F.struct("n", "h")).alias("b")))  # most groups are one component now
+        parts = hot_parts(counted(members, "g"), ["g"])
+        stars = scratch.table(stars_of(members, parts), "stars")
+        if level == 1:  # most groups are one component after this
+            popular = scratch.table(counted(stars, "h"), "popular")
+            known = split_join(stars, popular, ["h"], hot_parts(popular, ["h"]))
+            linker.verify(known.groupBy("a").agg(F.max_by("h", F.struct("n", "h")).alias("b")))
         linker.verify(ordered(stars, "a", "h"))
-        open_ = scratch.table(still_open(linker, members), "open")
-        few = open_.where(F.col("n") <= FEW)
+        open_ = scratch.table(still_open(linker, members, parts), "open")
+        merges, most = linker.merges, FEW if level == 1 else SEVERAL
+        few = open_.where(F.col("n") <= most)
         other = few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("short").alias("s_b"))
         linker.verify(few.join(other, "g").where("a < b and c_a != c_b and (short or s_b)").select("a", "b").distinct())
-        large = scratch.table(open_.where(F.col("n") > FEW).select("g", "a", "short"), "large")
-        if large.isEmpty():
-            return
-        large = scratch.table(still_open(linker, large).select("g", "a", "short"), "large")
+        large = open_.where(F.col("n") > most)
         if large.isEmpty():
             return
+        large = large.select("g", "a", "short")
+        if linker.merges > merges:
+            large = scratch.table(still_open(linker, large, parts).select("g", "a", "short"), "large")
+            if large.isEmpty():
+                return
         # once only: differences from a centre are other groups than signatures make
-        named = scratch.table(clusters(scratch, large) if level == 1 else large.select("g", "a").distinct(), "named")
+        named = scratch.table(clusters(scratch, large, parts) if level == 1 else large.select("g", "a").distinct(), "named")
         members = scratch.table(around_centres(linker, named), "members")
         scratch.release()
 
@@ -433,20 +447,21 @@ def joined_groups(scratch: Scratch, docs: DataFrame, marked: DataFrame, words: i
     linker = Linker(scratch, docs, summary, words, threshold)
     link_all(linker, members)
     roots = copies.select("key", "id", "n")
+    parts = hot_parts(copies, ["key"])
     if linker.labels is None:
-        roots = scratch.table(roots.select("key", "n", F.col("key").alias("root"), F.col("id").alias("component")), "roots")
+        roots = roots.select("key", F.col("key").alias("root"), F.col("id").alias("component"))
     else:
-        labelled = scratch.table(roots.join(linker.labels.select(F.col("id").alias("key"), F.col("component").alias("root")), "key"), "labelled")
+        labelled = roots.join(linker.labels.select(F.col("id").alias("key"), F.col("component").alias("root")), "key")
         ids = scratch.table(labelled.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("n")), "ids")
-        linked = split_join(labelled, ids.select("root", "component"), ["root"], ids).select("key", "n", "root", "component")
-        alone = roots.join(linker.labels.select(F.col("id").alias("key")), "key", "left_anti").select("key", "n", F.col("key").alias("root"), F.col("id").alias("component"))
+        linked = split_join(labelled, ids.select("root", "component"), ["root"], hot_parts(ids, ["root"])).select("key", "root", "component")
+        alone = roots.join(linker.labels.select(F.col("id").alias("key")), "key", "left_anti").select("key", F.col("key").alias("root"), F.col("id").alias("component"))
         roots = scratch.table(linked.union(alone), "roots")
-    placed = split_join(filled, roots.select("key", "root", "component"), ["key"], roots).select("id", "mark", "n_shingles", "root", "component")
+    placed = split_join(filled, roots, ["key"], parts).select("id", "mark", "n_shingles", "root", "component")
     none = light.where("n_shingles = 0").select("id", "mark", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("id").alias("component"))
-    equal = split_join(filled.where("id is not null"), copies.select("key", F.col("id").alias("a")), ["key"], copies).where("id > a").select("a", F.col("id").alias("b"))
+    equal = split_join(filled.where("id is not null"), copies.select("key", F.col("id").alias("a")), ["key"], parts).where("id > a").select("a", F.col("id").alias("b"))
     if linker.links is not None:
         name = lambda k: copies.select(F.col("key").alias(k), F.col("id").alias(f"id_{k}"))
-        between = split_join(linker.links, name("b"), ["b"]).join(name("a"), "a").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        between = linker.links.join(name("b"), "b").join(name("a"), "a").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         equal = equal.union(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return placed.union(none), equal.distinct()
 
@@ -475,10 +490,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str | N
     scratch = Scratch(spark, "near-copies")
     groups = jaccard_groups(keyed.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(mark).alias("mark"), "text"))
     rows = scratch.table(groups.where("root is not null").groupBy("root", "id", "mark").agg(F.count("*").alias("n")), "rows")
-    sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    sizes = scratch.table(sizes, "sizes")
+    sizes = scratch.table(rows.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("least")), "sizes")
     firsts = rows.join(sizes.select("root", F.col("least").alias("id")), ["root", "id"]).groupBy("root").agg(F.min("id").alias("kept"), F.min("mark").alias("own"))
-    tested = split_join(rows, scratch.table(firsts, "firsts"), ["root"], sizes)
+    tested = split_join(rows, firsts, ["root"], hot_parts(sizes, ["root"]))
     gone = scratch.table(tested.where("id != kept or mark != own").select(F.col("id").alias(id_), F.col("mark").alias(mark)), "gone")
     again = scratch.table(rows.where("n > 1").select(F.col("id").alias(id_), F.col("mark").alias(mark)), "again")
     sent = lambda x: F.broadcast(x) if x.count() <= MOST_BROADCAST else x

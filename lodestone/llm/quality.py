@@ -1,16 +1,16 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are documents whose label is 1; everything else is unlabelled web text, good and bad. With the class prior p (the
-share of good text) and the logistic loss, the risk is p * loss of positives as good + max(0, loss of the unlabelled as bad
-- p * loss of positives as bad): the bracket estimates what true negatives cost and can't be negative, so where it falls below 0
-the step goes back up instead (the non-negative estimator). No label 0 enters the risk; the prior is estimated as the share of
-ones among the labels outside the held-out fold, or, where labels hold ones only, from how a positive-against-unlabelled model
-scores positives.
-
-The scorer is a small network over writing statistics of the whole text. It is fitted on the driver on bounded samples
-(`max_positive`, `max_unlabelled`) of feature rows; every document is scored in the executors. Defined results: null, empty and
-blank texts have all features 0 and are scored as such; repeated rows are scored one by one; null ids are scored too; extra columns
-are ignored; without positive labels every score is 1 (nothing is rejected on no evidence).
+Trusted positives are documents whose label is 1; unlabelled web text, good and bad, is every row of the same sample with its label
+hidden. With the class prior p (the share of good text) and the logistic loss, the risk is p * loss of positives as good + max(0, loss
+of the unlabelled as bad - p * loss of positives as bad): the bracket estimates what true negatives cost and can't be negative, so
+where it falls below 0 the step goes back up instead (the non-negative estimator). No label 0 is read anywhere. The prior is estimated
+from positives and unlabelled rows: a model of positives against unlabelled ones gives the chance to be a positive; its mean over the
+unlabelled, divided by that over positives, is the share of good text among the unlabelled.
+
+The scorer is a small network over writing statistics of the whole text. It is fitted on the driver on a bounded sample of labelled
+rows (`max_labelled`), as feature rows; every document is scored in the executors. Defined results: null, empty and blank texts have all
+features 0 and are scored as such; very long texts are counted whole; repeated rows are scored one by one; null ids are scored too; extra
+columns pass through; without positive labels every score is 1 (nothing is rejected on no evidence).
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, encode_words, held_out, sliced, text_batches, whole_array
+from .common import documents, encode_words, fresh, held_out, sliced, text_batches, whole_array
 
 REJECT_BELOW = 0.3
 _CLASSES = ["lower", "upper", "digit", "blank", "line", "stop", "comma", "bang", "bar", "symbol", "wide"]
@@ -127,57 +128,58 @@ def fit_features(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ste
     return QualityModel(centre.astype(np.float32), scale.astype(np.float32), [(params[0], params[1]), (params[2], params[3])], prior)
 
 
-def _sample(docs: DataFrame, ids: DataFrame) -> np.ndarray:
+def _sample(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows of the documents of (doc_id, good), and which are good."""
+
     def run(batches):
         for batch in sliced(batches, 0):
             x = features(batch.column(0))
-            yield pa.RecordBatch.from_pydict({"x": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float32()))})
+            yield pa.RecordBatch.from_pydict({"x": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float32())), "good": batch.column(1)})
 
-    rows = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "x array<float>").toArrow()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "good").mapInArrow(run, "x array<float>, good boolean").toArrow()
     flat = np.asarray(pc.list_flatten(rows["x"]), np.float32)
-    return flat.reshape(rows.num_rows, len(flat) // max(rows.num_rows, 1))
+    return flat.reshape(rows.num_rows, len(flat) // max(rows.num_rows, 1)), np.asarray(rows["good"].cast(pa.uint8()), bool)
+
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled."""
+    plain = fit_features(positive, np.vstack([positive, unlabelled]), 0.5, steps=300)
+    chance = lambda x: (1 / (1 + np.exp(-np.clip(plain.logits(x), -30, 30)))).mean()
+    return float(np.clip(chance(unlabelled) / max(chance(positive), 1e-6), 0.05, 0.98))
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 20_000, max_unlabelled: int = 20_000) -> QualityModel | None:
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> QualityModel | None:
     """None without positive labels."""
     text_batches(docs.sparkSession)
-    known = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
-    prior = known.agg(F.avg("quality"), F.count_if(F.col("quality") == 0)).first()
-    ordered = (F.xxhash64("doc_id"), F.col("doc_id"))
-    trusted = known.where("quality = 1").select("doc_id").orderBy(*ordered).limit(max_positive)
-    web = docs.select("doc_id").where("doc_id is not null").orderBy(*ordered).limit(max_unlabelled).distinct()
-    positive, unlabelled = _sample(docs, trusted), _sample(docs, web)
-    if not len(positive):
+    known = labels.where(~held_out()).groupBy("doc_id").agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    unlabelled, good = _sample(docs, chosen)
+    if not good.any():
         return None
-    if prior[1]:
-        share = float(np.clip(prior[0], 0.05, 0.98))
-    else:  # positives only: the mean chance to be labelled over the unlabelled, against that over positives
-        plain = fit_features(positive, np.vstack([positive, unlabelled]), 0.5, steps=300)
-        chance = lambda x: (1 / (1 + np.exp(-np.clip(plain.logits(x), -30, 30)))).mean()
-        share = float(np.clip(chance(unlabelled) / max(chance(positive), 1e-6), 0.05, 0.98))
-    return fit_features(positive, unlabelled, share)
+    return fit_features(unlabelled[good], unlabelled, estimated_prior(unlabelled[good], unlabelled))
 
 
-def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
-    """All columns of documents and the column quality_score."""
+def score(docs: DataFrame, model: QualityModel | None, name: str = "quality_score") -> DataFrame:
+    """All columns of documents and the score under a name that they don't have."""
+    if name in docs.columns:
+        raise ValueError(f"{name} is there already")
     if model is None:
-        return docs.withColumn("quality_score", F.lit(1.0))
+        return docs.withColumn(name, F.lit(1.0))
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in sliced(batches, at):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(at)).astype(np.float64))], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(at)).astype(np.float64))], [*batch.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, quality_score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects (score under 0.3) go; the rest stay as they were."""
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where(F.col("quality_score") >= REJECT_BELOW).select(docs.columns)
+    model, name = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), fresh(docs, "score")
+    return score(docs, model, name).where(F.col(name) >= REJECT_BELOW).select(docs.columns)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

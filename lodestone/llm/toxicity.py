@@ -6,7 +6,8 @@ of the document labels alone; the sentence scores that explain a document then l
 
 The model is fitted on the driver from a bounded sample of labelled rows (`max_labelled`); every row is
 scored in the executors. Defined results: null, empty and blank texts have no sentence and score the leak; repeated rows are
-scored one by one; null ids are scored too; extra columns are ignored; without labels the scores are all 0.
+scored one by one; null ids are scored too; very long texts are bags of more sentences; extra columns are ignored; without labels the
+scores are all 0.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, encode_words, gathered, held_out, text_batches, whole_array
+from .common import WORD, documents, encode_words, gathered, held_out, text_batches, whole_array
 
 BITS = 18
 LINE = "\x02"
 _EDGES = re.compile(r"^\W+|\W+$")
 _END = re.compile(r"[.!?]\W*$")
-_SENTENCE = re.compile(r"[^.!?\n]*[^.!?\s][^.!?\n]*[.!?]*")
+_TOKEN = re.compile(rf"\n|{WORD}")
 
 
 #: A word counts as itself and by its beginnings of these lengths, so inflected forms share what is learnt.
@@ -55,6 +56,19 @@ def sentence_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray,
     return words, codes, number, np.concatenate([number, [total]])[starts]
 
 
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """Where the sentences of sentence_words lie in a text: code points, end exclusive."""
+    spans, closed = [], True
+    for m in _TOKEN.finditer(text):
+        token = m.group()
+        if closed:
+            spans.append(m.span())
+        else:
+            spans[-1] = (spans[-1][0], m.end())
+        closed = token in ("\n", LINE) or bool(_END.search(token.lower()))
+    return spans
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray  # a weight for each word feature
@@ -73,13 +87,19 @@ class ToxicityModel:
             known[w] = sum(filled.get(x, 0.0) for x in word_features(w))
         return np.fromiter((known[w] for w in words), np.float64, len(words))
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
+    def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """-log(1 - chance) of each sentence, and the first sentence of each text."""
         words, codes, number, first = sentence_words(texts)
         of = self.word_weights(words)
-        each = np.logaddexp(0, self.bias + np.bincount(number, of[codes] if len(codes) else None, int(first[-1])))
+        return np.logaddexp(0, self.bias + np.bincount(number, of[codes] if len(codes) else None, int(first[-1]))), first
+
+    def document_scores(self, each: np.ndarray, first: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0.0], np.cumsum(each)])
         return -np.expm1(-(total[first[1:]] - total[first[:-1]] + self.leak))
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return self.document_scores(*self.evidence(texts))
+
 
 def _descend(label, n, sentence, feature, width, steps, decay, rate) -> tuple[np.ndarray, float, float]:
     """Adam on the mean loss of documents plus an L1 pull of `decay` on the weights."""
@@ -153,38 +173,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_labelled:
     return docs.join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score) of documents (doc_id, text)."""
+OFFENDING = "array<struct<sentence:int,start:int,end:int,text:string,score:double>>"
+
+
+def score(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
+    """(doc_id, score, offending) of documents (doc_id, text): the sentences that score at least `least` by themselves, without the
+    leak; code points, end exclusive."""
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    enough = -np.log1p(-min(least, 1 - 1e-12))
 
     def run(batches):
         for batch in gathered(batches, 1):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(shared.value.scores(batch.column(1)))})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+            each, first = shared.value.evidence(batch.column(1))
+            found = [[] for _ in range(batch.num_rows)]
+            high = np.flatnonzero(each >= enough)  # few, so their texts alone are cut in Python
+            owner = np.searchsorted(first, high, side="right") - 1
+            for i in np.unique(owner).tolist():
+                text = batch.column(1)[i].as_py()
+                spans = sentence_spans(text)
+                for j in (high[owner == i] - first[i]).tolist():
+                    a, b = spans[j]
+                    found[i].append({"sentence": j, "start": a, "end": b, "text": text[a:b], "score": float(-np.expm1(-each[first[i] + j]))})
+            kind = pa.list_(pa.struct([("sentence", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(shared.value.document_scores(each, first)), "offending": pa.array(found, kind)})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, score double, offending {OFFENDING}")
 
 
 def offending_sentences(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
-    """(doc_id, sentence, start, end, text, score): sentences that score at least `least`; code points, end exclusive."""
-    text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans = [m.span() for m in _SENTENCE.finditer(text or "")]
-                if not spans:
-                    continue
-                scores = shared.value.scores(pa.array([text[a:b].replace("\n", " ") for a, b in spans])) if spans else []
-                found += [(doc_id, i, a, b, text[a:b], float(s)) for i, ((a, b), s) in enumerate(zip(spans, scores)) if s >= least]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 6, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()])], ["doc_id", "sentence", "start", "end", "text", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sentence long, start long, end long, text string, score double")
+    """(doc_id, sentence, start, end, text, score): a row for each sentence that scores at least `least`."""
+    return score(docs, model, least).select("doc_id", F.explode("offending").alias("o")).select("doc_id", "o.*")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str, max_labelled: int = 4_000) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = fit(training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", max_labelled).toArrow())
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    places = F.concat_ws(",", F.transform("offending", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), places.alias("offending"))

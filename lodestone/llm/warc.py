@@ -1,18 +1,23 @@
 """WARC archives: written by Spark's text writer, read back by boundary-chain verification.
 
 Writing: a record is a header block, an empty line, the payload and two line ends, so the text writer with those line ends as its
-separator makes valid archives. Payloads of at least `least_bytes` that equal an earlier page's become revisit records.
+separator makes valid archives. Payloads of at least `least_bytes` that equal an earlier page's become revisit records. Archives are
+gzip files of so many records, each one split; uncompressed ones are cut into splits wherever they fall.
 
 Reading: archives are cut at every occurrence of the version line, wherever file splits fall, so a task sees candidates: real record
 starts, and version lines that payloads hold. Each candidate's header tells how long its record is, and so where its successor
 starts. A place is a record only if the chain of successors from the start of its file reaches it; pointer jumping finds the reached
 places in as many rounds as the logarithm of the records in a file. What payloads hold is never reached, since chains step over it.
 
-Places are running sums of the pieces' bytes: within a split, and over the splits of a file.
+Tasks emit numbers and header fields, and what the caller derives from payloads (the payload itself, or a digest of it); the text
+stays in the task that reads it. Only payloads that hold version lines are read again and put together. Places are running sums of
+the pieces' bytes: within a split, and over the splits of a file.
 
-Defined results: null html is the empty payload; repeated rows are records each, of which the first by id answers and the others
-revisit it; a null page_id is written as an empty id and read as null, last in the order of ids; extra columns are ignored; an empty
-table gives no records. In a broken archive the chain ends at the first header that doesn't say how long its record is.
+Defined results: null html is the empty payload; repeated rows are records each, and of rows with the same page_id and payload the one
+with the least url (of equal ones any one) answers, the others revisit it; a null page_id is written as an empty id and read as null,
+and answers only if all pages with its payload are without id; line ends in urls are percent-encoded; very long texts are records like
+others; extra columns are ignored; an empty table gives no records. In a broken archive the chain ends at the first header that
+doesn't say how long its record is.
 """
 
 from __future__ import annotations
@@ -40,29 +45,50 @@ def base32_sha1(data: Column) -> Column:
 
 
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, digest, bytes, refers_to): what is to be written for pages (page_id, url, html)."""
+    """(page_id, url, payload, digest, bytes, revisit, refers_to): what is to be written for pages (page_id, url, html)."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    alike = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    alike = Scratch(pages.sparkSession, "archives").table(alike, "alike")
+    scratch = Scratch(pages.sparkSession, "archives")
+    ids = rows.groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("n"))
+    alike = ids.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.sum("n").alias("n"), F.sum(F.when(F.col("page_id").isNull(), F.col("n"))).alias("nameless"), F.min_by("n", "page_id").alias("named"))
+    alike = scratch.table(alike.where("n > 1").select("digest", "bytes", "first", F.when(F.col("first").isNull(), F.col("nameless")).otherwise(F.col("named")).alias("ties")), "alike")
     rows = rows.join(F.broadcast(alike) if alike.count() <= MOST_BROADCAST else alike, ["digest", "bytes"], "left")
-    older = (F.col("bytes") >= least_bytes) & F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.select("page_id", "url", "payload", "digest", "bytes", F.when(older, F.col("first")).alias("refers_to"))
+    held = (F.col("bytes") >= least_bytes) & F.col("ties").isNotNull()
+    leads = F.col("page_id").eqNullSafe(F.col("first"))
+    columns = ["page_id", "url", "payload", "digest", "bytes"]
+    if alike.where((F.col("ties") > 1) & (F.col("bytes") >= least_bytes)).isEmpty():
+        revisit = held & ~leads
+        return rows.select(*columns, revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
+    tied = held & leads & (F.col("ties") > 1)
+    others = rows.where(~F.coalesce(tied, F.lit(False)))
+    others = others.select(*columns, (held & ~leads).alias("revisit"), F.when(held & ~leads, F.col("first")).alias("refers_to"))
+    several = rows.where(tied).groupBy("page_id", "url", "digest", "bytes").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    several = several.withColumn("place", F.row_number().over(Window.partitionBy("digest", "bytes").orderBy("url")))
+    several = several.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    again = (F.col("place") > 1) | (F.col("copy") > 1)
+    return others.union(several.select(*columns, again.alias("revisit"), F.when(again, F.col("page_id")).alias("refers_to")))
+
+
+#: What ends a line for some reader or other, and how a url has it.
+LINE_ENDS = {"\r": "%0D", "\n": "%0A", "\x0b": "%0B", "\x0c": "%0C", "\x85": "%C2%85", "\u2028": "%E2%80%A8", "\u2029": "%E2%80%A9"}
 
 
 def write(rows: DataFrame, path: str, records_per_file: int = 4096, compression: str = "gzip") -> None:
     """Writes records as archives, by default each a gzip file; uncompressed ones (none) are split when they are read."""
-    revisit = F.col("refers_to").isNotNull()
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    body = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("payload"))
+    url = F.col("url")
+    for end, code in LINE_ENDS.items():
+        url = F.replace(url, F.lit(end), F.lit(code))
+    page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     lines = [
         F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]+", "%0A")),
+        F.concat(F.lit("WARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response")),
+        F.concat(F.lit("WARC-Record-ID: "), page("page_id")),
+        F.concat(F.lit("WARC-Target-URI: "), url),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.concat(F.lit("WARC-Payload-Length: "), F.col("bytes").cast("string")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), page("refers_to"))),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
@@ -70,33 +96,56 @@ def write(rows: DataFrame, path: str, records_per_file: int = 4096, compression:
     rows.select(record).write.option("lineSep", BREAK).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
+def field(header: Column, name: str) -> Column:
+    """A header's value; only line feeds end its lines."""
+    return F.nullif(F.regexp_extract(header, rf"(?imd)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
+
+
+def number(text: Column) -> Column:
+    return text.try_cast("long")
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, size, piece): what follows each version line, up to the next one; `at` is the place of the version line."""
-    size = len(VERSION)
-    read = spark.read.option("lineSep", VERSION).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
-    read = read.withColumn("n", F.monotonically_increasing_id()).withColumn("size", F.octet_length("value").cast("long") + size)
-    splits = read.groupBy("file", "split").agg(F.sum("size").alias("total"))
-    ahead = F.sum("total").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select("file", "split", F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    inside = F.sum("size").over(Window.partitionBy("file", "split").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    placed = read.withColumn("inside", F.coalesce(inside, F.lit(0))).join(splits, ["file", "split"])
-    # the first piece of a file is what stands before its first version line
-    return placed.select("file", (F.col("ahead") + F.col("inside") - size).alias("at"), F.col("size"), F.col("value").alias("piece")).where("at >= 0")
+    """(f, split, n, piece): what follows each version line, up to the next one. f stands for the file; n numbers a task's pieces, and is
+    the same whenever the same files are read."""
+    read = spark.read.option("lineSep", VERSION).text(path)
+    return read.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("piece"))
 
 
-def field(header: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(header, rf"(?im)^{name}:\s*([^\r\n]*?)\s*$", 1), F.lit(""))
+def parsed(pieces: DataFrame, derived: dict) -> DataFrame:
+    """(f, split, n, size, ahead, length, held, the header's fields, derived): numbers of candidates. `ahead` is where the body starts,
+    `held` how much of it the piece has; what is derived from payloads is null where the piece holds less than its header says."""
+    header = F.substring_index("piece", BREAK, 1)
+    rows = pieces.withColumn("header", header).withColumn("size", F.octet_length("piece").cast("long") + len(VERSION))
+    rows = rows.withColumn("ahead", F.octet_length("header").cast("long") + len(VERSION) + len(BREAK)).withColumn("held", F.col("size") - F.col("ahead"))
+    rows = rows.withColumn("length", F.when(F.col("held") >= 0, number(field(F.col("header"), "Content-Length").substr(1, 15))))
+    body = F.expr(f"substring(cast(piece as binary), cast(ahead as int) - {len(VERSION) - 1}, cast(length as int))")
+    page = lambda name: number(F.regexp_extract(field(F.col("header"), name), r"<urn:page:(-?\d+)>", 1))
+    fields = [
+        field(F.col("header"), "WARC-Type").alias("type"), page("WARC-Record-ID").alias("page_id"), field(F.col("header"), "WARC-Target-URI").alias("url"),
+        F.regexp_replace(field(F.col("header"), "WARC-Payload-Digest"), "^sha1:", "").alias("digest"), number(field(F.col("header"), "WARC-Payload-Length")).alias("payload_bytes"), page("WARC-Refers-To").alias("refers_to"),
+    ]
+    return rows.select("f", "split", "n", "size", "ahead", "length", "held", *fields, *(F.when(F.col("held") >= F.col("length"), make(body)).alias(c) for c, make in derived.items()))
+
+
+def running(rows: DataFrame, amount: Column, gather, name: str) -> DataFrame:
+    """Adds what `gather` (a sum or a maximum) makes of the amounts before each piece of its file: in its split, and in those before."""
+    inside = gather(amount).over(Window.partitionBy("f", "split").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    splits = rows.groupBy("f", "split").agg(gather(amount).alias("_all"))
+    before = gather("_all").over(Window.partitionBy("f").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("f", "split", before.alias("_before"))
+    return rows.withColumn("_inside", inside).join(splits, ["f", "split"]).withColumnRenamed("_inside", f"{name}_inside").withColumnRenamed("_before", f"{name}_before")
 
 
 def reached(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(file, at) of the places that the chain from place 0 of a file reaches, over links (file, at, next)."""
-    found = scratch.table(links.where("at = 0").select("file", "at"), "reached")
-    jumps = scratch.table(links.where("next is not null"), "jumps")
+    """(f, at) of the places that the chain from place 0 of a file reaches, over links (f, at, next)."""
+    found = scratch.table(links.where("at = 0").select("f", "at"), "reached")
+    jumps = scratch.table(links.where("next is not null").select("f", "at", "next"), "jumps")
     while True:
-        step = found.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at"))
+        step = found.join(jumps, ["f", "at"]).select("f", F.col("next").alias("at"))
         more = scratch.table(found.union(step), "reached")
-        ahead = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("after"))
-        longer = scratch.table(jumps.join(ahead, ["file", "next"]).select("file", "at", F.col("after").alias("next")), "jumps")
+        ahead = jumps.select("f", F.col("at").alias("next"), F.col("next").alias("after"))
+        longer = scratch.table(jumps.join(ahead, ["f", "next"]).select("f", "at", F.col("after").alias("next")), "jumps")
         scratch.drop(found)
         scratch.drop(jumps)
         found, jumps = more, longer
@@ -104,53 +153,57 @@ def reached(scratch: Scratch, links: DataFrame) -> DataFrame:
             return found
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, type, page_id, url, digest, payload_bytes, refers_to, payload) of every record of the archives below a path."""
+def read(spark: SparkSession, path: str, derived: dict | None = None) -> DataFrame:
+    """(type, page_id, url, digest, payload_bytes, refers_to, derived) of every record of the archives below a path.
+
+    `derived` names columns and how each is made of a record's payload (binary); the payload itself unless it says otherwise."""
+    derived = derived or {"payload": lambda body: body}
     scratch = Scratch(spark, "warc")
-    pieces = scratch.table(candidates(spark, path), "pieces")
-    scratch.release()
-    header = F.substring_index("piece", BREAK, 1)
-    length = field(header, "Content-Length").cast("long")
-    whole = F.octet_length("piece") > F.octet_length(header)
-    ends = F.col("at") + len(VERSION) + F.octet_length(header) + len(BREAK) + length + len(BREAK)
-    links = pieces.select("file", "at", F.when(whole & length.isNotNull(), ends).alias("next"))
-    starts = reached(scratch, scratch.table(links, "links")).join(pieces.select("file", "at", header.alias("header"), length.alias("length")), ["file", "at"])
+    texts = candidates(spark, path)
+    pieces = scratch.table(parsed(texts, derived), "pieces")
+    told = ["type", "page_id", "url", "digest", "payload_bytes", "refers_to"]
+    key = ["f", "split", "n"]
+    size = len(VERSION)
+    summed = running(pieces.select(*key, "size", "ahead", "length", "held"), F.col("size"), F.sum, "sum")
+    at = F.coalesce("sum_before", F.lit(0)) + F.coalesce("sum_inside", F.lit(0)) - size
+    # the first piece of a file is what stands before its first version line
+    placed = summed.select(*key, at.alias("at"), "length", "held", (at + F.col("ahead") + F.col("length") + len(BREAK)).alias("next")).where("at >= 0")
+    links = scratch.table(placed, "links")
+    starts = scratch.table(links.join(reached(scratch, links), ["f", "at"]), "starts")
+    whole = starts.where("held >= length").select(*key).join(pieces, key).select(*told, *derived)
+    cut = scratch.table(starts.where("held < length").select("f", "at", "next", "length"), "cut")
+    if cut.isEmpty():
+        return whole
     # pieces that aren't starts belong to the payload of the start before them
-    marked = pieces.select("file", "at").join(starts.select("file", "at", F.lit(True).alias("real")), ["file", "at"], "left")
-    owner = F.max(F.when(F.col("real"), F.col("at"))).over(Window.partitionBy("file").orderBy("at"))
-    marked = scratch.table(marked.withColumn("owner", owner), "owned")
-    body = F.expr(f"substring(cast(piece as binary), octet_length(header) + {len(BREAK) + 1})")
-    first = pieces.join(starts, ["file", "at"]).select("file", "at", "header", "length", body.alias("head"))
-    inner = marked.where("real is null and owner is not null").select("file", "at", "owner").join(pieces.select("file", "at", "piece"), ["file", "at"])
+    near = links.join(cut.select("f").distinct(), "f", "left_semi").join(starts.select("f", "at", F.lit(True).alias("real")), ["f", "at"], "left")
+    owned = running(near, F.when(F.col("real"), F.col("at")), F.max, "start").withColumn("owner", F.when(F.col("real"), F.col("at")).otherwise(F.coalesce("start_inside", "start_before")))
+    parts = scratch.table(owned.select(*key, "at", "owner").join(cut.select("f", F.col("at").alias("owner"), "length"), ["f", "owner"]), "parts")
+    texts = texts.join(F.broadcast(parts) if parts.count() <= MOST_BROADCAST else parts, key)
     joined = f"aggregate(array_sort(collect_list(struct(at, piece))), '', (acc, x) -> concat(acc, '{VERSION[:-2]}\\r\\n', x.piece))"  # the pieces of one payload
-    tails = inner.groupBy("file", "owner").agg(F.expr(joined).alias("tail")).withColumnRenamed("owner", "at")
-    full = first.join(tails, ["file", "at"], "left").withColumn("all", F.concat("head", F.coalesce("tail", F.lit("")).cast("binary")))
-    page = lambda name: F.regexp_extract(field(F.col("header"), name), r"<urn:page:(\d+)>", 1)
-    number = lambda c: F.nullif(c, F.lit("")).cast("long")
-    return full.select(
-        "file", "at", field(F.col("header"), "WARC-Type").alias("type"), number(page("WARC-Record-ID")).alias("page_id"), field(F.col("header"), "WARC-Target-URI").alias("url"),
-        F.regexp_replace(field(F.col("header"), "WARC-Payload-Digest"), "^sha1:", "").alias("digest"), field(F.col("header"), "WARC-Payload-Length").cast("long").alias("payload_bytes"),
-        number(page("WARC-Refers-To")).alias("refers_to"), F.expr("substring(all, 1, cast(length as int))").alias("payload"),
-    )
+    full = texts.groupBy("f", "owner", "length").agg(F.expr(joined).alias("all"))
+    body = F.expr(f"substring(cast(all as binary), octet_length(substring_index(all, '\\r\\n\\r\\n', 1)) + {len(BREAK) + 1}, cast(length as int))")
+    made = full.select("f", F.col("owner").alias("at"), *(make(body).alias(c) for c, make in derived.items()))
+    fields = starts.where("held < length").select(*key, "at").join(pieces.select(*key, *told), key)
+    return whole.union(fields.join(made, ["f", "at"]).select(*told, *derived))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = Scratch(spark, "archives").path("warc")
     write(records(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")), archives)
-    found = read(spark, archives)
+    found = read(spark, archives, {"own_bytes": lambda body: F.octet_length(body).cast("long"), "own_digest": base32_sha1})
     response = F.col("type") == "response"
     # of responses what is said is what the payload itself gives
-    size = F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
-    digest = F.when(response, base32_sha1(F.col("payload"))).otherwise(F.col("digest"))
+    size = F.when(response, F.col("own_bytes")).otherwise(F.col("payload_bytes"))
+    digest = F.when(response, F.col("own_digest")).otherwise(F.col("digest"))
     return found.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
 #: DuckDB has no base32, so its digits are looked up.
 ORACLE = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
-q AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first,
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+q AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, url) AS place,
   array_to_string([array_to_string([substr('{BASE32}', CAST((CAST('0x' || substr(x, 10 * i + 1, 10) AS BIGINT) >> (35 - 5 * j)) & 31 AS INT) + 1, 1) for j in range(8)], '') for i in range(4)], '') AS digest FROM p)
 SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
-  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to FROM q
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first END AS refers_to FROM q
 """

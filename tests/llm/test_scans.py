@@ -93,6 +93,48 @@ def test_no_part_of_a_private_key_survives(spark):
     assert not any(line in t for t in got.values() for line in KEY)
 
 
+def test_long_texts_need_no_stack_and_no_square(spark):
+    """MB-long texts that repeat what the rules repeat."""
+    n = 200_000
+    rows = [
+        (1, "-----BEGIN " + "ABC " * n), (2, BEGIN + "\nDEK-Info: x" * n), (3, BEGIN + "\n" + ("A" * 64 + "\n") * 20_000), (4, "token=" + "ab." * n), (5, "AKIA" * n), (6, "eyJ" + "a" * n + ".eyJ" + "b" * n),
+        (7, "-----BEGIN RSA " * n), (8, "token=abcdef \U0001f600 " * 30_000), (9, '"\':= ' * n), (10, BEGIN + ("-" * 5 + "x") * n),
+    ]
+    frame = docs(spark, rows)
+    found = secret_scan.findings(frame.select("doc_id", "text"), secret_scan.Ledger(spark))
+    base = secret_scan.joined(F.filter("spans", lambda x: x["kind"] < 3))
+    got = {r.doc_id: r.s for r in found.select("doc_id", base.alias("s")).collect()}
+    for i, t in rows:
+        want = spans(t)
+        assert got[i] == want, i
+    out = {r.doc_id: r.text for r in secret_scan.redact_secrets(spark, frame).collect()}
+    assert out[8] == "[SECRET] \U0001f600 " * 30_000 and out[4] == "[SECRET]" and out[7] == rows[6][1]
+
+
+def test_redaction_merges_spans_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "CHARACTERS", 7)
+    monkeypatch.setattr(secret_scan, "BLOCK", 2)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["token=abcdef01", "x", "é\U0001f600", "0123456789abcdef0123456789", "secret: token=abcdefgh", "AKIA" + "B" * 20, "pw"]) for _ in range(rng.randrange(0, 40)))) for i in range(40)]
+    out = {r.doc_id: r.text for r in secret_scan.redact_secrets(spark, docs(spark, rows)).collect()}
+    for i, t in rows:
+        at, want = 0, ""
+        for a, b in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in spans(t).split(",") if x):
+            if a >= at:
+                want += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert out[i] == want + t[at:]
+
+
+def test_redaction_keeps_clashing_columns_and_large_findings(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "MOST_FINDINGS", 0)
+    rows = [(i, t, "kept", "too") for i, t in [*SECRETS, (20, None), (21, "clean"), (21, "clean")]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _blob string, _spans string")
+    out = secret_scan.redact_secrets(spark, frame)
+    assert out.columns == frame.columns and sorted(r._blob + r._spans for r in out.collect()) == ["kepttoo"] * 7
+    assert {r.doc_id: r.text for r in out.collect()}[13] == "[SECRET]"
+
+
 # --- licences
 
 
@@ -285,3 +327,21 @@ def test_payloads_that_hold_records_come_back_whole(spark, compression):
     empty = warc.Scratch(spark, "t").path("archive")
     warc.write(warc.records(pages.limit(0)), empty)
     assert warc.read(spark, empty).count() == 0
+
+
+def test_urls_ids_and_repeated_pages(spark):
+    bodies = ["hello world", "hello world", "hello world", "other", "", "hello world", "lone"]
+    ids = [-7, -7, 4, None, None, None, 9]
+    urls = ["http://h/\u2028Content-Length: 3", "http://h/\x85Content-Length: 3", None, "a\r\nContent-Length: 2", "", "x", "x\u2029WARC/1.1\r\n"]
+    pages = spark.createDataFrame(list(zip(ids, urls, bodies)), "page_id long, url string, html string")
+    path = warc.Scratch(spark, "t").path("archive")
+    warc.write(warc.records(pages), path)
+    got = sorted(str((r.page_id, r.type, r.refers_to, bytes(r.payload).decode(), r.payload_bytes)) for r in warc.read(spark, path).collect())
+    assert got == sorted(map(str, [
+        (-7, "response", None, "hello world", 11), (-7, "revisit", -7, "", 11), (4, "revisit", -7, "", 11), (None, "response", None, "other", 5),
+        (None, "response", None, "", 0), (None, "revisit", -7, "", 11), (9, "response", None, "lone", 4),
+    ]))
+    same = spark.createDataFrame([(1, "u", "same")] * 3, "page_id long, url string, html string")
+    path = warc.Scratch(spark, "t").path("archive")
+    warc.write(warc.records(same), path)
+    assert sorted(r.type for r in warc.read(spark, path).collect()) == ["response", "revisit", "revisit"]
