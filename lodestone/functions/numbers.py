@@ -24,7 +24,8 @@ def to_decimal(value: Column, grouped: bool = False, scale: int = 6, trim: bool
     text = trimmed(value) if trim else value
     if null_tokens:
         text = F.when(text.isin(*null_tokens), None).otherwise(text)
-    well = text.rlike(GROUPED if grouped else PLAIN) & (F.octet_length(text) <= 256)
+    # digits that the scale has no place for are refused, not rounded
+    well = text.rlike(GROUPED if grouped else PLAIN) & (F.octet_length(text) <= 256) & ~text.rlike(rf"\.[0-9]{{{scale}}}0*[1-9]")
     number = F.replace(text, F.lit(","), F.lit("")).cast(f"decimal(38,{scale})")
     bad = F.raise_error(F.concat(F.lit("not a decimal: "), text)).cast(f"decimal(38,{scale})") if strict else F.lit(None).cast(f"decimal(38,{scale})")
     return F.when(text.isNull(), None).when(well, number).otherwise(bad)

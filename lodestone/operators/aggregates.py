@@ -20,12 +20,24 @@ class Measure:
     op: str
     column: str | None = None
     origin: str | None = None  # the record-position column of the value's source; guards a sum against fan-out
-    scale: int = 2
+    scale: int | None = None  # decimal places of the sum; the column's own unless given
 
 
-def guarded_sum(value: Column, scale: int, origin: Column | None = None) -> Column:
-    """An exact sum that fails on null (R4), and on a record that counts twice."""
-    number = F.when(value.isNull(), F.raise_error(F.lit("sum over a null value"))).otherwise(value).cast(f"decimal(38,{scale})")
+def own_scale(kind: T.DataType) -> int:
+    if isinstance(kind, T.DecimalType):
+        return kind.scale
+    if isinstance(kind, T.IntegralType):
+        return 0
+    raise ValueError(f"{kind.simpleString()} has no exact scale: convert it, or say which")
+
+
+def guarded_sum(df: DataFrame, name: str, scale: int | None = None, origin: Column | None = None) -> Column:
+    """An exact sum that fails on null (R4), on a value with more decimal places, and on a record that counts twice."""
+    value, kind = F.col(name), df.schema[name].dataType
+    scale = own_scale(kind) if scale is None else scale
+    number = value.cast(f"decimal(38,{scale})")
+    lost = F.raise_error(F.concat(F.lit(f"over {scale} decimal places: "), value.cast("string"))).cast(f"decimal(38,{scale})")
+    number = F.when(value.isNull(), F.raise_error(F.lit("sum over a null value")).cast(f"decimal(38,{scale})")).when(number.cast(kind) == value, number).otherwise(lost)
     total = F.sum(number).cast(f"decimal(38,{scale})")
     if origin is None:
         return total
@@ -44,7 +56,7 @@ def aggregate(df: DataFrame, group_by: Sequence[str], measures: Sequence[Measure
         elif m.op == "sum":
             if isinstance(df.schema[m.column].dataType, T.StringType):
                 raise ValueError(f"{m.column} is text: convert it first")
-            made.append(guarded_sum(F.col(m.column), m.scale, F.col(m.origin) if m.origin else None).alias(m.name))
+            made.append(guarded_sum(df, m.column, m.scale, F.col(m.origin) if m.origin else None).alias(m.name))
         else:
             raise ValueError(f"no aggregate {m.op}")
     return df.groupBy(*group_by).agg(*made)
@@ -64,7 +76,7 @@ def reduce_source(df: DataFrame, group_by: Sequence[str], measures: Sequence[Mea
     if period:
         known = F.count_if(F.col(period[0]).isNull() | F.col(period[1]).isNull()) == 0
         extra += [F.when(known, F.max(period[0])).alias(period[0]), F.when(known, F.min(period[1])).alias(period[1])]
-    made = [(F.count(m.column or F.lit(1)) if m.op == "count" else guarded_sum(F.col(m.column), m.scale)).alias(m.name) for m in measures]
+    made = [(F.count(m.column or F.lit(1)) if m.op == "count" else guarded_sum(df, m.column, m.scale)).alias(m.name) for m in measures]
     return df.groupBy(*group_by).agg(*made, *extra)
 
 
@@ -82,7 +94,7 @@ def not_empty(df: DataFrame) -> DataFrame:
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """A row of shape statistics for each column, in one pass."""
+    """A row of shape statistics for each column, in one pass (A8). `kinds` are those that its values come in."""
     rows = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -91,18 +103,25 @@ def profile_columns(df: DataFrame) -> DataFrame:
         filled = text.isNotNull() & (flat != "")
         size = F.size(F.split(flat, r"(?U)\s+"))
         small = filled & (F.octet_length(text) <= 256)
+        kind = F.lit({"string": "text", "boolean": "truth", "date": "time", "timestamp": "time", "array": "list", "map": "object", "struct": "object", "binary": "bytes"}.get(f.dataType.typeName(), "number"))
+        if isinstance(f.dataType, T.StringType):
+            kind = F.when(flat == "", "blank").when(small & flat.rlike(PLAIN), "number").when(small & flat.rlike(GROUPED), "grouped number").otherwise("text")
         rows.append(F.struct(
             F.lit(f.name).alias("column"), F.count_if(c.isNull()).alias("nulls"), F.count(text).alias("strings"), F.count_if(text.isNotNull() & (text != flat)).alias("trimmed"),
             F.count_if(text.isNotNull() & (flat == "")).alias("blank"), F.min(F.when(filled, size)).alias("min_tokens"), F.max(F.when(filled, size)).alias("max_tokens"),
             F.count_if(small & flat.rlike(PLAIN)).alias("decimal"), F.count_if(small & flat.rlike(GROUPED)).alias("grouped"),
+            F.array_sort(F.collect_set(F.when(c.isNull(), "null").otherwise(kind))).alias("kinds"),  # one of ten names
         ))
     return df.agg(F.array(*rows).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
 def profile_json(df: DataFrame, column: str, path: str, samples: int = 50) -> DataFrame:
-    """Count, nulls, distinct, duplicates and sample values at a path of a JSON column (A10)."""
-    value = F.get_json_object(column, f"$.{path}")
-    return df.agg(F.count(value).alias("count"), F.count_if(value.isNull()).alias("nulls"), F.count_distinct(value).alias("distinct"), (F.count(value) - F.count_distinct(value)).alias("duplicates"), F.slice(F.array_sort(F.collect_set(value)), 1, samples).alias("values"))
+    """Count, nulls, distinct, duplicates and the first sample values at a path of a JSON column (A10)."""
+    found = df.select(F.get_json_object(column, f"$.{path}").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    known = F.col("value").isNotNull()
+    counts = found.agg(F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("count"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("nulls"), F.count("value").alias("distinct"))
+    counts = counts.withColumn("duplicates", F.col("count") - F.col("distinct"))
+    return counts.join(found.where(known).select("value").orderBy("value").limit(samples).agg(F.array_sort(F.collect_list("value")).alias("values")))
 
 
 def value_counts(df: DataFrame, column: str, empty: str = "unknown") -> DataFrame:

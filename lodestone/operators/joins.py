@@ -3,14 +3,16 @@ nearest neighbours and reconciliation (J1-J13, W1, A7)."""
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import haversine_m, trimmed
+from ..functions.numbers import EARTH_RADIUS_M, haversine_m, trimmed
 from ..functions.periods import intersect
 from ..functions.text import starts_with_tokens, tokens
 
@@ -43,6 +45,11 @@ class Scope:
     right: Sequence[str]
     how: str = "equal"  # equal, left_prefix (left begins right), right_prefix
 
+    def keys(self) -> tuple[Column, Column]:
+        """What tokens that match have in common: all of them, or the first; null where they are unknown."""
+        a, b = (tokens(*(F.col(f"`{c}`") for c in side)) for side in (self.left, self.right))
+        return (a, b) if self.how == "equal" else (a[0], b[0])
+
     def columns(self) -> tuple[Column, Column]:
         a, b = (tokens(*(F.col(f"`{c}`") for c in side)) for side in (self.left, self.right))
         match = {"equal": a == b, "left_prefix": starts_with_tokens(b, a), "right_prefix": starts_with_tokens(a, b)}[self.how]
@@ -58,19 +65,25 @@ class JoinRule:
     scopes: Sequence[Scope] = ()
     periods: tuple[tuple[str, str], tuple[str, str]] | None = None  # (first, last) columns of left and right
     lineage: Sequence[tuple[str, str]] = ()  # record-position columns that must agree
-    extra: dict = field(default_factory=dict)
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, rule: JoinRule) -> DataFrame:
-    """The equi-join with a column for each further condition: _lineage, _scope<i>, _known<i>, _period (null if unknown)."""
+def candidate_pairs(left: DataFrame, right: DataFrame, rule: JoinRule, counted: bool = True) -> DataFrame:
+    """The equi-join with a column for each further condition: _lineage, _scope<i>, _known<i>, _period (null if unknown).
+
+    Where rejected pairs aren't counted, what tokens of a scope must share is a key too, so most of them aren't made."""
     if not 1 <= len(rule.left) <= 8 or len(rule.left) != len(rule.right):
         raise ValueError("a join has 1 to 8 pairs of keys")
     for a, b in zip(rule.left, rule.right):
         if not kinds_agree(left.schema[a].dataType, right.schema[b].dataType):
             raise ValueError(f"keys {a} and {b} are of different kinds")
     l, r = keyed(left, rule.left, rule.trim, "_l"), keyed(right, rule.right, rule.trim, "_r")
-    condition = [F.col(f"_l{i}") == F.col(f"_r{i}") for i in range(len(rule.left))]
-    both = l.join(r, condition, "inner").drop(*(f"_{s}{i}" for s in "lr" for i in range(len(rule.left))))
+    keys = len(rule.left)
+    if not counted:
+        for scope in rule.scopes:
+            a, b = scope.keys()
+            l, r, keys = l.withColumn(f"_l{keys}", a), r.withColumn(f"_r{keys}", b), keys + 1
+    condition = [F.col(f"_l{i}") == F.col(f"_r{i}") for i in range(keys)]
+    both = l.join(r, condition, "inner").drop(*(f"_{s}{i}" for s in "lr" for i in range(keys)))
     lineage = F.lit(True)
     for a, b in rule.lineage:
         lineage = lineage & F.coalesce(F.col(f"`{a}`") == F.col(f"`{b}`"), F.lit(True))
@@ -104,7 +117,7 @@ def accepted(pairs: DataFrame, rule: JoinRule) -> DataFrame:
 
 
 def join(left: DataFrame, right: DataFrame, rule: JoinRule) -> DataFrame:
-    return accepted(candidate_pairs(left, right, rule), rule)
+    return accepted(candidate_pairs(left, right, rule, counted=False), rule)
 
 
 def metrics(left: DataFrame, right: DataFrame, rule: JoinRule, left_id: str, right_id: str) -> DataFrame:
@@ -153,23 +166,60 @@ def unmatched_report(left: DataFrame, right: DataFrame, rule: JoinRule, left_id:
     return sides[0].unionByName(sides[1])
 
 
-#: The anchors are sent to every task; more of them than this are refused, not truncated.
-MOST_ANCHORS = 10_000
+#: A grid is cut finer until its fullest cell has no more candidates than so many times k.
+FULL_CELL = 256
+#: No grid is finer than this chord of the unit sphere, some 6 mm.
+FINEST = 1e-9
+
+
+def _on_sphere(lat: str, lon: str) -> list[Column]:
+    """Unit vectors, so that poles and the date line are places like others."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return [(F.cos(la) * F.cos(lo)).alias("_x"), (F.cos(la) * F.sin(lo)).alias("_y"), F.sin(la).alias("_z")]
+
+
+def _cell(side: float, shift: Sequence[Column] = ()) -> list[Column]:
+    shift = shift or [F.lit(0)] * 3
+    return [(F.floor((F.col(c) + 1) / side) + s).cast("long").alias(f"_c{c}") for c, s in zip(("_x", "_y", "_z"), shift)]
 
 
 def nearest(anchors: DataFrame, candidates: DataFrame, k: int, anchor: tuple[str, str, str], candidate: tuple[str, str, str]) -> DataFrame:
-    """The k candidates nearest to each anchor, ties by the candidate's id (J11, W1). Triples are (id, latitude, longitude).
+    """The k candidates nearest to each anchor, ties by the candidate's id (J11, W1). Triples are (id, latitude, longitude); rows
+    without coordinates take no part.
 
-    Each anchor meets every candidate, so anchors are a bounded list; the ranking keeps k rows per anchor before it shuffles."""
+    Places fall into the cells of a grid on the unit sphere. An anchor meets the candidates of its cell and the 26 around it, so all
+    within one cell's side are among them; it is done if its k-th lies within that. The others go on with a grid four times as wide,
+    until one cell spans the sphere. Of candidates at one place the k smallest ids stand for all, and the first grid is cut until its
+    fullest cell is small, so crowded places don't make their anchors meet crowds."""
     if not 1 <= k <= 10:
         raise ValueError("k is 1 to 10")
-    if anchors.limit(MOST_ANCHORS + 1).count() > MOST_ANCHORS:
-        raise ValueError(f"over {MOST_ANCHORS} anchors")
-    a = anchors.select(*(F.col(c).alias(n) for c, n in zip(anchor, ("anchor_id", "_lat", "_lon"))))
-    c = candidates.select(*(F.col(x).alias(n) for x, n in zip(candidate, ("candidate_id", "_clat", "_clon"))))
-    far = c.crossJoin(F.broadcast(a)).withColumn("distance_m", haversine_m(F.col("_lat"), F.col("_lon"), F.col("_clat"), F.col("_clon")))
+    a = anchors.select(*(F.col(c).alias(n) for c, n in zip(anchor, ("anchor_id", "_lat", "_lon")))).dropna(subset=["_lat", "_lon"])
+    c = candidates.select(*(F.col(x).alias(n) for x, n in zip(candidate, ("candidate_id", "_clat", "_clon")))).dropna(subset=["_clat", "_clon"])
+    here = Window.partitionBy("_clat", "_clon").orderBy("candidate_id")
+    c = c.withColumn("_n", F.row_number().over(here)).where(F.col("_n") <= k).drop("_n").select("*", *_on_sphere("_clat", "_clon")).persist()
+    rest = a.select("*", *_on_sphere("_lat", "_lon")).persist()
+    side = 2 * math.sqrt(4 * k / max(c.count(), 4 * k))
+    while side > FINEST and (c.groupBy(*_cell(side)).count().agg(F.max("count")).first()[0] or 0) > FULL_CELL * k:
+        side /= 4
+    around = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip(ds, "ijk"))) for ds in itertools.product((-1, 0, 1), repeat=3)))
     order = Window.partitionBy("anchor_id").orderBy("distance_m", "candidate_id")
-    return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("anchor_id", "rank", "candidate_id", "distance_m")
+    columns, out = ["anchor_id", "rank", "candidate_id", "distance_m"], None
+    while True:
+        spread = rest.withColumn("_d", F.explode(around)).select("anchor_id", "_lat", "_lon", *_cell(side, [F.col(f"_d.{n}") for n in "ijk"]))
+        met = spread.join(c.select("candidate_id", "_clat", "_clon", *_cell(side)), ["_c_x", "_c_y", "_c_z"])
+        met = met.withColumn("distance_m", haversine_m(F.col("_lat"), F.col("_lon"), F.col("_clat"), F.col("_clon")))
+        top = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*columns)
+        if side >= 2:  # every place is in one of the cells around
+            return top if out is None else out.unionByName(top)
+        top = top.persist()
+        reach = 2 * EARTH_RADIUS_M * math.asin(min(1.0, side / 2)) * (1 - 1e-9) - 1e-3
+        done = top.groupBy("anchor_id").agg(F.count("*").alias("n"), F.max("distance_m").alias("far")).where((F.col("n") == k) & (F.col("far") <= reach)).select("anchor_id")
+        kept = top.join(done, "anchor_id", "left_semi").select(*columns)
+        out = kept if out is None else out.unionByName(kept)
+        rest = rest.join(done, "anchor_id", "left_anti").persist()
+        if rest.isEmpty():
+            return out
+        side *= 4
 
 
 def reconcile(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, checks: Sequence[tuple[str, Column, Column]]) -> DataFrame:

@@ -1,6 +1,8 @@
 """Guards and edge cases of the core operators, and the file readers."""
 
 import io
+import math
+import random
 import struct
 import zipfile
 
@@ -81,6 +83,18 @@ def test_exact_sums_and_their_guards(spark):
         aggregates.not_empty(big.limit(0))
 
 
+def test_sums_keep_every_decimal_place(spark):
+    rows = spark.createDataFrame([("0.004",), ("0.004",), ("0.004",), ("0.005",)], "v string").withColumn("d", F.col("v").cast("decimal(18,3)"))
+    assert str(aggregates.aggregate(rows, [], [Measure("s", "sum", "d")]).first().s) == "0.017"
+    with pytest.raises(Exception, match="decimal places"):
+        aggregates.aggregate(rows, [], [Measure("s", "sum", "d", scale=2)]).collect()
+    with pytest.raises(ValueError, match="exact scale"):
+        aggregates.aggregate(rows.withColumn("x", F.col("d").cast("double")), [], [Measure("s", "sum", "x")])
+    assert str(one(spark, numbers.to_decimal(F.lit("1.0500"), scale=2))) == "1.05"
+    with pytest.raises(Exception, match="not a decimal"):
+        one(spark, numbers.to_decimal(F.lit("1.005"), scale=2))
+
+
 def test_recipes_are_checked(spark):
     a, b = spark.createDataFrame([(1, 2)], "k long, v long"), spark.createDataFrame([(1, 3)], "k long, w long")
     plan = Composition("a", [Step("b", ["a.k"], ["k"])], select={"v": "a.v", "w": "b.w"})
@@ -92,6 +106,34 @@ def test_recipes_are_checked(spark):
         Composition("a", [Step("b", ["a.v"], ["k"])], refuse_empty=True).run({"a": a, "b": b})
 
 
+def test_nearest_equals_brute_force_everywhere(spark):
+    rng = random.Random(6)
+    spots = [(89.9, 10.0), (-89.99, -170.0), (0.0, 179.99), (0.1, -179.99), (37.5, 127.0)]
+    near = lambda: (lambda la, lo: (max(-89.995, min(89.995, la + rng.gauss(0, 0.05))), lo + rng.gauss(0, 0.05)))(*rng.choice(spots))
+    anywhere = lambda: (math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180))
+    c = [(i, *(near() if i % 2 else anywhere())) for i in range(600)] + [(1000 + i, 37.5, 127.0) for i in range(400)] + [(5000, None, 1.0)]
+    a = [(i, *(near() if i % 3 else anywhere())) for i in range(60)] + [(90, 90.0, 0.0), (91, 37.5, 127.0), (92, None, None)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    found = joins.nearest(frame(a, "i long, la double, lo double"), frame(c, "j long, la double, lo double"), 3, ("i", "la", "lo"), ("j", "la", "lo"))
+
+    def away(p, q):
+        (la, lo), (lb, lp) = [tuple(map(math.radians, x)) for x in (p, q)]
+        h = min(1, max(0, math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lp - lo) / 2) ** 2))
+        return round(2 * 6371008.8 * math.atan2(math.sqrt(h), math.sqrt(1 - h)), 3)
+
+    want = sorted((i, n, j) for i, *p in a if p[0] is not None for n, (_, j) in enumerate(sorted((away(p, q), j) for j, *q in c if q[0] is not None)[:3], 1))
+    assert sorted((r.anchor_id, r["rank"], r.candidate_id) for r in found.collect()) == want
+    few = joins.nearest(frame(a, "i long, la double, lo double"), frame(c[:2], "j long, la double, lo double"), 3, ("i", "la", "lo"), ("j", "la", "lo"))
+    assert few.count() == 2 * 62
+
+
+def test_vector_hits_of_equal_score_go_by_demand(spark):
+    v = [(i, [1.0, 0.0], i % 3, 7 - i) for i in range(8)] + [(20, [0.0, 1.0], 9, 9)]
+    frame = spark.createDataFrame(v, "pk long, vec array<float>, apply_count long, view_count long")
+    got = retrieval.vector_top(frame, frame.where("pk = 0"), 4, retrieval.DEMAND).orderBy("rank").collect()
+    assert [(r.pk, r.score) for r in got] == [(2, 1.0), (5, 1.0), (1, 1.0), (4, 1.0)]
+
+
 def test_nearest_keeps_the_smaller_id_of_ties(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0)], "i long, la double, lo double")
     c = spark.createDataFrame([(7, 1.0, 0.0), (5, 1.0, 0.0), (9, 0.5, 0.0)], "j long, la double, lo double")
@@ -204,7 +246,15 @@ def test_sinks(spark, tmp_path):
     assert sinks.aligned_table(df).splitlines()[:2] == ["i  s", "1  한"]
     for n in (1, 2):
         sinks.write_snapshot(df.limit(n), str(tmp_path / "snap"))
-        assert spark.read.parquet(str(tmp_path / "snap")).count() == n
+        assert sinks.read_snapshot(spark, str(tmp_path / "snap")).count() == n
+    before = sinks.read_snapshot(spark, str(tmp_path / "snap"))
+    sinks.write_snapshot(df.limit(1), str(tmp_path / "snap"))
+    assert before.count() == 2 and sinks.read_snapshot(spark, str(tmp_path / "snap")).count() == 1  # who reads the old one still can
+    sinks.write_snapshot(df, str(tmp_path / "snap"))
+    assert len(list((tmp_path / "snap").glob("version-*"))) == 2
+    for short in (sinks.aligned_table, sinks.pretty_json):
+        with pytest.raises(ValueError, match="over 1 rows"):
+            short(df, 1)
 
 
 def test_streams(spark, sf_dir, tmp_path):
