@@ -45,7 +45,7 @@ from .common import HOT, MIX, Scratch, documents, fresh, hot_parts, mix64, shing
 
 #: Buckets of so many sets have their pairs of different components tried at once; larger ones go on around their centres. Those of
 #: signatures hold the same pairs over and over, those of differences hardly do.
-FEW, SEVERAL = 8, 64
+FEW, SEVERAL = 3, 64
 #: Cuts of a set by further hashes, while too many subsets are empty.
 DEEPEST = 6
 #: Longs that hold a set's parities.
@@ -384,7 +384,7 @@ def around_centres(linker: Linker, named: DataFrame) -> DataFrame:
     least = apart.groupBy("g").agg(F.min("e").alias("least"), F.min_by("a", F.struct("e", "a")).alias("m"))
     around = scratch.table(split_join(apart, least, ["g"], parts), "around")
     scratch.drop(apart)
-    linker.verify(ordered(around.where("a != m"), "a", "m"))
+    linker.verify(ordered(around.where("a != m and e + least <= 0"), "a", "m"))
 
     elements = around.select("g", "a", "e", "least", F.size("ds").alias("k"), F.explode("ds").alias("d"))
     often = scratch.table(counted(elements, "g", "d"), "often")

@@ -82,10 +82,13 @@ def test_quality_on_held_out_rows(spark, tables):
     assert quality.score(odd.limit(0), model).count() == 0
 
 
-def test_quality_from_positives_only(tables):
+def test_quality_reads_no_negative_label(tables):
     docs, labels, truth = tables
-    model = quality.fit(docs, labels.where("quality = 1"))
-    assert 0.5 < model.prior <= 0.98
+    model = quality.fit(docs, labels)
+    share = sum(q for i, (q, _) in truth.items() if not fold(i)) / sum(not fold(i) for i in truth)
+    assert abs(model.prior - share) < 0.05
+    hidden = quality.fit(docs, labels.withColumn("quality", F.when(F.col("quality") == 1, 1)))
+    assert hidden.prior == model.prior and np.allclose(hidden.layers[0][0], model.layers[0][0])
     assert quality.fit(docs, labels.where("doc_id < 0")) is None
 
 
@@ -114,6 +117,24 @@ def test_search_equals_brute_force(spark, monkeypatch, kind):
     assert sorted(map(tuple, got.collect())) == brute(list(enumerate(points)), [(i, p) for i, p in enumerate(points) if i % 50 == 0], 5)
 
 
+def test_pairs_of_clustered_data_grow_less_than_with_the_square(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(covertree, "GROUP_ROWS", 10)
+    monkeypatch.setattr(covertree, "FANOUT", 4)
+    made = []
+    kept = covertree.surviving_pairs
+    monkeypatch.setattr(covertree, "surviving_pairs", lambda *a: made.append(kept(*a)) or made[-1])
+    rng = np.random.default_rng(7)
+    for n in (500, 2000):
+        centres = rng.normal(0, 100, (n // 50, 4))
+        points = np.floor(centres[rng.integers(0, len(centres), n)] + rng.normal(0, 1, (n, 4)))
+        frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, v array<double>")
+        got = covertree.top_k(frame, frame.where("vec_id % 10 = 0"), 5)
+        assert sorted(map(tuple, got.collect())) == brute(list(enumerate(points)), [(i, p) for i, p in enumerate(points) if i % 10 == 0], 5)
+    few, many = (m.count() for m in made)
+    assert many < 8 * few  # four times the rows: 16 times as many pairs if none were pruned
+
+
 def test_search_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, v array<double>")
     assert covertree.top_k(frame, frame, 5).count() == 0
