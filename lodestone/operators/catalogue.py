@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,10 @@ def merge(*sources: DataFrame) -> DataFrame:
     )
 
 
-def reuse(index: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept index rows, documents to embed): vectors whose key and document hash haven't changed are kept."""
-    same = ["pk", "doc_hash"]
+def reuse(index: DataFrame, documents: DataFrame, recipe: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(kept index rows, documents to embed): vectors whose key, document hash and recipe columns (as the model and how texts are put
+    together) haven't changed are kept (J16)."""
+    same = ["pk", "doc_hash", *recipe]
     return index.join(documents.select(*same), same, "left_semi"), documents.join(index.select(*same), same, "left_anti")
 
 

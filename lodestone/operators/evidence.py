@@ -1,5 +1,5 @@
 """Evidence about a result: which records it used, single cells and their addresses, revisions, state changes, usage
-(P12, P15, A18, A22, J15, J17-J19, K7, E4, E6, F18, F23, F25, F32, W4)."""
+(P15, A18, A22, J17-J19, K7, E4, E6, F18, F23, F25, F32, W4)."""
 
 from __future__ import annotations
 
@@ -47,7 +47,9 @@ def bridges(selected: DataFrame, pool: DataFrame, anchors: DataFrame, most: int
     """(anchor_pk, pk, role, position): selections (pk, role, position) that the pool holds, one for each role, not the anchor itself."""
     seen = selected.join(pool.select("pk").distinct(), "pk", "left_semi")
     one = seen.withColumn("_n", F.row_number().over(Window.partitionBy("role").orderBy("position", "pk"))).where("_n = 1").drop("_n")
-    with_anchor = one.join(anchors.select(F.col("pk").alias("anchor_pk"), F.col("position").alias("_at"))).where("anchor_pk != pk")
+    # the first anchor that isn't the selection itself: one of the first two
+    nearest = anchors.groupBy(F.col("pk").alias("anchor_pk")).agg(F.min("position").alias("_at")).orderBy("_at", "anchor_pk").limit(2)
+    with_anchor = one.crossJoin(F.broadcast(nearest)).where("anchor_pk != pk")
     first = with_anchor.withColumn("_n", F.row_number().over(Window.partitionBy("pk", "role").orderBy("_at", "anchor_pk"))).where("_n = 1")
     return first.orderBy("position", "pk").limit(most).select("anchor_pk", "pk", "role", "position")
 

@@ -55,10 +55,10 @@ def tiered(found: DataFrame, terms: Sequence[str], order: Sequence[Column], limi
     return top.withColumn("relaxed", ~any_strict).where(F.col("relaxed") | strict)
 
 
-def lexical(entries: DataFrame, terms: Sequence[str], limit: int | None = None, ranking: str = "demand", planned: bool = False) -> DataFrame:
-    """Ranked hits by demand, by date, or balanced (both lists in turn, T4)."""
+def lexical(entries: DataFrame, terms: Sequence[str], limit: int | None = None, ranking: str = "demand", planned: bool = False, rest_only: bool = False) -> DataFrame:
+    """Ranked hits by demand, by date, or balanced (both lists in turn, T4); of services that can be called only, if so asked."""
     limit = clamp(limit)
-    found = scored(entries, terms)
+    found = scored(entries.where("svc_type = 'REST'") if rest_only else entries, terms)
     if ranking != "balanced":
         return tiered(found, terms, order_by(ranking), limit, planned)
     lists = [tiered(found, terms, order_by(kind), limit, planned).withColumn("bucket", F.lit(i)) for i, kind in enumerate(("demand", "recent"))]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import Measure, aggregate, at_most, not_empty
-from ..operators.joins import JoinRule, Scope, join
+from ..operators.joins import JoinRule, Scope, expansion, join
 
 MOST_JOINS, MOST_GROUPS, MOST_MEASURES = 7, 8, 16
 
@@ -48,6 +48,7 @@ class Composition:
     select: dict[str, str] = field(default_factory=dict)  # output name -> field
     where: Column | None = None
     most_rows: int | None = None
+    most_pairs: int | None = None  # a join that would make more is refused before it is made
     refuse_empty: bool = False
 
     def check(self) -> None:
@@ -64,7 +65,12 @@ class Composition:
         out = qualify(sources[self.base], self.base)
         for s in self.steps:
             rule = JoinRule([column_name(c) for c in s.left_keys], [column_name(f"{s.right}.{c}") for c in s.right_keys], s.trim, s.scopes, s.periods)
-            out = join(out, qualify(sources[s.right], s.right), rule)
+            right = qualify(sources[s.right], s.right)
+            if self.most_pairs is not None:
+                pairs = expansion(out, right, rule.left, rule.right, rule.trim).first()["joined_rows"]
+                if pairs > self.most_pairs:
+                    raise ValueError(f"joining {s.right} makes {pairs} pairs, over {self.most_pairs}")  # J7
+            out = join(out, right, rule)
         if self.where is not None:
             out = out.where(self.where)
         for name, value in self.measures.items():

@@ -648,3 +648,133 @@ def q_listed_values(spark, sf_dir):
 def q_scalar_text(spark, sf_dir):
     """A scalar of a JSON column as canonical text."""
     return table(spark, sf_dir, "events").select("event_id", evidence.scalar_text(F.get_json_object("props", "$.k")).alias("k"))
+
+
+# --- single functions ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT o_orderkey, o_orderkey % 1000 AS a FROM orders) JOIN
+(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN l_orderkey % 1000 ELSE l_orderkey % 2 END AS b FROM lineitem) ON l_orderkey = o_orderkey WHERE b IS NULL OR a = b""")
+def q_lineage_join(spark, sf_dir):
+    """Record positions must agree where both are known."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1000).alias("a"))
+    b = F.when(F.col("l_linenumber") % 3 == 1, F.col("l_orderkey") % 1000).when(F.col("l_linenumber") % 3 == 2, F.col("l_orderkey") % 2)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", b.alias("b"))
+    return joins.join(o, li, JoinRule(["o_orderkey"], ["l_orderkey"], lineage=[("a", "b")])).select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("SELECT c_custkey, CASE WHEN d = 0 THEN '0' ELSE rtrim(rtrim(CAST(d AS VARCHAR), '0'), '.') END AS shown FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DECIMAL(18,4)) END AS d FROM customer)")
+def q_canonical_decimals(spark, sf_dir):
+    """F6."""
+    d = F.when(F.col("c_custkey") % 7 == 0, F.lit(0)).otherwise(F.col("c_acctbal").cast("decimal(18,2)")).cast("decimal(18,4)")
+    return table(spark, sf_dir, "customer").select("c_custkey", numbers.canonical(d).alias("shown"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey % 91 AS DOUBLE) * CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END AS latitude FROM customer")
+def q_coordinates(spark, sf_dir):
+    """degrees from text."""
+    shown = F.concat(F.when(F.col("c_custkey") % 2 == 0, "-").otherwise(""), (F.col("c_custkey") % 91).cast("string"), F.lit(".0"))
+    return table(spark, sf_dir, "customer").select("c_custkey", numbers.coordinate(shown, 90.0).alias("latitude"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS amount FROM orders")
+def q_loose_integers(spark, sf_dir):
+    """F17."""
+    shown = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.concat(F.lit(" "), F.format_number(F.floor("o_totalprice"), 0)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.loose_integer(shown).alias("amount"))
+
+
+@query("SELECT o_orderkey, nullif(CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderstatus END, '') AS development, o_orderpriority AS production FROM orders")
+def q_approval_parts(spark, sf_dir):
+    """F18."""
+    label = F.concat(F.lit("development: "), F.when(F.col("o_orderkey") % 4 == 0, " ").otherwise(F.col("o_orderstatus")), F.lit(" / production: "), "o_orderpriority")
+    development, production = evidence.approval(label)
+    return table(spark, sf_dir, "orders").select("o_orderkey", development.alias("development"), production.alias("production"))
+
+
+_MARKS = ["필수", " Y ", "no", "TRUE", "옵션", "1"]
+
+
+@query("SELECT event_id, event_id % 6 IN (0, 1, 3, 5) AS required, event_id % 6 IN (1, 3, 5) AS deleted FROM events")
+def q_marks(spark, sf_dir):
+    """Marks of required parameters and of deleted rows."""
+    mark = F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.required(mark).alias("required"), text.deleted(mark).alias("deleted"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'entity,temporal' ELSE 'entity,proxy' END AS kinds,
+CASE p_partkey % 3 WHEN 0 THEN 'same key meaning,key overlap' WHEN 1 THEN 'same key meaning,key overlap,same period unit' ELSE 'same key meaning,key overlap,stated transform' END AS checks FROM part""")
+def q_edge_checklist(spark, sf_dir):
+    """The kinds of an edge and what they ask for."""
+    other = F.element_at(F.array(F.lit("Entity "), F.lit("TEMPORAL"), F.lit(" proxy")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    kinds = text.edge_kinds(F.array(F.lit(" Entity"), F.lit("unheard of"), other))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", kinds).alias("kinds"), F.concat_ws(",", evidence.checklist(kinds)).alias("checks"))
+
+
+@query("SELECT event_id, event_type = 'click' AS leaf, event_type = 'click' AND event_id % 2 = 0 AS suffix FROM events")
+def q_path_selectors(spark, sf_dir):
+    """a leaf, and a suffix of a dotted path."""
+    path = F.concat(F.when(F.col("event_id") % 2 == 0, "Body.Item.").otherwise("Body.Entry."), F.initcap("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", evidence.path_matches(path, "click").alias("leaf"), evidence.path_matches(path, "item.click").alias("suffix"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name || ' ' || p_type, ' '))), '|') AS names FROM part")
+def q_canonical_lists(spark, sf_dir):
+    """E4."""
+    names = F.split(F.concat("p_name", F.lit("  "), "p_type", F.lit(" ")), " ")
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", evidence.canonical_list(names)).alias("names"))
+
+
+@query("""SELECT p_partkey, p_size % 7 <= p_size % 5 AND p_size % 7 <= p_size % 11 AND p_partkey % 20 >= p_size % 7 AND p_partkey % 20 <= (p_size % 7) * 6 AS consistent FROM part""")
+def q_sample_consistency(spark, sf_dir):
+    """Whether counts of an overlap can be true together."""
+    at = lambda n: F.col("p_size") % n
+    return table(spark, sf_dir, "part").select("p_partkey", ledger.consistent_sample(at(7), at(5), at(11), F.col("p_partkey") % 20, F.lit(2), F.lit(3)).alias("consistent"))
+
+
+@query("""SELECT role, node, rank, CAST(row_number() OVER (PARTITION BY role ORDER BY rank) AS INT) AS place FROM (SELECT p_brand AS role, p_partkey AS node, p_size * 100000 + p_partkey AS rank FROM part) QUALIFY place <= 3""")
+def q_role_cap(spark, sf_dir):
+    """Each part in its first role, and the best three of each role."""
+    p = table(spark, sf_dir, "part")
+    rank = F.col("p_size") * 100000 + F.col("p_partkey")
+    first = p.select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("role"), rank.alias("rank"))
+    second = p.select(F.col("p_partkey").alias("node"), F.col("p_type").alias("role"), (rank + 7).alias("rank"))
+    return retrieval.best_per_role(first.unionByName(second)).select("role", "node", "rank", "place")
+
+
+@query("""WITH one AS (SELECT s_nationkey AS role, min(s_suppkey) AS pk FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem) GROUP BY 1)
+SELECT (SELECT min(s_suppkey) FROM supplier WHERE s_suppkey <> one.pk) AS anchor_pk, pk, role, pk AS position FROM one ORDER BY pk LIMIT 3""")
+def q_bridge_selection(spark, sf_dir):
+    """J17."""
+    s = table(spark, sf_dir, "supplier")
+    chosen = s.select(F.col("s_suppkey").alias("pk"), F.col("s_nationkey").alias("role"), F.col("s_suppkey").alias("position"))
+    pool = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pk"))
+    return evidence.bridges(chosen, pool, s.select(F.col("s_suppkey").alias("pk"), F.col("s_suppkey").alias("position")))
+
+
+@query("SELECT event_id, ts < (SELECT max(ts) FROM events) - INTERVAL 14 DAY AS stale FROM events")
+def q_staleness(spark, sf_dir):
+    """X4."""
+    e = table(spark, sf_dir, "events")
+    return e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).select("event_id", catalogue.stale(F.col("ts"), F.col("now")).alias("stale"))
+
+
+@query(_ENTRY_SQL + _ranked_sql(["the", "src1"], _DEMAND, 100) + " SELECT pk, CAST(rank AS INT) AS rank FROM sr")
+def q_question_terms(spark, sf_dir):
+    """The terms of a question; a limit over 100 is 100."""
+    terms = text.query_terms("Please: THE src1s!", fillers=["please"], particles=["s"])
+    return retrieval.lexical(entries(spark, sf_dir), terms, 5000).select("pk", "rank")
+
+
+@query(_ENTRY_SQL.replace("FROM documents)", "FROM documents WHERE lang = 'en')") + _ranked_sql(["the", "src1"], _DEMAND, 20) + " SELECT pk, CAST(rank AS INT) AS rank FROM sr")
+def q_lexical_rest_only(spark, sf_dir):
+    """Services that can be called only."""
+    e = entries(spark, sf_dir).withColumn("svc_type", F.when(F.col("category") == "en", "REST").otherwise("FILE"))
+    return retrieval.lexical(e, ["the", "src1"], rest_only=True).select("pk", "rank")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size > 25 ORDER BY p_partkey LIMIT 1000")
+def q_scan_sample(spark, sf_dir):
+    """The first matches of a scan, beside its counts (scan_counts)."""
+    _, first = tables.select_first(table(spark, sf_dir, "part"), F.col("p_size") > 25, ["p_partkey"], 1000)
+    return first.select("p_partkey", "p_name")

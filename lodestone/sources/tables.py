@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_index
@@ -186,6 +186,11 @@ def select_in(df: DataFrame, chosen: dict[str, Sequence[str]]) -> DataFrame:
     return df
 
 
+def select_first(df: DataFrame, condition: Column, order: Sequence[str], most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(counts, the first `most` matches in the given order): a selection that keeps a bounded part and tells how much there is."""
+    return scan_counts(df, condition, most), df.where(condition).orderBy(*order).limit(most)
+
+
 def scan_counts(df: DataFrame, matches, most: int) -> DataFrame:
     """Scanned, matched and returned rows of a selection that keeps at most so many."""
     return df.agg(F.count("*").alias("scanned"), F.count_if(matches).alias("matched"), F.least(F.count_if(matches), F.lit(most)).alias("returned"))

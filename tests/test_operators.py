@@ -104,6 +104,17 @@ def test_recipes_are_checked(spark):
             wrong.run({"a": a, "b": b})
     with pytest.raises(ValueError, match="empty"):
         Composition("a", [Step("b", ["a.v"], ["k"])], refuse_empty=True).run({"a": a, "b": b})
+    many = a.union(a).union(a)
+    with pytest.raises(ValueError, match="makes 3 pairs, over 2"):
+        Composition("a", [Step("b", ["a.k"], ["k"])], most_pairs=2).run({"a": many, "b": b})
+    assert Composition("a", [Step("b", ["a.k"], ["k"])], most_pairs=3).run({"a": many, "b": b}).count() == 3
+
+
+def test_vectors_are_reused_only_for_the_same_recipe(spark):
+    index = spark.createDataFrame([(1, "h", "m1"), (2, "h", "m2")], "pk long, doc_hash string, model string")
+    now = spark.createDataFrame([(1, "h", "m2"), (2, "h", "m2")], "pk long, doc_hash string, model string")
+    kept, pending = catalogue.reuse(index, now, ["model"])
+    assert [r.pk for r in kept.collect()] == [2] and [r.pk for r in pending.collect()] == [1]
 
 
 def test_nearest_equals_brute_force_everywhere(spark):
