@@ -3,12 +3,15 @@
 Documents longer than a sequence are cut into pieces of full length, the first of which may be shorter; so all that is left to pack is
 how often each piece length occurs. That histogram has one row per length up to the capacity, however large the corpus, and it alone
 goes to the driver. There a branch-and-bound search completes bins: it takes the largest length left, enumerates the fillings of the
-space beside it that no other dominates (an item in place of several of the same sum or less), least waste first, applies the chosen
-pattern as often as the counts allow, and drops branches whose waste reaches that of the best solution known. The first such solution
-is best-fit decreasing. The search ends at the lower bound, or after `max_nodes` steps with the best solution so far.
+space beside it that no other dominates (a piece that is left in place of several of its sum, or of a smaller one that wastes more),
+least waste first, applies the chosen pattern as often as the counts allow, and drops branches whose waste reaches that of the best
+solution known. The first such solution is best-fit decreasing. The search ends at the lower bound, or after `max_nodes` steps with the
+best solution so far; a node looks at a bounded number of fillings, as the parameters of `fillings` and `complete_bins` say. What those
+bounds cost is at most the gap between the result and `lower_bound`, and no piece.
 
 Pieces are ranked within their length (in two levels, so no length meets in one task) and find their place by a join with the
-patterns' slots. Defined results: null and empty texts are one piece, the end id alone; repeated rows are packed each; null ids are
+patterns' slots. Defined results: null and empty texts are one piece, the end id alone; very long texts are as many pieces as they fill;
+repeated rows are packed each; null ids are
 allowed; extra columns are ignored; an empty table packs into nothing.
 """
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 import os
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +204,34 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return out
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that no packing does without: by total length, and for each k by the pieces over capacity - k, which take a bin that none of
+    k or more shares, those over half of it, and what of the others of k or more doesn't fit beside these."""
+    total = sum(s * n for s, n in counts.items())
+    best = -(-total // capacity)
+    for k in [0, *(s for s in counts if 2 * s <= capacity)]:
+        alone = sum(n for s, n in counts.items() if s > capacity - k)
+        large = [(s, n) for s, n in counts.items() if capacity - k >= s > capacity / 2]
+        small = sum(s * n for s, n in counts.items() if k <= s <= capacity / 2)
+        room = sum((capacity - s) * n for s, n in large)
+        best = max(best, alone + sum(n for _, n in large) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def dominated(fill: list[int], counts: dict[int, int], waste: int) -> bool:
+    """Whether one piece that is left could stand in place of several of the filling, of their sum or up to `waste` more, or of one that
+    is smaller by up to `waste`: the filling with that piece leaves the easier ones for other bins."""
+    sums = {0: 0}  # sum of some of the pieces -> how many, at most two counted
+    for s in fill:
+        for total, n in list(sums.items()):
+            sums[total + s] = max(sums.get(total + s, 0), min(2, n + 1))
+    for total, n in sums.items():
+        for t in range(total, total + waste + 1) if n else ():
+            if counts.get(t, 0) > fill.count(t) and (n > 1 or t > total):
+                return True
+    return False
+
+
 def fillings(counts: dict[int, int], sizes: list[int], space: int, most: int, width: int = 3) -> list[list[int]]:
     """Up to `most` undominated fillings of the space with at most `width` pieces before best fit ends them, least waste first."""
     found: dict[tuple[int, ...], int] = {}
@@ -236,15 +268,16 @@ def fillings(counts: dict[int, int], sizes: list[int], space: int, most: int, wi
             found.setdefault(tuple(chosen), space)
 
     extend([], space, 0)
-    # fewer and larger pieces dominate more and smaller ones of the same sum
-    return [list(k) for k, _ in sorted(found.items(), key=lambda kv: (kv[1], len(kv[0]), [-x for x in kv[0]]))[:most]] or [[]]
+    ordered = sorted(found.items(), key=lambda kv: (kv[1], len(kv[0]), [-x for x in kv[0]]))
+    undominated = list(islice((list(k) for k, waste in ordered if not dominated(list(k), counts, waste)), most))
+    return undominated or [list(k) for k, _ in ordered[:1]] or [[]]
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = 20_000, branches: int = 3) -> list[Pattern]:
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = 5_000, branches: int = 3) -> list[Pattern]:
     """Patterns that pack the counted lengths into as few bins as the search finds."""
     counts = {s: n for s, n in counts.items() if n}
     total = sum(s * n for s, n in counts.items())
-    bound = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
+    bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     bins = lambda patterns: sum(p.times for p in patterns)
     nodes = 0

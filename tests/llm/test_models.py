@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,23 @@ def test_quality_on_held_out_rows(spark, tables):
     assert quality.score(odd.limit(0), model).count() == 0
 
 
+def test_quality_stage_keeps_clashing_columns(spark, tables, tmp_path):
+    docs, labels, truth = tables
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    frame = docs.withColumn("quality_score", F.lit("kept")).withColumn("_score", F.lit(1))
+    out = quality.keep_good_documents(spark, frame, str(tmp_path))
+    assert out.columns == frame.columns and out.where("quality_score != 'kept'").count() == 0 and 0 < out.count() < docs.count()
+
+
+def test_sentence_spans_are_those_of_the_model():
+    texts = ["One two. Three!\nFour five", "", "a\x02b \x02 c? d", "  x.\n\ny z  ", "No end"]
+    words, codes, number, first = toxicity.sentence_words(pa.array(texts))
+    for i, t in enumerate(texts):
+        spans = toxicity.sentence_spans(t)
+        assert len(spans) == first[i + 1] - first[i]
+    assert [t[a:b] for t in texts[:1] for a, b in toxicity.sentence_spans(t)] == ["One two.", "Three!", "\n", "Four five"]
+
+
 def test_quality_reads_no_negative_label(tables):
     docs, labels, truth = tables
     model = quality.fit(docs, labels)

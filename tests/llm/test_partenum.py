@@ -49,7 +49,7 @@ def corpus(seed):
     words = [f"w{i}" for i in range(4000)]
     common = [f"c{i}" for i in range(60)]
     texts = []
-    for length, copies, edits in ((300, 24, 10), (15, 12, 2)):
+    for length, copies, edits in ((900, 8, 30), (300, 24, 10), (120, 16, 5), (15, 12, 2)):
         base = [rng.choice(words) for _ in range(length)]
         near = family(rng, base, copies, edits, words)
         texts += near + family(rng, near[1], copies // 3, edits, words)  # copies of a copy
@@ -59,9 +59,10 @@ def corpus(seed):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("n", "threshold", "few"), [(3, Fraction(9, 10), 2)])
+@pytest.mark.parametrize(("n", "threshold", "few"), [(3, Fraction(9, 10), 2), (5, Fraction(4, 5), 3)])
 def test_components_equal_brute_force(spark, monkeypatch, n, threshold, few):
     monkeypatch.setattr(partenum, "FEW", few)
+    monkeypatch.setattr(partenum, "SEVERAL", few)
     rows = corpus(n)
     found = partenum.jaccard_components(spark.createDataFrame(rows, "id long, text string"), n, threshold)
     assert {r.id: (r.n_shingles, r.component) for r in found.collect()} == brute(rows, n, threshold)
@@ -83,6 +84,16 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 5, 6]
 
 
+def test_stage_decides_by_id_and_set(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, "B b b b b b"), (7, "a a2 a3 a4 a5 a6"), (7, "b b b b b b"), (9, long), (9, long), (10, long + " x"), (11, long.upper()), (12, ""), (12, ""), (None, "A a2 a3 a4 a5 a6")]
+    docs = spark.createDataFrame([(*r, "m", "i") for r in rows], "doc_id long, text string, _mark string, _id string")
+    kept = partenum.keep_one_of_each_group(spark, docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect())
+    assert got == sorted([(3, "b b b b b b"), (7, "a a2 a3 a4 a5 a6"), (9, long), (12, ""), (12, ""), (0, "a a2 a3 a4 a5 a6")])
+
+
 def test_bands_admit_every_pair_of_sizes():
     for threshold in (Fraction(9, 10), Fraction(4, 5)):
         bands = partenum.size_bands(threshold, 500)

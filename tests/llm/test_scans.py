@@ -197,6 +197,30 @@ def test_edited_texts_and_likeness(spark):
     assert fingerprints.edited_fingerprints(edge.limit(0)).count() == 0
 
 
+def test_fingerprints_equal_plain_minhash(spark):
+    import xxhash
+
+    text = "One two three four five six seven six seven eight nine ten eleven"
+    mask = (1 << 64) - 1
+
+    def mix64(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    words = [xxhash.xxh3_64_intdigest(w.encode()) for w in text.lower().split()]
+    shingles = set()
+    for i in range(len(words) - 4):
+        h = 0
+        for j in range(5):
+            h = (h * 0x9E3779B97F4A7C15 + mix64((words[i + j] + j) & mask)) & mask
+        shingles.add(mix64(h))
+    seeds = [mix64(i * 0x9E3779B97F4A7C15 & mask) for i in range(1, 257)]
+    minima = [min((s * (seeds[p] | 1) + seeds[128 + p] & mask) >> 32 for s in shingles) for p in range(128)]
+    got = fingerprints.fingerprints(docs(spark, [(1, text)])).first().fingerprint
+    assert got == "".join(f"{m:08x}" for m in minima)
+
+
 def test_near_copies_are_verified(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
@@ -229,7 +253,7 @@ def test_pieces_are_whole_and_gapless(spark):
     rows = [*EDGES, *((100 + i, " ".join(rng.choice(["alpha", "beta,", "ga\nmma", "δέλτα", " two  blanks", "<|endoftext|>", "\t tab"]) for _ in range(rng.randrange(0, 900)))) for i in range(40))]
     got = packing.packed_pieces(docs(spark, rows)).collect()
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    want = sorted(zlib.crc32(np.array(ids[max(0, b - 1024) if False else a : b], "<u4").tobytes()) for i, t in rows for ids in [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]] for cuts in [[0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]] for a, b in zip(cuts, cuts[1:]))
+    want = sorted(zlib.crc32(np.array(ids[a:b], "<u4").tobytes()) for i, t in rows for ids in [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]] for cuts in [[0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]] for a, b in zip(cuts, cuts[1:]))
     assert sorted(r.ids_crc32 for r in got) == want
     by_sequence = {}
     for r in got:
@@ -263,6 +287,39 @@ def test_bin_completion_is_no_worse_than_best_fit(seed):
     assert sum(p.times for p in done) <= sum(p.times for p in packing.best_fit(counts, 100))
 
 
+def fewest_bins(items, capacity):
+    """By trying every place for every item."""
+    best, items = len(items), sorted(items, reverse=True)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for j in {b: j for j, b in enumerate(bins) if b + items[i] <= capacity}.values():
+            place(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1 :]])
+        place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best
+
+
+def test_bin_completion_equals_brute_force():
+    for seed in range(120):
+        rng = random.Random(seed)
+        items = [rng.randrange(5, 70) for _ in range(rng.randrange(1, 10))]
+        counts = {x: items.count(x) for x in items}
+        want = fewest_bins(items, 100)
+        assert sum(p.times for p in packing.complete_bins(counts, 100)) == want >= packing.lower_bound(counts, 100)
+
+
+def test_a_piece_in_place_of_several_dominates():
+    assert packing.dominated([20, 10], {20: 1, 10: 1, 30: 1}, 0) and packing.dominated([20], {20: 1, 22: 1}, 3)
+    assert not packing.dominated([20, 10], {20: 1, 10: 1, 31: 1}, 0) and not packing.dominated([30], {30: 2, 20: 1, 10: 1}, 0)
+
+
 def test_bin_completion_finds_a_perfect_packing():
     counts = {60: 1, 50: 2, 40: 1, 30: 2, 20: 2}  # best fit alone needs a fourth bin
     assert sum(p.times for p in packing.complete_bins({k: v for k, v in counts.items()}, 100)) == 3
@@ -297,6 +354,46 @@ def test_mix_meets_targets(spark):
         assert all(abs(k - share * slot) < 12 for k, slot in enumerate(own))
 
 
+def test_schedule_equals_plain_python(spark):
+    sources = [(0, "a", 1000, 700.0), (1, "b", 37, 60.0), (2, "c", 5, 0.0), (3, "d", 1, 2.0), (4, None, 90, 180.0)]
+    block, golden = 16, 679535556991
+    need = [(s, size, -(-size // block), (int(t) // size) * -(-size // block) + -(-(int(t) % size) // block), int(t)) for s, _, size, t in sources if t]
+    total, at, cuts = sum(n[3] for n in need), 0, []
+    for n in need:
+        cuts.append((n[0], (at << 40) // total, ((at + n[3]) << 40) // total))
+        at += n[3]
+    own = {n[0]: [] for n in need}
+    free = []
+    for slot in range(total):
+        u = slot * golden % (1 << 40)
+        s = next(s for s, low, high in cuts if low <= u < high)
+        if len(own[s]) < next(n[3] for n in need if n[0] == s):
+            own[s].append(slot)
+        else:
+            free.append(slot)
+    for s, *_, slots, _ in need:
+        while len(own[s]) < slots:
+            own[s].append(free.pop(0))
+    want = set()
+    for s, size, blocks, _, words in need:
+        for rank, slot in enumerate(own[s]):
+            b = rank % blocks
+            want.add((s, rank, slot, b, min(block, size - b * block, words - rank // blocks * size - b * block)))
+    got = {tuple(r) for r in mixing.schedule(spark, sources, block).select("s", "rank", "slot", "block", "words").collect()}
+    assert got == want and sorted(x[2] for x in got) == list(range(total))
+    high = (1 << 39) + 12345
+    assert spark.range(1).select(mixing.golden_point(str(high) + "L").alias("u")).first().u == high * golden % (1 << 40)
+
+
+def test_mix_keeps_clashing_columns_and_rows_that_share_an_id(spark):
+    rows = [(1, "w " * 50, "a", "x", "y", "z"), (1, "v", "b", "x", "y", "z"), (None, "u u", "a", "x", "y", "z"), (None, "t t t", None, "x", "y", "z"), (2, "", "a", "x", "y", "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, _times string, _copy string")
+    out = mixing.mix_documents(spark, frame)
+    assert out.columns == frame.columns
+    kept = out.collect()
+    assert {r._id + r._times + r._copy for r in kept} == {"xyz"} and {r.text for r in kept} <= {r[1] for r in rows} and "" not in {r.text for r in kept}
+
+
 def test_water_filling():
     assert mixing.water_fill([100, 10, 10], [5, 2, 1], 60, 2) == [pytest.approx(37.5), pytest.approx(15), pytest.approx(7.5)]
     assert mixing.water_fill([10, 100, 100], [5, 2, 1], 120, 2) == [20, pytest.approx(200 / 3), pytest.approx(100 / 3)]
