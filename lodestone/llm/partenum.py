@@ -14,12 +14,12 @@ those partners for which it matters. After DEEPEST such cuts empty subsets count
 
 Sets that share a signature aren't paired with each other: each is paired with one of its bucket, the head of a star; the distinct
 pairs are verified on the full sets, and links are merged into components. Where a bucket's members then still lie in several
-components, a small bucket (FEW) has its pairs of different components tried. Larger ones are put together into clusters by the
-sets they share, and taken apart around the elements that most of a cluster's sets hold (see around_centres): pairs near that centre
-are settled by one more star, and the rest can only be linked if they share a rare difference from it, so those differences are the
-buckets of the next round, each with at most half of the sets. This ends when no large bucket is open. Copies with edits of their own
-share no such difference, so a large group of them costs its number of edits, not its square, and no link between different sets is
-lost.
+components, these buckets are put together into clusters by the sets they share, and taken apart around the elements that most of a
+cluster's sets hold (see around_centres): pairs near that centre are settled by one more star, and the rest can only be linked if they
+share a rare difference from it and are of nearly the same size, so those differences, by size, are the buckets of the next round, each
+with at most half of the sets. Of these, small ones (SEVERAL) have their pairs of different components tried, and larger ones are taken
+apart in the same way, until none is open. Copies with edits of their own share no such difference, so a large group of them costs its
+number of edits, not its square, and no link between different sets is lost.
 
 Before sets are read, pairs are dropped whose sizes, or whose parities of elements in 1,024 classes, already differ by more than the
 threshold allows. Keys that hold over a thousandth of a table's rows are joined in parts (see split_join).
@@ -33,6 +33,7 @@ sets are read one pair at a time); extra columns are ignored; an empty table giv
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 from functools import lru_cache
 
@@ -43,9 +44,8 @@ from pyspark.sql import functions as F
 
 from .common import HOT, MIX, Scratch, documents, fresh, hot_parts, mix64, shingle_sets, sliced, split_join
 
-#: Buckets of so many sets have their pairs of different components tried at once; larger ones go on around their centres. Those of
-#: signatures hold the same pairs over and over, those of differences hardly do.
-FEW, SEVERAL = 3, 64
+#: Buckets of differences with so many sets have their pairs of different components tried; larger ones are taken apart again.
+SEVERAL = 64
 #: Cuts of a set by further hashes, while too many subsets are empty.
 DEEPEST = 6
 #: Longs that hold a set's parities.
@@ -359,7 +359,7 @@ def clusters(scratch: Scratch, large: DataFrame, parts: DataFrame | None) -> Dat
     return components(scratch, edges).select(F.col("component").alias("g"), F.col("id").alias("a"))
 
 
-def around_centres(linker: Linker, named: DataFrame) -> DataFrame:
+def around_centres(linker: Linker, named: DataFrame, by_size: bool) -> DataFrame:
     """Settles the pairs of large groups (g, a), a written table, that lie near the group's centre, and gives the groups (g, a, short)
     in which all other links of theirs are found.
 
@@ -379,14 +379,14 @@ def around_centres(linker: Linker, named: DataFrame) -> DataFrame:
     apart = split_join(held, centres, ["g"], parts, "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
     apart = apart.select("g", "a", F.size("xs").alias("size"), F.array_union(F.array_except("xs", "centre"), F.array_except("centre", "xs")).alias("ds"))
     excess = F.size("ds").cast("long") * unit - F.col("size") * (threshold.denominator - threshold.numerator)
-    apart = scratch.table(apart.select("g", "a", "ds", excess.alias("e")), "apart")
+    apart = scratch.table(apart.select("g", "a", "size", "ds", excess.alias("e")), "apart")
     scratch.drop(held)
     least = apart.groupBy("g").agg(F.min("e").alias("least"), F.min_by("a", F.struct("e", "a")).alias("m"))
     around = scratch.table(split_join(apart, least, ["g"], parts), "around")
     scratch.drop(apart)
     linker.verify(ordered(around.where("a != m and e + least <= 0"), "a", "m"))
 
-    elements = around.select("g", "a", "e", "least", F.size("ds").alias("k"), F.explode("ds").alias("d"))
+    elements = around.select("g", "a", "size", "e", "least", F.size("ds").alias("k"), F.explode("ds").alias("d"))
     often = scratch.table(counted(elements, "g", "d"), "often")
     often_of = split_join(elements, often.withColumnRenamed("n", "often"), ["g", "d"], hot_parts(often, ["g", "d"]))
     place = F.row_number().over(Window.partitionBy("g", "a").orderBy("often", "d"))
@@ -394,7 +394,12 @@ def around_centres(linker: Linker, named: DataFrame) -> DataFrame:
     long = F.col("k") - F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("least")) / (2 * unit))) + 1
     # an element that one member alone has is shared with nobody, but it takes its place in the order
     kept = often_of.withColumn("place", place).where((F.col("place") <= long) & (F.col("often") > 1))
-    return kept.select(F.xxhash64("g", "d").alias("g"), "a", (F.col("place") <= short).alias("short"))
+    short = (F.col("place") <= short).alias("short")
+    if not by_size:
+        return kept.select(F.xxhash64("g", "d").alias("g"), "a", short)
+    # sizes within the threshold of each other lie in one band or in two that follow each other
+    band = F.floor(F.log("size") / (math.log(1 / threshold) * (1 + 1e-9))).cast("int")  # a hair wider, for rounding
+    return kept.select("g", "d", "a", short, F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("g", "d", "band").alias("g"), "a", "short")
 
 
 def link_all(linker: Linker, members: DataFrame) -> None:
@@ -411,11 +416,11 @@ def link_all(linker: Linker, members: DataFrame) -> None:
             linker.verify(known.groupBy("a").agg(F.max_by("h", F.struct("n", "h")).alias("b")))
         linker.verify(ordered(stars, "a", "h"))
         open_ = scratch.table(still_open(linker, members, parts), "open")
-        merges, most = linker.merges, FEW if level == 1 else SEVERAL
-        few = open_.where(F.col("n") <= most)
-        other = few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("short").alias("s_b"))
-        linker.verify(few.join(other, "g").where("a < b and c_a != c_b and (short or s_b)").select("a", "b").distinct())
-        large = open_.where(F.col("n") > most)
+        merges, large = linker.merges, open_.where(F.col("n") > (2 if level == 1 else SEVERAL))  # of two a star tries all
+        if level > 1:
+            few = open_.where(F.col("n") <= SEVERAL)
+            other = few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("short").alias("s_b"))
+            linker.verify(few.join(other, "g").where("a < b and c_a != c_b and (short or s_b)").select("a", "b").distinct())
         if large.isEmpty():
             return
         large = large.select("g", "a", "short")
@@ -425,7 +430,7 @@ def link_all(linker: Linker, members: DataFrame) -> None:
                 return
         # once only: differences from a centre are other groups than signatures make
         named = scratch.table(clusters(scratch, large, parts) if level == 1 else large.select("g", "a").distinct(), "named")
-        members = scratch.table(around_centres(linker, named), "members")
+        members = scratch.table(around_centres(linker, named, level == 1), "members")
         scratch.release()
 
 

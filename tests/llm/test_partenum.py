@@ -59,10 +59,9 @@ def corpus(seed):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("n", "threshold", "few"), [(3, Fraction(9, 10), 2), (5, Fraction(4, 5), 3)])
-def test_components_equal_brute_force(spark, monkeypatch, n, threshold, few):
-    monkeypatch.setattr(partenum, "FEW", few)
-    monkeypatch.setattr(partenum, "SEVERAL", few)
+@pytest.mark.parametrize(("n", "threshold", "several"), [(3, Fraction(9, 10), 2), (5, Fraction(4, 5), 64)])
+def test_components_equal_brute_force(spark, monkeypatch, n, threshold, several):
+    monkeypatch.setattr(partenum, "SEVERAL", several)
     rows = corpus(n)
     found = partenum.jaccard_components(spark.createDataFrame(rows, "id long, text string"), n, threshold)
     assert {r.id: (r.n_shingles, r.component) for r in found.collect()} == brute(rows, n, threshold)
