@@ -103,10 +103,10 @@ def paths(sizes: DataFrame, trees: DataFrame, top: DataFrame, top_size: int) ->
     return own.union(met.groupBy("home", F.col("at").alias("hop"), "key").agg(F.array_sort(F.collect_list("stretch")).alias("path")))
 
 
-_RUN_OF = f"slice(s.levels[l], acc.at DIV {FAN} * {FAN} + 1, {FAN})"
+_RUN_OF = f"slice(s.levels[l], CAST(acc.at DIV {FAN} AS INT) * {FAN} + 1, {FAN})"
 #: One step: along a stored row's levels the siblings are appended and the digest is folded with them.
 _LEVELS = f"""aggregate(sequence(0, s.steps - 1), named_struct('at', coalesce(s.place, first), 'folded', acc.folded, 'proof', acc.proof), (acc, l) -> named_struct(
-        'at', acc.at DIV {FAN},
+        'at', CAST(acc.at DIV {FAN} AS INT),
         'folded', unhex(sha2(array_join(transform({_RUN_OF}, (d, k) -> lower(hex(IF(k = acc.at % {FAN}, acc.folded, d)))), ''), 256)),
         'proof', concat(acc.proof, unhex(array_join(transform({_RUN_OF}, (d, k) -> IF(k = acc.at % {FAN}, '', hex(d))), '')))))"""
 CLIMB = f"""
@@ -164,6 +164,30 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(documents(spark, sf_dir, *LEAF).withColumn("text_now", now))
 
 
-_FIELD = lambda c, text="CAST({} AS VARCHAR)": f"coalesce(CAST(octet_length(encode({text.format(c)})) AS VARCHAR) || ':' || {text.format(c)}, '-')"
+_FIELD = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
 _CRC = "list_reduce(list_concat([4294967295], flatten([[CAST(ord(substr(CAST(doc_id AS VARCHAR), k, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] for k in range(1, length(CAST(doc_id AS VARCHAR)) + 1)])), lambda c, v : xor(xor(c, v) >> 1, (xor(c, v) & 1) * 3988292384))"
 _LEAF_OF = lambda text: "sha256(" + " || ".join(_FIELD(text if c == "text" else c) for c in LEAF) + ")"
+ORACLE = f"""
+WITH RECURSIVE x AS (SELECT doc_id, source, {_LEAF_OF("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND ({_CRC} & 1) = 1 THEN {_LEAF_OF("replace(text, chr(10), '')")} END AS now FROM documents),
+s AS (SELECT source, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM x)),
+leaves AS (SELECT x.doc_id, x.leaf, coalesce(x.now, x.leaf) AS now, s.tree, row_number() OVER (PARTITION BY s.tree ORDER BY x.doc_id NULLS FIRST, x.leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY s.tree) AS m FROM x JOIN s ON x.source IS NOT DISTINCT FROM s.source),
+low(tree, l, i, d, m) AS (SELECT tree, 0, i, leaf, m FROM leaves
+    UNION ALL SELECT tree, l + 1, i // {FAN}, sha256(string_agg(d, '' ORDER BY i)), (m + {FAN - 1}) // {FAN} FROM low WHERE m > 1 GROUP BY tree, l, i // {FAN}, m),
+subroots AS (SELECT tree, d AS subroot FROM low WHERE m = 1),
+high(l, i, d, m) AS (SELECT 0, tree, subroot, count(*) OVER () FROM subroots
+    UNION ALL SELECT l + 1, i // {FAN}, sha256(string_agg(d, '' ORDER BY i)), (m + {FAN - 1}) // {FAN} FROM high WHERE m > 1 GROUP BY l, i // {FAN}, m),
+low_runs AS (SELECT tree, l, i // {FAN} AS run, list(d ORDER BY i) AS ds FROM low WHERE m > 1 GROUP BY ALL),
+high_runs AS (SELECT l, i // {FAN} AS run, list(d ORDER BY i) AS ds FROM high WHERE m > 1 GROUP BY ALL),
+up(doc_id, leaf, tree, l, i, m, folded, proof) AS (SELECT doc_id, leaf, tree, 0, i, m, now, '' FROM leaves
+    UNION ALL SELECT c.doc_id, c.leaf, c.tree, c.l + 1, c.i // {FAN}, (c.m + {FAN - 1}) // {FAN},
+      sha256(array_to_string(list_concat(r.ds[:c.i % {FAN}], [c.folded], r.ds[c.i % {FAN} + 2:]), '')),
+      c.proof || array_to_string(list_concat(r.ds[:c.i % {FAN}], r.ds[c.i % {FAN} + 2:]), '') FROM up c JOIN low_runs r ON r.tree = c.tree AND r.l = c.l AND r.run = c.i // {FAN} WHERE c.m > 1),
+top(doc_id, leaf, tree, l, i, m, folded, proof) AS (SELECT doc_id, leaf, tree, 0, tree, (SELECT count(*) FROM s), folded, proof FROM up WHERE m = 1
+    UNION ALL SELECT c.doc_id, c.leaf, c.tree, c.l + 1, c.i // {FAN}, (c.m + {FAN - 1}) // {FAN},
+      sha256(array_to_string(list_concat(r.ds[:c.i % {FAN}], [c.folded], r.ds[c.i % {FAN} + 2:]), '')),
+      c.proof || array_to_string(list_concat(r.ds[:c.i % {FAN}], r.ds[c.i % {FAN} + 2:]), '') FROM top c JOIN high_runs r ON r.l = c.l AND r.run = c.i // {FAN} WHERE c.m > 1)
+SELECT t.doc_id, t.leaf, b.subroot, h.d AS root, sha256(t.proof) AS proof_sha256, t.folded AS folded_root, t.folded = h.d AS verified
+FROM top t JOIN subroots b ON b.tree = t.tree CROSS JOIN (SELECT d FROM high WHERE m = 1) h WHERE t.m = 1
+"""
