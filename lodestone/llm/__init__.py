@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, divergence, fingerprints, licences, manifest, mixing, packing, partenum, quality, secret_scan, toxicity, warc
+from . import covertree, divergence, fingerprints, licences, manifest, mixing, packing, partenum, quality, secret_scan, templates, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": partenum.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_license_scans": licences.op9_license_scans,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_html_extraction": templates.op11_html_extraction,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
