@@ -10,8 +10,10 @@ starts. A place is a record only if the chain of successors from the start of it
 places in as many rounds as the logarithm of the records in a file. What payloads hold is never reached, since chains step over it.
 
 Tasks emit numbers and header fields, and what the caller derives from payloads (the payload itself, or a digest of it); the text
-stays in the task that reads it. Only payloads that hold version lines are read again and put together. Places are running sums of
-the pieces' bytes: within a split, and over the splits of a file.
+stays in the task that reads it. Only files with payloads that hold version lines are read again, and those payloads put together.
+Places are running sums of the pieces' bytes: within a split, and over the splits of a file. Each reading is written as a table before
+its pieces are numbered, and what two readings tell is joined by (file, place) alone, so they may cut the files into other splits; a
+payload whose pieces aren't all found again is an error.
 
 Defined results: null html is the empty payload; repeated rows are records each, and of rows with the same page_id and payload the one
 with the least url (of equal ones any one) answers, the others revisit it; a null page_id is written as an empty id and read as null,
@@ -106,8 +108,8 @@ def number(text: Column) -> Column:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(f, split, n, piece): what follows each version line, up to the next one. f stands for the file; n numbers a task's pieces, and is
-    the same whenever the same files are read."""
+    """(f, split, n, piece): what follows each version line, up to the next one. f stands for the file; n orders the pieces of a
+    split. Splits and n hold for one reading only: how files are cut depends on cores and settings of the moment."""
     read = spark.read.option("lineSep", VERSION).text(path)
     return read.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("piece"))
 
@@ -153,6 +155,15 @@ def reached(scratch: Scratch, links: DataFrame) -> DataFrame:
             return found
 
 
+def placed(pieces: DataFrame, *columns: str) -> DataFrame:
+    """(f, split, n, at, columns) of one reading's pieces: `at` is the place of the version line before each. The first piece of a file is
+    what stands before its first version line."""
+    key = ["f", "split", "n"]
+    summed = running(pieces.select(*key, "size", *columns), F.col("size"), F.sum, "sum")
+    at = F.coalesce("sum_before", F.lit(0)) + F.coalesce("sum_inside", F.lit(0)) - len(VERSION)
+    return summed.select(*key, at.alias("at"), *columns).where("at >= 0")
+
+
 def read(spark: SparkSession, path: str, derived: dict | None = None) -> DataFrame:
     """(type, page_id, url, digest, payload_bytes, refers_to, derived) of every record of the archives below a path.
 
@@ -163,28 +174,29 @@ def read(spark: SparkSession, path: str, derived: dict | None = None) -> DataFra
     pieces = scratch.table(parsed(texts, derived), "pieces")
     told = ["type", "page_id", "url", "digest", "payload_bytes", "refers_to"]
     key = ["f", "split", "n"]
-    size = len(VERSION)
-    summed = running(pieces.select(*key, "size", "ahead", "length", "held"), F.col("size"), F.sum, "sum")
-    at = F.coalesce("sum_before", F.lit(0)) + F.coalesce("sum_inside", F.lit(0)) - size
-    # the first piece of a file is what stands before its first version line
-    placed = summed.select(*key, at.alias("at"), "length", "held", (at + F.col("ahead") + F.col("length") + len(BREAK)).alias("next")).where("at >= 0")
-    links = scratch.table(placed, "links")
+    links = scratch.table(placed(pieces, "ahead", "length", "held").withColumn("next", F.col("at") + F.col("ahead") + F.col("length") + len(BREAK)), "links")
     starts = scratch.table(links.join(reached(scratch, links), ["f", "at"]), "starts")
     whole = starts.where("held >= length").select(*key).join(pieces, key).select(*told, *derived)
-    cut = scratch.table(starts.where("held < length").select("f", "at", "next", "length"), "cut")
+    cut = scratch.table(starts.where("held < length").select("f", "at", "length"), "cut")
     if cut.isEmpty():
         return whole
     # pieces that aren't starts belong to the payload of the start before them
-    near = links.join(cut.select("f").distinct(), "f", "left_semi").join(starts.select("f", "at", F.lit(True).alias("real")), ["f", "at"], "left")
+    files = cut.select("f").distinct()
+    near = links.join(files, "f", "left_semi").join(starts.select("f", "at", F.lit(True).alias("real")), ["f", "at"], "left")
     owned = running(near, F.when(F.col("real"), F.col("at")), F.max, "start").withColumn("owner", F.when(F.col("real"), F.col("at")).otherwise(F.coalesce("start_inside", "start_before")))
-    parts = scratch.table(owned.select(*key, "at", "owner").join(cut.select("f", F.col("at").alias("owner"), "length"), ["f", "owner"]), "parts")
-    texts = texts.join(F.broadcast(parts) if parts.count() <= MOST_BROADCAST else parts, key)
-    joined = f"aggregate(array_sort(collect_list(struct(at, piece))), '', (acc, x) -> concat(acc, '{VERSION[:-2]}\\r\\n', x.piece))"  # the pieces of one payload
-    full = texts.groupBy("f", "owner", "length").agg(F.expr(joined).alias("all"))
+    parts = scratch.table(owned.select("f", "at", "owner").join(cut.select("f", F.col("at").alias("owner"), "length"), ["f", "owner"]), "parts")
+    small = lambda rows: F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+    again = scratch.table(texts.join(small(files), "f", "left_semi"), "again")
+    texts = again.join(placed(again.withColumn("size", F.octet_length("piece").cast("long") + len(VERSION))).join(small(parts), ["f", "at"]), key)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x.piece), VERSION)  # the pieces of one payload
+    full = texts.groupBy("f", "owner", "length").agg(joined.alias("all"), F.count("*").alias("found"))
     body = F.expr(f"substring(cast(all as binary), octet_length(substring_index(all, '\\r\\n\\r\\n', 1)) + {len(BREAK) + 1}, cast(length as int))")
-    made = full.select("f", F.col("owner").alias("at"), *(make(body).alias(c) for c, make in derived.items()))
-    fields = starts.where("held < length").select(*key, "at").join(pieces.select(*key, *told), key)
-    return whole.union(fields.join(made, ["f", "at"]).select(*told, *derived))
+    made = full.select("f", F.col("owner").alias("at"), "found", *(make(body).alias(c) for c, make in derived.items()))
+    wanted = parts.groupBy("f", F.col("owner").alias("at")).agg(F.count("*").alias("wanted"))
+    fields = starts.where("held < length").select(*key, "at").join(pieces.select(*key, *told), key).join(wanted, ["f", "at"])
+    lost = F.when(F.coalesce("found", F.lit(0)) != F.col("wanted"), F.raise_error(F.lit("a payload was not found again; were the archives changed?")).cast("int"))
+    fields = fields.join(made, ["f", "at"], "left").where(lost.isNull())
+    return whole.union(fields.select(*told, *derived))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

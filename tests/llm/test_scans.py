@@ -442,3 +442,28 @@ def test_urls_ids_and_repeated_pages(spark):
     path = warc.Scratch(spark, "t").path("archive")
     warc.write(warc.records(same), path)
     assert sorted(r.type for r in warc.read(spark, path).collect()) == ["response", "revisit", "revisit"]
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_archives_survive_other_splits(spark, monkeypatch, compression):
+    """Files may be cut into other splits, and dealt to other tasks, when payloads are read again."""
+    rows = [(k, f"http://a/{k}", f"text {k} " * 20 + "WARC/1.1\r\nWARC-Type: no\r\nContent-Length: 3\r\n\r\nabc" * (k % 3) + f" end {k}") for k in range(400)]
+    path = warc.Scratch(spark, "t").path("archive")
+    warc.write(warc.records(spark.createDataFrame(rows, "page_id long, url string, html string")).repartition(3), path, records_per_file=50, compression=compression)
+    settings = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"]
+    first = warc.reached
+
+    def between(*args):
+        for name, value in zip(settings, ["300000", "0", "1"]):
+            spark.conf.set(name, value)
+        return first(*args)
+
+    monkeypatch.setattr(warc, "reached", between)
+    try:
+        for name, value in zip(settings, ["5000", "5000", "7"]):
+            spark.conf.set(name, value)
+        got = {r.page_id: bytes(r.payload).decode() for r in warc.read(spark, path).collect()}
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert got == {k: html for k, _, html in rows}
