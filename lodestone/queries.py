@@ -12,7 +12,7 @@ from .operators import aggregates, catalogue, evidence, joins, ledger, retrieval
 from .operators.aggregates import Measure
 from .operators.joins import JoinRule, Scope
 from .plans.composition import Composition, Step
-from .sources import markup, tables
+from .sources import csv_scan, markup, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -778,3 +778,14 @@ def q_scan_sample(spark, sf_dir):
     """The first matches of a scan, beside its counts (scan_counts)."""
     _, first = tables.select_first(table(spark, sf_dir, "part"), F.col("p_size") > 25, ["p_partkey"], 1000)
     return first.select("p_partkey", "p_name")
+
+
+@query("""SELECT doc_id // 5000 AS part, doc_id, row_number() OVER w AS record, CAST(2 + coalesce(sum(1 + length(t) - length(replace(t, chr(10), ''))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line, md5(t) AS text_md5, source
+FROM (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS source FROM documents) WINDOW w AS (PARTITION BY doc_id // 5000 ORDER BY doc_id)""")
+def q_csv_full_scan(spark, sf_dir):
+    """Texts with quoted line ends, written as CSV files and scanned in splits, with record and line numbers."""
+    path = csv_scan.shared_path(spark, "csv")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"), F.floor(F.col("doc_id") / 5000).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").write.partitionBy("part").csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    part = F.regexp_extract("_path", r"part=(-?\d+)", 1).cast("long").alias("part")
+    return csv_scan.csv_scan(spark, path).select(part, F.col("doc_id").cast("long").alias("doc_id"), F.col("_record").alias("record"), F.col("_line").alias("line"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
