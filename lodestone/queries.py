@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numbers, periods, text, vectors
-from .operators import aggregates, catalogue, evidence, joins, ledger, retrieval
+from .operators import aggregates, catalogue, evidence, joins, ledger, lineage, retrieval
 from .operators.aggregates import Measure
 from .operators.joins import JoinRule, Scope
 from .plans.composition import Composition, Step
@@ -789,3 +789,55 @@ def q_csv_full_scan(spark, sf_dir):
     rows.repartition("part").sortWithinPartitions("part", "doc_id").write.partitionBy("part").csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     part = F.regexp_extract("_path", r"part=(-?\d+)", 1).cast("long").alias("part")
     return csv_scan.csv_scan(spark, path).select(part, F.col("doc_id").cast("long").alias("doc_id"), F.col("_record").alias("record"), F.col("_line").alias("line"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
+
+
+# --- lineage -----------------------------------------------------------------------------------------------------
+
+
+def _original(spark, sf_dir, name: str, key: str) -> lineage.Relation:
+    return lineage.original(table(spark, sf_dir, name), name, F.col(key))
+
+
+def _orders_of_customers(spark, sf_dir) -> lineage.Relation:
+    return lineage.traced_join(_original(spark, sf_dir, "orders", "o_orderkey"), _original(spark, sf_dir, "customer", "c_custkey"), JoinRule(["orders__o_custkey"], ["customer__c_custkey"]))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, o_orderkey, c_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey""")
+def q_traced_two_paths(spark, sf_dir):
+    """Orders come in by two paths (of their lines, of their customers) that meet on the customer; a pair must be of one order."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("record", F.monotonically_increasing_id())
+    lines = lineage.original(lines, "lineitem", F.col("record"))
+    first = lineage.traced_join(lines, _original(spark, sf_dir, "orders", "o_orderkey"), JoinRule(["lineitem__l_orderkey"], ["orders__o_orderkey"]))
+    both = lineage.traced_join(first, _orders_of_customers(spark, sf_dir), JoinRule(["orders__o_custkey"], ["customer__c_custkey"]))
+    return both.frame().select(*(F.col(f"lineitem__l_{c}").alias(f"l_{c}") for c in ("orderkey", "linenumber", "partkey", "quantity")), F.col("orders__o_orderkey").alias("o_orderkey"), F.col("customer__c_custkey").alias("c_custkey"))
+
+
+@query("""SELECT n_name, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2)) + CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS twice
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
+def q_traced_sum(spark, sf_dir):
+    """A measure inherits the record its fields come from, which its sum counts once; groups in the order of their keys."""
+    price = F.col("orders__o_totalprice").cast("decimal(18,2)")
+    rel = lineage.measured(_orders_of_customers(spark, sf_dir), "price", ["orders__o_totalprice"], (price + price).cast("decimal(20,2)"))
+    rel = lineage.traced_join(rel, _original(spark, sf_dir, "nation", "n_nationkey"), JoinRule(["customer__c_nationkey"], ["nation__n_nationkey"]))
+    return lineage.traced_aggregate(rel, ["nation__n_name"], [Measure("orders", "count"), Measure("twice", "sum", "price")]).withColumnRenamed("nation__n_name", "n_name")
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id, event_id // 32768 AS block, event_id FROM events),
+r AS (SELECT *, event_id - row_number() OVER (PARTITION BY user_id, block ORDER BY event_id) AS island FROM p)
+SELECT user_id, block, first, last FROM (SELECT user_id, block, min(event_id) AS first, max(event_id) AS last FROM r GROUP BY user_id, block, island)""")
+def q_member_runs(spark, sf_dir):
+    """A5: the members of each group as sorted runs of positions."""
+    sets = lineage.row_sets(table(spark, sf_dir, "events"), [F.col("user_id")], "event_id")
+    return sets.select("group.user_id", "block", F.explode("runs").alias("r")).select("user_id", "block", "r.first", "r.last")
+
+
+@query("""WITH u AS (SELECT c_custkey, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 0)
+SELECT 'orders' AS source, o_orderkey AS record FROM u UNION SELECT 'customer', c_custkey FROM u UNION SELECT 'nation', c_nationkey FROM customer WHERE c_custkey IN (SELECT c_custkey FROM u)""")
+def q_used_through_reduction(spark, sf_dir):
+    """Which orders, customers and nations a join of reduced orders rests on."""
+    orders = lineage.original(table(spark, sf_dir, "orders"), "orders", F.col("o_orderkey"))
+    each = lineage.reduce_traced(orders, "spent", ["orders__o_custkey"], [Measure("orders", "count")])
+    rich = lineage.original(table(spark, sf_dir, "customer").where("c_acctbal > 0"), "customer", F.col("c_custkey"))
+    rel = lineage.traced_join(each, rich, JoinRule(["spent__o_custkey"], ["customer__c_custkey"]))
+    rel = lineage.traced_join(rel, _original(spark, sf_dir, "nation", "n_nationkey"), JoinRule(["customer__c_nationkey"], ["nation__n_nationkey"]))
+    return lineage.used_originals(rel)
