@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numbers, periods, text, vectors
-from .operators import aggregates, catalogue, evidence, joins, ledger, lineage, retrieval
+from .operators import aggregates, catalogue, comparison, evidence, joins, ledger, lineage, nested, retrieval
 from .operators.aggregates import Measure
 from .operators.joins import JoinRule, Scope
 from .plans.composition import Composition, Step
@@ -841,3 +841,73 @@ def q_used_through_reduction(spark, sf_dir):
     rel = lineage.traced_join(each, rich, JoinRule(["spent__o_custkey"], ["customer__c_custkey"]))
     rel = lineage.traced_join(rel, _original(spark, sf_dir, "nation", "n_nationkey"), JoinRule(["customer__c_nationkey"], ["nation__n_nationkey"]))
     return lineage.used_originals(rel)
+
+
+# --- nested fields, accounting of comparisons -----------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT 'price' AS field, 'doc.price' AS path, CAST(o_custkey AS VARCHAR) AS v FROM orders UNION ALL SELECT 'meta.Priority', 'doc.meta.priority', o_orderpriority FROM orders
+UNION ALL SELECT 'item', 'doc.items.item', CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_custkey % 7 AS VARCHAR) END FROM orders UNION ALL SELECT 'item', 'doc.items.item', o_orderstatus FROM orders),
+u AS (SELECT field, path, count(v) AS count, count(*) - count(v) AS nulls, count(DISTINCT v) AS "distinct" FROM v GROUP BY 1, 2)
+SELECT field, true AS matched, false AS ambiguous, 1 AS path_count, path AS paths, count, nulls, "distinct", count - "distinct" AS duplicates, "distinct" > 50 AS more_values FROM u
+UNION ALL SELECT 'status', true, true, 2, 'doc.meta.status,doc.status', 0, 0, 0, 0, false UNION ALL SELECT 'nothing', false, false, 0, '', 0, 0, 0, 0, false""")
+def q_profile_nested(spark, sf_dir):
+    """A10: fields of nested documents by name or end of path; leaves of one name on two paths aren't counted together."""
+    o = table(spark, sf_dir, "orders")
+    item = lambda c: F.struct(c.cast("string").alias("item"))
+    meta = F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    items = F.array(item(F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey") % 7)), item(F.col("o_orderstatus")))
+    doc = F.struct(F.struct(F.col("o_custkey").alias("price"), F.col("o_orderstatus").alias("status"), meta.alias("meta"), items.alias("items")).alias("doc"))
+    texts = o.select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("body"))
+    return nested.profile_fields(texts, "body", ["price", "status", "meta.Priority", "item", "nothing"]).withColumn("paths", F.concat_ws(",", "paths")).drop("values")
+
+
+_ACCOUNT_SQL = """WITH l AS (SELECT CASE WHEN o_custkey % 11 = 0 THEN ' ' WHEN o_custkey % 13 = 0 THEN 'customer' ELSE 'c (' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || ')' END AS k, o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders GROUP BY 1, 2),
+lk AS (SELECT CASE WHEN k LIKE '%)' THEN lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS key, k = ' ' AS blank, CASE WHEN n % 4 = 1 THEN NULL ELSE n END AS n, CASE WHEN s % 3 = 0 THEN 'none' ELSE CAST(s AS VARCHAR) END AS s FROM l),
+r AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS key, CAST(c_nationkey AS BIGINT) AS n, CAST(c_custkey AS VARCHAR) AS s FROM customer UNION ALL SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 1, '2' FROM customer WHERE c_custkey % 17 = 0),
+lg AS (SELECT key, count(*) AS m, any_value(n) AS n, any_value(s) AS s FROM lk WHERE key IS NOT NULL GROUP BY 1), rg AS (SELECT key, count(*) AS m, any_value(n) AS n, any_value(s) AS s FROM r GROUP BY 1),
+b AS (SELECT key, coalesce(lg.m, 0) AS lm, coalesce(rg.m, 0) AS rm, lg.n AS ln, rg.n AS rn, lg.s AS ls, rg.s AS rs FROM lg FULL JOIN rg USING (key)),
+p AS (SELECT * FROM b WHERE lm = 1 AND rm = 1),
+c AS (SELECT 'orders' AS "check", CASE WHEN ln IS NULL OR rn IS NULL THEN 'missing' WHEN ln = rn THEN 'equal' ELSE 'different' END AS status FROM p
+UNION ALL SELECT 'keys', CASE WHEN ls = 'none' THEN 'invalid' WHEN ls = rs THEN 'equal' ELSE 'different' END FROM p)
+"""
+
+
+def _accounted(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    k = F.col("o_custkey")
+    label = F.when(k % 11 == 0, " ").when(k % 13 == 0, "customer").otherwise(F.concat(F.lit("c ("), F.lpad(k.cast("string"), 9, "0"), F.lit(")")))
+    left = o.groupBy(label.alias("label"), "o_custkey").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+    left = left.select("label", F.when(F.col("n") % 4 != 1, F.col("n")).alias("n"), F.when(F.col("s") % 3 == 0, "none").otherwise(F.col("s").cast("string")).alias("s"))
+    padded = F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("key")
+    right = c.select(padded, F.col("c_nationkey").cast("long").alias("n"), F.col("c_custkey").cast("string").alias("s"))
+    right = right.union(c.where("c_custkey % 17 = 0").select(padded, F.lit(1).cast("long"), F.lit("2")))
+    checks = [comparison.Check("orders", "n", "n"), comparison.Check("keys", "s", "s")]
+    return comparison.compare(left, right, [comparison.Key("label", "digits", 9)], [comparison.Key("key")], checks), checks
+
+
+@query(_ACCOUNT_SQL + """SELECT CAST(m.ordinal AS INT) AS ordinal, m.metric, CAST(m.value AS BIGINT) AS value FROM (
+SELECT 1 AS ordinal, 'left_rows' AS metric, (SELECT count(*) FROM lk) AS value UNION ALL SELECT 2, 'right_rows', (SELECT count(*) FROM r) UNION ALL SELECT 3, 'matched_pairs', (SELECT count(*) FROM p)
+UNION ALL SELECT 4, 'left_only', (SELECT count(*) FROM b WHERE lm = 1 AND rm = 0) UNION ALL SELECT 5, 'right_only', (SELECT count(*) FROM b WHERE lm = 0 AND rm = 1)
+UNION ALL SELECT 6, 'left_unresolved', (SELECT count(*) FROM lk WHERE key IS NULL) + (SELECT coalesce(sum(lm), 0) FROM b WHERE lm > 1 OR rm > 1) UNION ALL SELECT 7, 'right_unresolved', (SELECT coalesce(sum(rm), 0) FROM b WHERE lm > 1 OR rm > 1)
+UNION ALL SELECT 8, 'checks', 2 UNION ALL SELECT 9, 'comparisons', (SELECT count(*) FROM c) UNION ALL SELECT 10, 'equal', (SELECT count(*) FROM c WHERE status = 'equal') UNION ALL SELECT 11, 'different', (SELECT count(*) FROM c WHERE status = 'different')
+UNION ALL SELECT 12, 'missing', (SELECT count(*) FROM c WHERE status = 'missing') UNION ALL SELECT 13, 'invalid', (SELECT count(*) FROM c WHERE status = 'invalid')) m""")
+def q_comparison_metrics(spark, sf_dir):
+    """The thirteen metrics of a comparison."""
+    return comparison.summary(*_accounted(spark, sf_dir))
+
+
+@query(_ACCOUNT_SQL + """SELECT "check", count(*) FILTER (status = 'equal') AS equal, count(*) FILTER (status = 'different') AS different, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'invalid') AS invalid FROM c GROUP BY 1""")
+def q_comparison_checks(spark, sf_dir):
+    """How each check came out."""
+    return comparison.by_check(*_accounted(spark, sf_dir))
+
+
+@query("""SELECT event_type AS comparison, user_id AS target, count(DISTINCT (event_id % 13) * 2 + (event_id // 13) % 2) = 26 AS complete, 13 - (SELECT count(*) FROM (SELECT event_id % 13 FROM events e WHERE e.event_type = o.event_type AND e.user_id = o.user_id GROUP BY 1 HAVING count(DISTINCT (event_id // 13) % 2) = 2)) AS lacking
+FROM events o GROUP BY 1, 2""")
+def q_comparison_coverage(spark, sf_dir):
+    """Which targets have been shown all of a comparison's metrics and values."""
+    e = table(spark, sf_dir, "events")
+    field = F.when(F.floor(F.col("event_id") / 13) % 2 == 1, "value").otherwise("metric")
+    cells = e.select(F.col("event_type").alias("comparison"), F.col("user_id").alias("target"), (F.col("event_id") % 13 + 1).alias("ordinal"), field.alias("field"))
+    return comparison.coverage(cells).withColumn("lacking", F.size("lacking").cast("long"))
