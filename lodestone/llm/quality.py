@@ -4,8 +4,8 @@ Trusted positives are documents whose label is 1; unlabelled web text, good and
 hidden. With the class prior p (the share of good text) and the logistic loss, the risk is p * loss of positives as good + max(0, loss
 of the unlabelled as bad - p * loss of positives as bad): the bracket estimates what true negatives cost and can't be negative, so
 where it falls below 0 the step goes back up instead (the non-negative estimator). No label 0 is read anywhere. The prior is estimated
-from positives and unlabelled rows: a model of positives against unlabelled ones gives the chance to be a positive; its mean over the
-unlabelled, divided by that over positives, is the share of good text among the unlabelled.
+from positives and unlabelled rows alone: a model of positives against unlabelled ones, fitted on half of the rows, scores the other;
+where its scores are so high that no bad text is left, the ratio of the two tails is the share of good text among the unlabelled.
 
 The scorer is a small network over writing statistics of the whole text. It is fitted on the driver on a bounded sample of labelled
 rows (`max_labelled`), as feature rows; every document is scored in the executors. Defined results: null, empty and blank texts have all
@@ -16,6 +16,7 @@ columns pass through; without positive labels every score is 1 (nothing is rejec
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +142,37 @@ def _sample(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]
     return flat.reshape(rows.num_rows, len(flat) // max(rows.num_rows, 1)), np.asarray(rows["good"].cast(pa.uint8()), bool)
 
 
+def share_at_top(positive: np.ndarray, unlabelled: np.ndarray, certainty: float = 0.9, slack: float = 0.01) -> float:
+    """The share of positives among the unlabelled, from scores of rows that the scorer hasn't seen.
+
+    Above any threshold, unlabelled rows are at least as frequent as share * positives, so every threshold bounds the share from above:
+    the ratio of the two tails. It is tight where no negatives lie above. The threshold is where the ratio and its error bound (of both
+    empirical tails, at the given certainty) are least together; the ratio there is the estimate."""
+    cuts = np.unique(np.concatenate([positive, unlabelled]))
+    tail = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
+    p, u = tail(positive), tail(unlabelled)
+    some = p > 0
+    p, u = p[some], u[some]
+    error = sum(np.sqrt(np.log(4 / (1 - certainty)) / (2 * len(x))) for x in (positive, unlabelled))
+    return float((u / p)[np.argmin((u + (1 + slack) * error) / p)])
+
+
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled."""
-    plain = fit_features(positive, np.vstack([positive, unlabelled]), 0.5, steps=300)
-    chance = lambda x: (1 / (1 + np.exp(-np.clip(plain.logits(x), -30, 30)))).mean()
-    return float(np.clip(chance(unlabelled) / max(chance(positive), 1e-6), 0.05, 0.98))
+    """The share of positives among the unlabelled: a model of positives against as many unlabelled rows in weight is fitted on either
+    half of the rows and scores the other; equal rows are in one half, so no row is scored by a model that has seen it."""
+    half = lambda x: np.fromiter((crc32(np.ascontiguousarray(r).tobytes()) & 1 for r in x), np.int64, len(x))
+    in_p, in_u = half(positive), half(unlabelled)
+    found = []
+    for h in (0, 1):
+        p, u, rest_p, rest_u = positive[in_p == h], unlabelled[in_u == h], positive[in_p != h], unlabelled[in_u != h]
+        if min(len(p), len(u), len(rest_p), len(rest_u)) == 0:
+            continue
+        plain = fit_features(p, np.vstack([np.resize(p, u.shape), u]), 0.5, steps=300)
+        found.append((share_at_top(plain.logits(rest_p), plain.logits(rest_u)), len(rest_u)))
+    if not found:
+        return 0.5  # too few rows to hold any out
+    shares, rows = np.array(found).T
+    return float(np.clip(np.average(shares, weights=rows), 0.01, 0.99))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> QualityModel | None:

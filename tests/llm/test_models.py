@@ -175,3 +175,21 @@ def test_pruning_leaves_blocks_out():
     q = covertree.CoverTree(np.arange(1000, 1020), rng.normal(50, 1, (20, 4)))
     scores, _ = covertree.search(q, covertree.CoverTree(np.arange(200), near), np.full(20, -np.inf), 5)
     assert covertree.bound(q, 0, covertree.CoverTree(np.arange(200), far), 0) < scores[:, 4].min()
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95])
+def test_prior_whatever_the_share(share):
+    draw = np.random.default_rng(5)
+    good = draw.random(4000) < share
+    rows = np.hstack([np.where(good[:, None], 3.0, 0.0) + draw.normal(size=(4000, 1)), draw.normal(size=(4000, 4))])
+    assert abs(quality.estimated_prior(rows[good], rows) - share) < 0.05
+
+
+def test_share_at_top_against_thresholds():
+    draw = np.random.default_rng(6)
+    p, u = np.round(draw.normal(2, 1, 300), 1), np.round(np.concatenate([draw.normal(2, 1, 200), draw.normal(0, 1, 300)]), 1)
+    error = sum((np.log(40) / (2 * len(x))) ** 0.5 for x in (p, u))
+    tails = [((p >= c).mean(), (u >= c).mean()) for c in sorted({*p, *u}) if (p >= c).any()]
+    a, b = min(tails, key=lambda t: (t[1] + 1.01 * error) / t[0])
+    assert quality.share_at_top(p, u) == pytest.approx(b / a)
+    assert quality.estimated_prior(p[:1, None], p[:1, None]) == 0.5
