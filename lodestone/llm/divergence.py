@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms. Splitting costs a tenth of extracting the terms, since a match found by extraction copies the text.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
 #: A block holds some so many terms of one language.
@@ -50,7 +51,7 @@ def term_vectors(docs: DataFrame, least_docs: int, scratch: Scratch) -> tuple[Da
     """Sparse vectors (lang, source, indices, values) of documents, and the terms (index, lang, term) they count."""
     lowered = F.translate("text", UPPER, LOWER)
     keyed = F.concat(F.lit("\0"), F.col("lang"), F.lit("\0"))  # terms hold no NUL, so the last one ends the language
-    terms = F.transform(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)), lambda t: F.concat(keyed, t))
+    terms = F.transform(F.array_remove(F.split(lowered, BETWEEN), ""), lambda t: F.concat(keyed, t))
     rows = docs.select("lang", "source", terms.alias("terms"))
     # a vocabulary can't be empty, so rows of our own hold a term of no language
     sentinels = docs.sparkSession.range(least_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit("\0")).alias("terms"))
