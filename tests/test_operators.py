@@ -43,6 +43,36 @@ def test_scopes_count_every_pair(spark):
     assert (m.candidate_pairs, m.scope0_matched, m.scope0_conflicts, m.scope0_unknown, m.output_rows) == (6, 1, 1, 4, 1)
 
 
+def scoped(left, right, how):
+    """All pairs of (id, key, place) that a scope admits, in plain Python."""
+    begins = lambda a, b: a[: len(b)] == b
+    holds = {"equal": lambda a, b: a == b, "left_prefix": lambda a, b: begins(b, a), "right_prefix": begins}[how]
+    return sorted((i, j) for i, k, a in left for j, r, b in right if k == r and (a or "").split() and (b or "").split() and holds(a.split(), b.split()))
+
+
+@pytest.mark.parametrize("how", ["equal", "left_prefix", "right_prefix"])
+def test_scopes_are_keys(spark, how):
+    places = ["a", "a b", " a  b ", "a\u3000b", "a bc", "a b c", "ab", "b a", None, "", " ", "a a", "a a a", "A b"]
+    left = [(i, f"k{i // len(places)}", p) for i, p in enumerate(places * 2)]
+    right = [(i, f"k{i % 3}", p) for i, p in enumerate(places * 3)]
+    l, r = spark.createDataFrame(left, "i long, k string, place string"), spark.createDataFrame(right, "j long, r string, area string")
+    rule = JoinRule(["k"], ["r"], scopes=[Scope(["place"], ["area"], how)])
+    found = joins.join(l, r, rule)
+    expected = scoped(left, right, how)
+    assert found.columns == ["i", "k", "place", "j", "r", "area"]
+    assert sorted((x.i, x.j) for x in found.collect()) == expected
+    # what a pair is made for is kept: nothing is computed or refused above the join
+    top = found.select("i", "j")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "split" not in top and "Filter" not in top
+    m = joins.metrics(l, r, rule, "i", "j").first()
+    blank = lambda rows: {x[0] for x in rows if not (x[2] or "").split()}
+    both = [(i, j) for i, k, _ in left for j, r, _ in right if k == r]
+    unknown = sum(i in blank(left) or j in blank(right) for i, j in both)
+    assert (m.left_rows, m.right_rows, m.candidate_pairs, m.scope0_matched, m.scope0_unknown) == (len(left), len(right), len(both), len(expected), unknown)
+    assert (m.scope0_conflicts, m.output_rows) == (len(both) - unknown - len(expected), len(expected))
+    assert (m.matched_left, m.matched_right) == (len({i for i, _ in expected}), len({j for _, j in expected}))
+
+
 def test_counts_of_many_pairs_make_none(spark):
     """Ten thousand million pairs are counted by groups of equal rows."""
     rows = spark.range(100_000).select("id", F.lit(1).alias("k"), F.concat(F.lit("a "), (F.col("id") % 5).cast("string")).alias("place"))
