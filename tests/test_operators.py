@@ -73,6 +73,14 @@ def test_scopes_are_keys(spark, how):
     assert (m.matched_left, m.matched_right) == (len({i for i, _ in expected}), len({j for _, j in expected}))
 
 
+def test_scoped_pairs_are_dealt_over_all_tasks(spark):
+    """Few rows may make many pairs, so small tables aren't joined in one task."""
+    rows = spark.range(0, 400, 1, 1).select("id", (F.col("id") % 40).alias("k"), F.lit("a b").alias("place"))
+    other = spark.range(0, 400, 1, 1).select(F.col("id").alias("j"), (F.col("id") % 40).alias("r"), F.lit("a b").alias("area"))
+    found = joins.join(rows, other, JoinRule(["k"], ["r"], scopes=[Scope(["place"], ["area"])])).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(x["count"] for x in found) == 4000 and len(found) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_counts_of_many_pairs_make_none(spark):
     """Ten thousand million pairs are counted by groups of equal rows."""
     rows = spark.range(100_000).select("id", F.lit(1).alias("k"), F.concat(F.lit("a "), (F.col("id") % 5).cast("string")).alias("place"))
