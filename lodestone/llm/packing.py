@@ -218,18 +218,28 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def dominated(fill: list[int], counts: dict[int, int], waste: int) -> bool:
+def as_bits(sizes) -> int:
+    found = 0
+    for s in sizes:
+        found |= 1 << s
+    return found
+
+
+def dominated(fill: list[int], counts: dict[int, int], waste: int, left: int | None = None) -> bool:
     """Whether one piece that is left could stand in place of several of the filling, of their sum or up to `waste` more, or of one that
-    is smaller by up to `waste`: the filling with that piece leaves the easier ones for other bins."""
-    sums = {0: 0}  # sum of some of the pieces -> how many, at most two counted
+    is smaller by up to `waste`: the filling with that piece leaves the easier ones for other bins. Sets of sizes and of sums are the
+    bits of whole numbers; `left` has those counted."""
+    left = as_bits(s for s, n in counts.items() if n) if left is None else left
+    left &= ~as_bits(s for s in set(fill) if counts.get(s, 0) <= fill.count(s))
+    sums, several = 1, 0  # sums of some of the pieces, of none too; of two or more
     for s in fill:
-        for total, n in list(sums.items()):
-            sums[total + s] = max(sums.get(total + s, 0), min(2, n + 1))
-    for total, n in sums.items():
-        for t in range(total, total + waste + 1) if n else ():
-            if counts.get(t, 0) > fill.count(t) and (n > 1 or t > total):
-                return True
-    return False
+        several |= (sums & ~1) << s
+        sums |= sums << s
+    larger, reach = (sums & ~1) << 1, 1  # sums and up to `reach` more
+    while reach < waste:
+        larger |= larger << min(reach, waste - reach)
+        reach = min(2 * reach, waste)
+    return bool(several & left or waste > 0 and larger & left)
 
 
 def fillings(counts: dict[int, int], sizes: list[int], space: int, most: int, width: int = 3) -> list[list[int]]:
@@ -269,7 +279,8 @@ def fillings(counts: dict[int, int], sizes: list[int], space: int, most: int, wi
 
     extend([], space, 0)
     ordered = sorted(found.items(), key=lambda kv: (kv[1], len(kv[0]), [-x for x in kv[0]]))
-    undominated = list(islice((list(k) for k, waste in ordered if not dominated(list(k), counts, waste)), most))
+    left = as_bits(s for s, n in counts.items() if n)
+    undominated = list(islice((list(k) for k, waste in ordered if not dominated(list(k), counts, waste, left)), most))
     return undominated or [list(k) for k, _ in ordered[:1]] or [[]]
 
 
@@ -280,21 +291,21 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: i
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     bins = lambda patterns: sum(p.times for p in patterns)
-    nodes = 0
+    nodes, fewest = 0, bins(best)
 
     def search(counts: dict[int, int], done: list[Pattern], waste: int) -> bool:
         """Depth first with a list in place of recursion, so deep corpora don't meet a limit; True when the bound is reached."""
-        nonlocal best, nodes
+        nonlocal best, nodes, fewest
         stack = [(counts, done, waste)]
         while stack and nodes < max_nodes:
             counts, done, waste = stack.pop()
             nodes += 1
-            if waste >= bins(best) * capacity - total:
+            if waste >= fewest * capacity - total:
                 continue
             sizes = sorted((s for s, n in counts.items() if n), reverse=True)
             if not sizes:
-                best = done
-                if bins(best) <= bound:
+                best, fewest = done, bins(done)
+                if fewest <= bound:
                     return True
                 continue
             largest = sizes[0]
@@ -308,7 +319,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: i
                 stack.append(({s: n for s, n in left.items() if n}, [*done, Pattern(lengths, times)], waste + (capacity - sum(lengths)) * times))
         return False
 
-    if bins(best) > bound:
+    if fewest > bound:
         search(counts, [], 0)
     return best
 

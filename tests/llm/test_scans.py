@@ -1,9 +1,11 @@
 """Secret scans, license scans, fingerprints, packing, mixing and archives against plain Python on small tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -320,6 +322,25 @@ def test_a_piece_in_place_of_several_dominates():
     assert not packing.dominated([20, 10], {20: 1, 10: 1, 31: 1}, 0) and not packing.dominated([30], {30: 2, 20: 1, 10: 1}, 0)
 
 
+def test_dominated_against_all_sums():
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        counts = {int(s): int(n) for s, n in zip(rng.integers(1, 60, 12), rng.integers(0, 3, 12))}
+        some = [s for s, n in counts.items() for _ in range(n)]
+        fill, waste = [int(s) for s in rng.permutation(some)[: rng.integers(1, 5)]], int(rng.integers(0, 6))
+        sums = [(sum(c), k) for k in range(1, len(fill) + 1) for c in itertools.combinations(fill, k)]
+        expected = any(counts.get(t, 0) > fill.count(t) and (k > 1 or t > total) for total, k in sums for t in range(total, total + waste + 1))
+        assert packing.dominated(fill, counts, waste) == expected
+
+
+def test_dominated_takes_no_walk_over_sums():
+    """The driver's search calls it some thousand times: 300 fillings of small pieces with much waste within 3 seconds."""
+    fill, counts = [1] * 400 + [2] * 200, {1: 400, 2: 200}
+    began = time.process_time()
+    assert not any(packing.dominated(fill, counts, 900 + i % 2) for i in range(300))
+    assert time.process_time() - began < 3
+
+
 def test_bin_completion_finds_a_perfect_packing():
     counts = {60: 1, 50: 2, 40: 1, 30: 2, 20: 2}  # best fit alone needs a fourth bin
     assert sum(p.times for p in packing.complete_bins({k: v for k, v in counts.items()}, 100)) == 3
