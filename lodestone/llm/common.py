@@ -64,6 +64,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
 
+    def clear(self) -> None:
+        """Deletes all tables of this scratch; what is still needed is in another's."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.release()
+
     def release(self) -> None:
         """Lets the driver drop shuffle files that no live DataFrame can reach."""
         gc.collect()
@@ -174,11 +180,11 @@ def sliced(batches, column: int):
         yield from slices(batch, column)
 
 
-def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """Each text's distinct n-word shingles as sorted 64-bit hashes; with fewer words, the whole sequence as one."""
+def rolled_words(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the dictionary's words, each word's code, where each text starts, and a hash of the n words from each place on."""
     codes, dictionary, starts = encode_words(texts)
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(dictionary))
-    words = own[codes] if len(codes) else np.zeros(0, np.uint64)
+    named = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(dictionary))
+    words = named[codes] if len(codes) else np.zeros(0, np.uint64)
     rolled = np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         if len(words) >= n:
@@ -186,15 +192,25 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
             for i in range(n):
                 rolled = rolled * MIX + mix64(words[i : len(words) - n + 1 + i] + np.uint64(i))
             rolled = mix64(rolled)
-        out = []
+    return named, codes, starts, rolled
+
+
+def sets_of(named: np.ndarray, codes: np.ndarray, starts: np.ndarray, rolled: np.ndarray, n: int) -> list[np.ndarray]:
+    out = []
+    with np.errstate(over="ignore"):
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if b - a >= n:
                 out.append(np.unique(rolled[a : b - n + 1]))
             elif b > a:
                 whole = np.uint64(b - a)
-                for w in words[a:b]:
+                for w in named[codes[a:b]]:
                     whole = whole * MIX + mix64(w)
                 out.append(mix64(np.array([whole])))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
+
+
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Each text's distinct n-word shingles as sorted 64-bit hashes; with fewer words, the whole sequence as one."""
+    return sets_of(*rolled_words(texts, n), n)

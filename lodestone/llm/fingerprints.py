@@ -2,9 +2,8 @@
 
 A text's shingles of five words are hashed once and then permuted by multiply-add universal hashing, all in numpy; the minima of the
 permutations are the signature. The share of equal minima of two signatures estimates the Jaccard similarity of the shingle sets.
-Near copies are found by joining bands of the signature in Spark and verifying candidates on the shingle sets themselves: a star for
-each band, then the bands whose members still lie in several classes are taken up again (see partenum), so any two near copies with
-a band in common have the same class, the least doc_id that links reach.
+Classes of near copies come from the exact join of the shingle sets (see partenum), so any two near copies have the same class, the
+least doc_id that links reach, whether or not minima of theirs agree.
 
 Defined results: a null text is the empty text; texts without words have no shingles and share one signature, whose likeness to each
 other is 1 and to all others 0; fewer than five words are one shingle; repeated rows have equal fingerprints and follow each other
@@ -23,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced, text_batches
-from .partenum import MOST_BROADCAST, joined_groups, marked_sets, set_arrays, with_sets
+from .partenum import MOST_BROADCAST, joined_groups, marked_sets, sampled_order, set_arrays, with_sets
 
-PERMUTATIONS, BANDS, WORDS = 128, 32, 5
+PERMUTATIONS, WORDS = 128, 5
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -145,19 +144,10 @@ def edited_fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def band_hashes(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """A hash of each band of each set's signature."""
-    marks = signatures(sets)
-    with np.errstate(over="ignore"):
-        bands = np.zeros((len(sets), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for i in range(PERMUTATIONS // BANDS):
-            bands = mix64(bands * MIX + marks[:, i :: PERMUTATIONS // BANDS])
-    return list(bands)
-
-
 def near_groups(scratch: Scratch, docs: DataFrame, least: Fraction, words: int) -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles, root, component) of documents (id, text) and the links (a, b) that make the components."""
-    marked = scratch.table(marked_sets(docs.select("id", F.lit(0).cast("long").alias("mark"), "text"), words, lambda: band_hashes), "bands")
+    keyed = docs.select("id", F.lit(0).cast("long").alias("mark"), "text")
+    marked = scratch.table(marked_sets(keyed, words, least, sampled_order(scratch, keyed, words)), "marked")
     return joined_groups(scratch, docs, marked, words, least)
 
 
@@ -174,10 +164,12 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = WORDS) -> Data
 
 def near_classes(docs: DataFrame, least: Fraction = Fraction(4, 5), words: int = WORDS) -> DataFrame:
     """(doc_id, class_id) of the documents (doc_id, text) whose class is another's id."""
-    scratch = Scratch(docs.sparkSession, "fingerprints")
+    scratch, result = Scratch(docs.sparkSession, "near-copies"), Scratch(docs.sparkSession, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     found, _ = near_groups(scratch, docs, least, words)
-    return scratch.table(found.where("id != component").groupBy("id").agg(F.min("component").alias("class_id")).withColumnRenamed("id", "doc_id"), "classes")
+    classes = result.table(found.where("id != component").groupBy("id").agg(F.min("component").alias("class_id")).withColumnRenamed("id", "doc_id"), "classes")
+    scratch.clear()
+    return classes
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,18 @@
-"""N-gram Jaccard join by PartEnum signatures.
+"""N-gram Jaccard join by prefixes of ordered sets.
 
-Sets fall into overlapping bands of sizes, so that every pair of sizes that the threshold admits has a band in common. Two sets of a
-band that reach the threshold differ in at most k elements. The domain of shingle hashes is cut into n partitions and each of these
-into three parts; at most k / 2 partitions hold two differences or more, so with n > k / 2 there are good ones: of their three parts
-two agree. A signature is the hash of two of a partition's three parts, and all three such subsets are enumerated; sets that agree on
-one share that signature.
-
-A set needs fewer than n partitions. What it may differ in depends on its own size, d elements, so with n partitions at least
-n - d / 2 are good for any partner; it emits the first d / 2 + 1, and one more for each of its partitions with an empty subset, which
-emits no signature (it would be common to unrelated sets). Whichever of two partners emits the fewer partitions, one of those is good
-and not empty. A set with too many empty subsets for that emits all its partitions and is cut anew by another hash as well; so are
-those partners for which it matters. After DEEPEST such cuts empty subsets count, so no pair is given up at any size.
+Sets fall into overlapping bands of sizes, so that every pair of sizes that the threshold admits has a band in common. All shingles
+are put in one total order, from rare to frequent as far as a sample of the texts tells (see Order); the order decides only how many
+sets meet, never what is found. Two sets of a band that reach the threshold share at least so many shingles that the first of these in
+the order is among the first few of each: size less the least share, and one. A signature is the hash of one of these first
+shingles and the band; sets that share one meet. What frequent words, lines or passages make common comes last in the order, so
+unrelated sets rarely meet.
 
 Sets that share a signature aren't paired with each other: each is paired with one of its bucket, the head of a star; the distinct
 pairs are verified on the full sets, and links are merged into components. Where a bucket's members then still lie in several
-components, these buckets are put together into clusters by the sets they share, and taken apart around the elements that most of a
-cluster's sets hold (see around_centres): pairs near that centre are settled by one more star, and the rest can only be linked if they
-share a rare difference from it and are of nearly the same size, so those differences, by size, are the buckets of the next round, each
-with at most half of the sets. Of these, small ones (SEVERAL) have their pairs of different components tried, and larger ones are taken
-apart in the same way, until none is open. Copies with edits of their own share no such difference, so a large group of them costs its
+components, small buckets (SEVERAL) have their pairs of different components tried. Larger ones are put together into clusters by the
+sets they share, and taken apart around the elements that most of a cluster's sets hold (see around_centres): pairs near that centre
+are settled by one more star, and the rest can only be linked if they share a rare difference from it and are of nearly the same size,
+so those differences, by size, are the buckets of the next round, each with at most half of the sets, until none is open. Copies with edits of their own share no such difference, so a large group of them costs its
 number of edits, not its square, and no link between different sets is lost.
 
 Before sets are read, pairs are dropped whose sizes, or whose parities of elements in 1,024 classes, already differ by more than the
@@ -42,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT, MIX, Scratch, documents, fresh, hot_parts, mix64, shingle_sets, sliced, split_join
+from .common import HOT, MIX, Scratch, documents, fresh, hot_parts, mix64, rolled_words, sets_of, shingle_sets, sliced, split_join
 
-#: Buckets of differences with so many sets have their pairs of different components tried; larger ones are taken apart again.
+#: Buckets with so many sets have their pairs of different components tried; larger ones are taken apart again.
 SEVERAL = 64
-#: Cuts of a set by further hashes, while too many subsets are empty.
-DEEPEST = 6
+#: Some so many texts, dealt by a hash, tell which words and shingles are frequent; so many of each are sent to all tasks.
+SAMPLE = 8192
+MOST_LISTED = 200_000
 #: Longs that hold a set's parities.
 PARITY = 16
 #: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
@@ -75,39 +70,14 @@ def size_bands(threshold: Fraction, largest: int) -> list[tuple[int, int, int]]:
 
 
 @lru_cache(maxsize=4096)
-def _edges(n: int) -> np.ndarray:
-    return (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64)
-
-
-@lru_cache(maxsize=4096)
-def _tags(tag: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix64(np.uint64(tag) + np.arange(n, dtype=np.uint64) * MIX).reshape(-1, 3)
-
-
-def signatures(own: np.ndarray, partitions: int, needed: int, tag: int, depth: int = 0) -> np.ndarray:
-    """Signatures of a sorted set of 64-bit hashes that needs `needed` good partitions."""
+def _tag(band: int) -> np.uint64:
     with np.errstate(over="ignore"):
-        at = np.zeros(3 * partitions + 1, np.int64)
-        at[1:-1] = np.searchsorted(own, _edges(3 * partitions))
-        at[-1] = len(own)
-        sums = np.zeros(len(own) + 1, np.uint64)
-        np.cumsum(mix64(own + MIX), out=sums[1:])
-        parts, held = np.diff(sums[at]).reshape(-1, 3), np.diff(at).reshape(-1, 3)
-        subsets, some = parts + parts[:, (1, 2, 0)], (held + held[:, (1, 2, 0)]) > 0
-        found = mix64(subsets ^ _tags(tag, 3 * partitions))
-    if depth == DEEPEST:
-        return found.reshape(-1)
-    emitted = needed + int((~some.all(1)).sum())
-    signed = found[:emitted][some[:emitted]]
-    if emitted <= partitions:
-        return signed
-    again = np.sort(mix64(own ^ _tags(2 * depth + 3, 3)[0, 0]))
-    return np.concatenate([signed, signatures(again, partitions, needed, tag + (1 << 32), depth + 1)])
+        return mix64(np.array([band + 1], np.uint64) * MIX)[0]
 
 
 class Signer:
-    """All signatures of a set, over the bands that hold its size."""
+    """All signatures of a set of keys in ascending order, over the bands that hold its size: the first keys, as many as a partner of the
+    band must hold one of."""
 
     def __init__(self, threshold: Fraction):
         self.threshold, self.bands = threshold, size_bands(threshold, 4096)
@@ -119,17 +89,81 @@ class Signer:
         return [self.sign(own) for own in sets]
 
     def sign(self, own: np.ndarray) -> np.ndarray:
-        size, found = len(own), [np.zeros(0, np.uint64)]
-        for j, (least, most, partitions) in enumerate(self.bands):
+        t, size, found = self.threshold, len(own), [np.zeros(0, np.uint64)]
+        for j, (least, most, _) in enumerate(self.bands):
             if least > size:
                 break
-            if size <= most:
-                d = differences(size, min(most, int(size / self.threshold)), self.threshold)
-                if d:  # else no other set of the band is that near
-                    found.append(signatures(own, partitions, d // 2 + 1, j + 1))
+            if size <= most and differences(size, min(most, int(size / t)), t):  # else no other set of the band is that near
+                smallest = max(least, -(-size * t.numerator // t.denominator))
+                shared = -(-(size + smallest) * t.numerator // (t.numerator + t.denominator))
+                found.append(mix64(own[: size - shared + 1] ^ _tag(j)))
         return np.concatenate(found)
 
 
+def classes_of(hashes: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The class of each hash in a sorted list (hashes, classes); 0 if it isn't there."""
+    listed, classes = known
+    if not len(listed):
+        return np.zeros(len(hashes), np.uint8)
+    at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+    return np.where(listed[at] == hashes, classes[at], 0).astype(np.uint8)
+
+
+class Order:
+    """A total order of shingles, about from rare to frequent. It only decides how many sets meet; any order loses no pair.
+
+    Shingles go by how frequent their words are in a sample, those that many of its texts hold after all others, by number of texts."""
+
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray]):
+        self.words, self.common = words, common
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(common[0] & np.uint64(len(self.maybe) - 1)).astype(np.int64)] = True
+
+    def keys(self, named: np.ndarray, codes: np.ndarray, starts: np.ndarray, rolled: np.ndarray, n: int, wanted: list[int], sets: list[np.ndarray]) -> list[np.ndarray]:
+        """The wanted sets as sorted keys: a class in the upper 8 bits and 56 bits of the hash."""
+        rank = np.zeros(len(rolled), np.uint8)
+        single = classes_of(named, self.words)[codes] if len(codes) else np.zeros(0, np.uint8)
+        for i in range(n if len(rolled) else 0):
+            rank += np.minimum(single[i : len(rolled) + i], 127 // n)
+        some = np.flatnonzero(self.maybe[(rolled & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
+        rank[some] = np.maximum(rank[some], classes_of(rolled[some], self.common))
+        ordered = (rank.astype(np.uint64) << np.uint64(56)) | (rolled >> np.uint64(8))
+        return [np.unique(ordered[starts[i] : starts[i + 1] - n + 1]) if starts[i + 1] - starts[i] >= n else sets[i] for i in wanted]
+
+
+def sampled_order(scratch: Scratch, docs: DataFrame, words: int) -> Order:
+    """The order of the shingles of documents (id, text), from some SAMPLE of them."""
+    each = max(1, docs.count() // SAMPLE)
+
+    def run(batches):
+        for batch in sliced(batches, 0):
+            parts = rolled_words(batch.column(0), words)
+            sets = sets_of(*parts, words)
+            shingle, often = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            for kind, hashes, counts in ((0, parts[0], np.bincount(parts[1], minlength=len(parts[0]))), (1, shingle, often)):
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(hashes), kind, np.int32)), "x": pa.array(hashes.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
+
+    found = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(each)) == 0).select("text").mapInArrow(run, "kind int, x long, n long")
+    found = scratch.table(found.groupBy("kind", "x").agg(F.sum("n").alias("n")).where("n >= 4"), "common")
+    held = {0: [], 1: []}
+    for r in found.groupBy("kind", F.floor(4 * F.log2("n")).alias("class")).agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect():
+        held[r.kind].append((r["class"], r.n))
+    listed = []
+    for kind, most in ((0, 31), (1, 255)):
+        least, total = 1 << 20, 0
+        for at, n in held[kind]:
+            total += n
+            if total > MOST_LISTED:
+                break
+            least = at
+        rows = found.where((F.col("kind") == kind) & (F.floor(4 * F.log2("n")) >= least)).select("x", F.floor(4 * F.log2("n")).alias("class")).toArrow()
+        x, at = np.asarray(rows["x"]).view(np.uint64), np.asarray(rows["class"])
+        place = np.argsort(x)
+        listed.append((x[place], np.minimum(at // 2 if kind == 0 else 128 + at, most).astype(np.uint8)[place]))
+    scratch.drop(found)
+    return Order(*listed)
+
+
 def lists(values: list[np.ndarray]) -> pa.ListArray:
     at = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=at[1:])
@@ -156,15 +190,17 @@ def summaries(sets: list[np.ndarray]) -> dict[str, pa.Array]:
     return {"n_shingles": pa.array(sizes), "high": pa.array(high.view(np.int64)), "low": pa.array(low.view(np.int64)), "bits": pa.ListArray.from_arrays(pa.array(at), pa.array(flat_bits))}
 
 
-def marked_sets(docs: DataFrame, words: int, signer) -> DataFrame:
+def marked_sets(docs: DataFrame, words: int, threshold: Fraction, order: Order) -> DataFrame:
     """(id, mark, n_shingles, high, low, bits, sigs) of documents (id, mark, text): one pass over the texts.
 
-    `signer()` makes a function from a list of sets to their signatures. Of equal sets that a task meets the first has signatures."""
+    Of equal sets that a task meets the first has signatures."""
+    sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
-        sign, seen = signer(), set()
+        sign, seen = Signer(threshold), set()
         for batch in sliced(batches, 2):
-            sets = shingle_sets(batch.column(2), words)
+            parts = rolled_words(batch.column(2), words)
+            sets = sets_of(*parts, words)
             out = summaries(sets)
             new, named = [], np.asarray(batch.column(0).is_valid().cast(pa.uint8()), bool)
             for i, key in enumerate(out["high"].to_pylist()):
@@ -172,7 +208,7 @@ def marked_sets(docs: DataFrame, words: int, signer) -> DataFrame:
                     seen.add(key)
                     new.append(i)
             signed = [np.zeros(0, np.uint64)] * len(sets)
-            for i, s in zip(new, sign([sets[i] for i in new])):
+            for i, s in zip(new, sign(sent.value.keys(*parts, words, new, sets))):
                 signed[i] = s
             if len(seen) > REMEMBERED:
                 seen.clear()
@@ -416,11 +452,10 @@ def link_all(linker: Linker, members: DataFrame) -> None:
             linker.verify(known.groupBy("a").agg(F.max_by("h", F.struct("n", "h")).alias("b")))
         linker.verify(ordered(stars, "a", "h"))
         open_ = scratch.table(still_open(linker, members, parts), "open")
-        merges, large = linker.merges, open_.where(F.col("n") > (2 if level == 1 else SEVERAL))  # of two a star tries all
-        if level > 1:
-            few = open_.where(F.col("n") <= SEVERAL)
-            other = few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("short").alias("s_b"))
-            linker.verify(few.join(other, "g").where("a < b and c_a != c_b and (short or s_b)").select("a", "b").distinct())
+        merges, large = linker.merges, open_.where(F.col("n") > SEVERAL)
+        few = open_.where((F.col("n") <= SEVERAL) & (F.col("n") > (2 if level == 1 else 1)))  # of two a star has tried all, if both are short
+        other = few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("short").alias("s_b"))
+        linker.verify(few.join(other, "g").where("a < b and c_a != c_b and (short or s_b)").select("a", "b").distinct())
         if large.isEmpty():
             return
         large = large.select("g", "a", "short")
@@ -471,11 +506,11 @@ def joined_groups(scratch: Scratch, docs: DataFrame, marked: DataFrame, words: i
     return placed.union(none), equal.distinct()
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), scratch: Scratch | None = None) -> DataFrame:
     """(id, mark, n_shingles, root, component) of documents (id, mark, text): rows of one root are linked, and component is the least
     id among them; rows without words have no root."""
-    scratch = Scratch(docs.sparkSession, "partenum")
-    marked = scratch.table(marked_sets(docs, words, lambda: Signer(threshold)), "marked")
+    scratch = scratch or Scratch(docs.sparkSession, "partenum")
+    marked = scratch.table(marked_sets(docs, words, threshold, sampled_order(scratch, docs, words)), "marked")
     return joined_groups(scratch, docs.select("id", "text"), marked, words, threshold)[0]
 
 
@@ -492,14 +527,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str | N
     stays; with different texts of one group one of them does; with texts of different groups each is kept or goes with its own."""
     id_, mark, text = fresh(docs, "id"), fresh(docs, "mark"), F.coalesce("text", F.lit(""))
     keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64(text))
-    scratch = Scratch(spark, "near-copies")
-    groups = jaccard_groups(keyed.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(mark).alias("mark"), "text"))
+    scratch, result = Scratch(spark, "near-copies"), Scratch(spark, "gone")
+    groups = jaccard_groups(keyed.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(mark).alias("mark"), "text"), scratch=scratch)
     rows = scratch.table(groups.where("root is not null").groupBy("root", "id", "mark").agg(F.count("*").alias("n")), "rows")
     sizes = scratch.table(rows.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("least")), "sizes")
     firsts = rows.join(sizes.select("root", F.col("least").alias("id")), ["root", "id"]).groupBy("root").agg(F.min("id").alias("kept"), F.min("mark").alias("own"))
     tested = split_join(rows, firsts, ["root"], hot_parts(sizes, ["root"]))
-    gone = scratch.table(tested.where("id != kept or mark != own").select(F.col("id").alias(id_), F.col("mark").alias(mark)), "gone")
-    again = scratch.table(rows.where("n > 1").select(F.col("id").alias(id_), F.col("mark").alias(mark)), "again")
+    gone = result.table(tested.where("id != kept or mark != own").select(F.col("id").alias(id_), F.col("mark").alias(mark)), "gone")
+    again = result.table(rows.where("n > 1").select(F.col("id").alias(id_), F.col("mark").alias(mark)), "again")
+    scratch.clear()
     sent = lambda x: F.broadcast(x) if x.count() <= MOST_BROADCAST else x
     kept = keyed.join(sent(gone), [id_, mark], "left_anti")
     if not again.isEmpty():

@@ -116,3 +116,35 @@ def test_similar_sets_share_a_signature(threshold):
             shared = len(np.intersect1d(a, b))
             if len(b) and shared * threshold.denominator >= (len(a) + len(b) - shared) * threshold.numerator:
                 assert not most or set(a.tolist()) == set(b.tolist()) or signed(np.unique(a)) & signed(np.unique(b))
+
+
+def test_frequent_phrases_are_no_signatures(spark, tmp_path):
+    """Texts that share frequent phrases alone don't meet: their rare shingles come first in the order."""
+    from lodestone.llm.common import Scratch
+
+    rng = random.Random(11)
+    phrases = [" ".join(f"c{rng.randrange(40)}" for _ in range(12)) for _ in range(12)]
+    own = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(12))
+    rows = [(i, 0, " ".join(x for p in rng.sample(phrases, 6) for x in (p, own()))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "id long, mark long, text string")
+    scratch = Scratch(spark, "test")
+    order = partenum.sampled_order(scratch, docs, 3)
+    marked = scratch.table(partenum.marked_sets(docs, 3, Fraction(9, 10), order), "marked")
+    assert marked.where("size(sigs) > 0").count() == 600
+    assert partenum.buckets(scratch, marked).count() == 0
+
+
+def test_order_loses_no_pair(spark, monkeypatch):
+    """Whatever the sample says of words and shingles, pairs above the threshold meet."""
+    monkeypatch.setattr(partenum, "MOST_LISTED", 60)
+    monkeypatch.setattr(partenum, "SAMPLE", 20)
+    rows = corpus(8)
+    found = partenum.jaccard_components(spark.createDataFrame(rows, "id long, text string"), 3, Fraction(9, 10))
+    assert {r.id: (r.n_shingles, r.component) for r in found.collect()} == brute(rows, 3, Fraction(9, 10))
+
+
+def test_stage_leaves_little_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestone.llm.common.shared_folder", lambda s: str(tmp_path))
+    rows = [(i, " ".join(f"w{(i % 20) * 1000 + j}" for j in range(200))) for i in range(60)]
+    assert partenum.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string")).count() == 20
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"gone"}
