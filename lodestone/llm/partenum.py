@@ -33,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import HOT, MIX, Scratch, documents, fresh, hot_parts, mix64, rolled_words, sets_of, shingle_sets, sliced, split_join
@@ -41,8 +41,8 @@ from .common import HOT, MIX, Scratch, documents, fresh, hot_parts, mix64, rolle
 #: Buckets with so many sets have their pairs of different components tried; larger ones are taken apart again.
 SEVERAL = 64
 #: Some so many texts, dealt by a hash, tell which words and shingles are frequent; so many of each are sent to all tasks.
-SAMPLE = 8192
-MOST_LISTED = 200_000
+SAMPLE = 32_768
+MOST_LISTED = 1_000_000
 #: Longs that hold a set's parities.
 PARITY = 16
 #: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
@@ -144,7 +144,7 @@ def sampled_order(scratch: Scratch, docs: DataFrame, words: int) -> Order:
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(hashes), kind, np.int32)), "x": pa.array(hashes.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
 
     found = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(each)) == 0).select("text").mapInArrow(run, "kind int, x long, n long")
-    found = scratch.table(found.groupBy("kind", "x").agg(F.sum("n").alias("n")).where("n >= 4"), "common")
+    found = scratch.table(found.groupBy("kind", "x").agg(F.sum("n").alias("n")).where("n >= 3"), "common")
     held = {0: [], 1: []}
     for r in found.groupBy("kind", F.floor(4 * F.log2("n")).alias("class")).agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect():
         held[r.kind].append((r["class"], r.n))
@@ -271,9 +271,12 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) with the sets of both, xs and ys. `parts` are the hot keys b."""
-    both = split_join(pairs, sets.select(F.col("key").alias("b"), F.col("items").alias("ys")), ["b"], parts)
-    return both.join(sets.select(F.col("key").alias("a"), F.col("items").alias("xs")), "a")
+    """Pairs (a, b), a written table, with the sets of both, xs and ys. `parts` are the hot keys b."""
+    ys, xs = (sets.select(F.col("key").alias(k), F.col("items").alias(f"{v}s")) for k, v in ("by", "ax"))
+    if pairs.count() <= MOST_BROADCAST:  # only sets of these pairs are shuffled
+        sent = F.broadcast(pairs.select("a", "b"))
+        return ys.join(sent, "b").join(xs.join(F.broadcast(pairs.select("a")), "a", "left_semi"), "a")
+    return split_join(pairs, ys, ["b"], parts).join(xs, "a")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction, parts: DataFrame | None = None) -> DataFrame:
@@ -323,14 +326,16 @@ class Linker:
             more = self.scratch.table(more.dropDuplicates(["key"]), "sets")
         self.sets = more if self.sets is None else self.sets.union(more)
 
+    def similar_sizes(self) -> Column:
+        return F.least("n_a", "n_b") * self.threshold.denominator >= F.greatest("n_a", "n_b") * self.threshold.numerator
+
     def near_enough(self, pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
         """The pairs whose sizes and parities don't rule them out."""
         side = lambda k: self.summary.select(F.col("key").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
         both = split_join(pairs, side("b"), ["b"], parts).join(side("a"), "a")
         t = self.threshold
         apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-        sizes = F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator
-        return both.where(sizes & (apart * (t.denominator + t.numerator) <= (F.col("n_a") + F.col("n_b")) * (t.denominator - t.numerator))).select("a", "b")
+        return both.where(self.similar_sizes() & (apart * (t.denominator + t.numerator) <= (F.col("n_a") + F.col("n_b")) * (t.denominator - t.numerator))).select("a", "b")
 
     def verify(self, pairs: DataFrame) -> None:
         """Tries the pairs (a, b) that haven't been tried and lie in two components, and merges components over the links."""
@@ -409,7 +414,10 @@ def around_centres(linker: Linker, named: DataFrame, by_size: bool) -> DataFrame
     linker.load(named.select(F.col("a").alias("key")).distinct())
     sizes = scratch.table(counted(named, "g"), "sizes")
     parts = hot_parts(sizes, ["g"])
-    held = scratch.table(named.join(linker.sets.select(F.col("key").alias("a"), F.col("items").alias("xs")), "a"), "held")
+    sets = linker.sets.select(F.col("key").alias("a"), F.col("items").alias("xs"))
+    if sizes.agg(F.sum("n")).first()[0] <= MOST_BROADCAST:
+        sets = sets.join(F.broadcast(named.select("a")), "a", "left_semi")
+    held = scratch.table(named.join(sets, "a"), "held")
     common = held.select("g", F.explode("xs").alias("d")).groupBy("g", "d").agg(F.count("*").alias("often")).join(sizes, "g").where("2 * often > n")
     centres = common.groupBy("g").agg(F.collect_list("d").alias("centre"))  # at most two sets' elements
     apart = split_join(held, centres, ["g"], parts, "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
@@ -454,8 +462,10 @@ def link_all(linker: Linker, members: DataFrame) -> None:
         open_ = scratch.table(still_open(linker, members, parts), "open")
         merges, large = linker.merges, open_.where(F.col("n") > SEVERAL)
         few = open_.where((F.col("n") <= SEVERAL) & (F.col("n") > (2 if level == 1 else 1)))  # of two a star has tried all, if both are short
-        other = few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("short").alias("s_b"))
-        linker.verify(few.join(other, "g").where("a < b and c_a != c_b and (short or s_b)").select("a", "b").distinct())
+        few = few.join(linker.summary.select(F.col("key").alias("a"), F.col("n_shingles").alias("n_a")), "a")
+        other = few.select("g", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("short").alias("s_b"), F.col("n_a").alias("n_b"))
+        near = linker.similar_sizes() & F.expr("a < b and c_a != c_b and (short or s_b)")
+        linker.verify(few.join(other, "g").where(near).select("a", "b").distinct())
         if large.isEmpty():
             return
         large = large.select("g", "a", "short")
