@@ -43,6 +43,8 @@ SEVERAL = 64
 #: Some so many texts, dealt by a hash, tell which words and shingles are frequent; so many of each are sent to all tasks.
 SAMPLE = 32_768
 MOST_LISTED = 1_000_000
+#: Parts in which the sample's words and shingles are counted.
+COUNTED = 256
 #: Longs that hold a set's parities.
 PARITY = 16
 #: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
@@ -141,10 +143,27 @@ def sampled_order(scratch: Scratch, docs: DataFrame, words: int) -> Order:
             sets = sets_of(*parts, words)
             shingle, often = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             for kind, hashes, counts in ((0, parts[0], np.bincount(parts[1], minlength=len(parts[0]))), (1, shingle, often)):
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(hashes), kind, np.int32)), "x": pa.array(hashes.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
-
-    found = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(each)) == 0).select("text").mapInArrow(run, "kind int, x long, n long")
-    found = scratch.table(found.groupBy("kind", "x").agg(F.sum("n").alias("n")).where("n >= 3"), "common")
+                part = (hashes % np.uint64(COUNTED)).astype(np.int64)
+                by_part, ends = np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=COUNTED))
+                at = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                xs = pa.ListArray.from_arrays(at, pa.array(hashes[by_part].view(np.int64)))
+                ns = pa.ListArray.from_arrays(at, pa.array(counts[by_part].astype(np.int32)))
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(COUNTED, kind, np.int32)), "part": pa.array(np.arange(COUNTED, dtype=np.int32)), "xs": xs, "ns": ns})
+
+    def count(key, rows):
+        xs, ns = (np.asarray(rows[c].combine_chunks().flatten()) for c in ("xs", "ns"))
+        place = np.argsort(xs)
+        xs, ns = xs[place], ns[place].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], xs[1:] != xs[:-1]])) if len(xs) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(ns, first) if len(xs) else ns
+        kept = sums >= 3
+        return pa.table({"kind": pa.array(np.full(int(kept.sum()), key[0].as_py(), np.int32)), "x": pa.array(xs[first][kept]), "n": pa.array(sums[kept])})
+
+    # most shingles are in one text: rows of their own would fill the executors' hash tables and twice the disk
+    dealt = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(each)) == 0).select("text").mapInArrow(run, "kind int, part int, xs array<long>, ns array<int>")
+    found = scratch.table(dealt.groupBy("kind", "part").applyInArrow(count, "kind int, x long, n long"), "common")
+    del dealt
+    scratch.release()  # the shuffle is larger than what it finds
     held = {0: [], 1: []}
     for r in found.groupBy("kind", F.floor(4 * F.log2("n")).alias("class")).agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect():
         held[r.kind].append((r["class"], r.n))

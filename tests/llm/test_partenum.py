@@ -148,3 +148,17 @@ def test_stage_leaves_little_behind(spark, tmp_path, monkeypatch):
     rows = [(i, " ".join(f"w{(i % 20) * 1000 + j}" for j in range(200))) for i in range(60)]
     assert partenum.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string")).count() == 20
     assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"gone"}
+
+
+def test_sample_is_counted_whole(spark, tmp_path):
+    """Words and shingles of three texts or more are listed with their counts, wherever the texts lie; the shuffle has no row for each."""
+    from lodestone.llm.common import Scratch, rolled_words
+
+    import pyarrow as pa
+
+    rows = [(i, f"a b c d x{i} y{i} z{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(7)
+    order = partenum.sampled_order(Scratch(spark, "test"), docs, 3)
+    named, codes, _, rolled = rolled_words(pa.array(["a b c d"]), 3)
+    assert set(order.words[0].tolist()) == set(named.tolist()) and set(order.common[0].tolist()) == set(rolled.tolist())
+    assert set(order.words[1].tolist()) == {int(4 * np.log2(40)) // 2} and set(order.common[1].tolist()) == {128 + int(4 * np.log2(40))}
