@@ -12,8 +12,9 @@ pairs are verified on the full sets, and links are merged into components. Where
 components, small buckets (SEVERAL) have their pairs of different components tried. Larger ones are put together into clusters by the
 sets they share, and taken apart around the elements that most of a cluster's sets hold (see around_centres): pairs near that centre
 are settled by one more star, and the rest can only be linked if they share a rare difference from it and are of nearly the same size,
-so those differences, by size, are the buckets of the next round, each with at most half of the sets, until none is open. Copies with edits of their own share no such difference, so a large group of them costs its
-number of edits, not its square, and no link between different sets is lost.
+so those differences, by size, are the buckets of the next round, each with at most three quarters of the sets, until none is open.
+Copies with edits of their own share no such difference, so a large group of them costs its number of edits, not its square, and no link
+between different sets is lost.
 
 Before sets are read, pairs are dropped whose sizes, or whose parities of elements in 1,024 classes, already differ by more than the
 threshold allows. Keys that hold over a thousandth of a table's rows are joined in parts (see split_join).
@@ -419,11 +420,26 @@ def clusters(scratch: Scratch, large: DataFrame, parts: DataFrame | None) -> Dat
     return components(scratch, edges).select(F.col("component").alias("g"), F.col("id").alias("a"))
 
 
+def often_in_parts(held: DataFrame) -> DataFrame:
+    """(g, d, often): elements that most of some part of a group's sets (g, a, n, xs), n in all, hold, and how many of the part do. Parts
+    have about SEVERAL sets each, so what leaves them is a set's elements per part, not per set."""
+    part = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.floor(F.col("n") / SEVERAL))).alias("part")
+
+    def most(key, rows):
+        elements, often = np.unique(np.asarray(rows["xs"].combine_chunks().flatten()), return_counts=True)
+        kept = 2 * often > rows.num_rows
+        return pa.table({"g": pa.array(np.full(int(kept.sum()), key[0].as_py(), np.int64)), "d": pa.array(elements[kept]), "often": pa.array(often[kept].astype(np.int64))})
+
+    return held.select("g", part, "xs").groupBy("g", "part").applyInArrow(most, "g long, d long, often long")
+
+
 def around_centres(linker: Linker, named: DataFrame, by_size: bool) -> DataFrame:
     """Settles the pairs of large groups (g, a), a written table, that lie near the group's centre, and gives the groups (g, a, short)
     in which all other links of theirs are found.
 
-    The centre is the set of elements that most members hold; D(x) is where a member x differs from it. With c = (1 - t) / (1 + t) at
+    The centre is a set of elements that most members hold, as found in parts (see often_in_parts): an element counts in the parts that
+    mostly hold it, so one that is missed is held by three quarters at most. D(x) is where a member x differs from the centre; what
+    follows holds for any centre. With c = (1 - t) / (1 + t) at
     threshold t and excess e(x) = |D(x)| - c |x|, x and y are linked exactly if e(x) + e(y) <= 2 |D(x) and D(y)|. If that holds
     without a shared element, both are linked to the member m of least excess, so a star around m settles it. Else, with e(y) the
     lesser, the shared part is at least e(y), and at least (e(x) + e(m)) / 2: so the rarest elements of D(x) and D(y), short of these
@@ -436,8 +452,8 @@ def around_centres(linker: Linker, named: DataFrame, by_size: bool) -> DataFrame
     sets = linker.sets.select(F.col("key").alias("a"), F.col("items").alias("xs"))
     if sizes.agg(F.sum("n")).first()[0] <= MOST_BROADCAST:
         sets = sets.join(F.broadcast(named.select("a")), "a", "left_semi")
-    held = scratch.table(named.join(sets, "a"), "held")
-    common = held.select("g", F.explode("xs").alias("d")).groupBy("g", "d").agg(F.count("*").alias("often")).join(sizes, "g").where("2 * often > n")
+    held = scratch.table(split_join(named, sizes, ["g"], parts).join(sets, "a"), "held")
+    common = often_in_parts(held).groupBy("g", "d").agg(F.sum("often").alias("often")).join(sizes, "g").where("2 * often > n")
     centres = common.groupBy("g").agg(F.collect_list("d").alias("centre"))  # at most two sets' elements
     apart = split_join(held, centres, ["g"], parts, "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
     apart = apart.select("g", "a", F.size("xs").alias("size"), F.array_union(F.array_except("xs", "centre"), F.array_except("centre", "xs")).alias("ds"))

@@ -150,6 +150,15 @@ def test_stage_leaves_little_behind(spark, tmp_path, monkeypatch):
     assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"gone"}
 
 
+def test_centres_of_large_groups_make_no_row_per_member_and_element(spark):
+    """Elements leave a part of a group only if most of its sets hold them."""
+    own = lambda i: [1000 + 40 * i + j for j in range(40)]
+    held = spark.createDataFrame([(7, i, 1000, [*range(20), *own(i)]) for i in range(1000)] + [(8, 1, 2, [1, 2]), (8, 2, 2, [2, 3])], "g long, a long, n long, xs array<long>")
+    found = partenum.often_in_parts(held).collect()
+    assert {r.d for r in found if r.g == 7} == set(range(20)) and {(r.d, r.often) for r in found if r.g == 8} == {(2, 2)}
+    assert len(found) < 20 * 20 and sum(r.often for r in found if r.d == 5) == 1000
+
+
 def test_sample_is_counted_whole(spark, tmp_path):
     """Words and shingles of three texts or more are listed with their counts, wherever the texts lie; the shuffle has no row for each."""
     from lodestone.llm.common import Scratch, rolled_words
