@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, Scratch, documents, mix64, shingle_sets, sliced, text_batches
+from .common import MIX, Scratch, documents, mix64, rolled_words, shingle_sets, shingles_of, sliced, text_batches
 from .partenum import MOST_BROADCAST, joined_groups, marked_sets, sampled_order, set_arrays, with_sets
 
 PERMUTATIONS, WORDS = 128, 5
@@ -54,6 +54,13 @@ def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.n
     return out
 
 
+def common_start(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two arrays begin with in common."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
 def text_of(signature: np.ndarray) -> list[str]:
     return [row.astype(">u4").tobytes().hex() for row in signature]
 
@@ -129,8 +136,14 @@ def edited_fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words
             for i in own.tolist():
                 n = len(texts[i]) // 4
                 edited.append(texts[i][: len(texts[i]) - n] + texts[i + 1][:n])
-            marks = signatures(shingle_sets(batch.column(1), words), permutations)
-            changed = signatures(shingle_sets(pa.array(edited, pa.large_string()), words), permutations)
+            # a text and its edited one begin alike: what they share is permuted once, and repeats don't change a minimum
+            before = shingles_of(*rolled_words(batch.column(1), words), words)
+            after = shingles_of(*rolled_words(pa.array(edited, pa.large_string()), words), words)
+            same = np.zeros(len(before), np.int64)
+            same[own] = [common_start(before[i], x) for i, x in zip(own.tolist(), after)]
+            alike = signatures([x[:k] for x, k in zip(before, same)], permutations)
+            marks = np.minimum(alike, signatures([x[k:] for x, k in zip(before, same)], permutations))
+            changed = np.minimum(alike[own], signatures([x[k:] for x, k in zip(after, same[own])], permutations))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0).take(pa.array(own)),
                 "n_chars": pa.array([len(texts[i]) for i in own.tolist()], pa.int64()),
