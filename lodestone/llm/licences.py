@@ -78,10 +78,16 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFra
     return out.select(*docs.columns, "n_words", total.cast("long").alias("n_base"), some(firsts, F.least).alias("first_word"), some(lasts, F.greatest).alias("last_word"), F.array_compact(F.array(*labels)).alias("base"))
 
 
+def once(value: Column) -> Column:
+    """The value as a generator's column: Spark works it out once a row. As a plain column it would put the whole expression in the place
+    of every use of it in a filter, and so once per element if a lambda uses it. One to a select."""
+    return F.explode(F.array(value))
+
+
 def held_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Adds held, the template words of each text that has any, in the vocabulary's order."""
     held = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(F.lower("text"), GAP))
-    return docs.select("doc_id", "text_key", "text", held.alias("held")).where(F.size("held") > 0)
+    return docs.select("doc_id", "text_key", "text", once(held).alias("held")).where(F.size("held") > 0)
 
 
 def matching_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
@@ -120,7 +126,7 @@ def matching_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9
         inside = F.filter(F.slice("hits", k + 1, F.lit(width)), lambda x: x["at"] < h["at"] + width)
         return F.struct(F.size(F.array_distinct(F.transform(inside, lambda x: x["word"]))).alias("shared"), (-h["at"]).alias("back"))
 
-    best = pairs.withColumn("hits", hits).withColumn("best", F.array_max(F.transform("hits", block))).where("best.shared >= need")
+    best = pairs.withColumn("hits", once(hits)).withColumn("best", once(F.array_max(F.transform("hits", block)))).where("best.shared >= need")
     return best.select("doc_id", "text_key", (-F.col("best.back")).alias("block"), "label", (F.col("best.shared") / F.col("n")).alias("containment"))
 
 

@@ -488,3 +488,13 @@ def test_archives_survive_other_splits(spark, monkeypatch, compression):
         for name in settings:
             spark.conf.unset(name)
     assert got == {k: html for k, _, html in rows}
+
+
+def test_a_text_is_split_once_for_license_blocks(spark):
+    """Filters over the split words don't repeat the splitting: once for the words held, once for the blocks of what is left."""
+    rows = [(1, "Released under the MIT License.\nmit the under"), (2, None)]
+    keyed = docs(spark, rows).selectExpr("doc_id", "coalesce(text, '') AS text", "0L AS text_key")
+    found = licences.matching_blocks(keyed)
+    assert [(r.doc_id, r.block, r.label) for r in found.collect()] == [(1, 0, "mit")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2
