@@ -1,8 +1,8 @@
 """Source divergence audit: how far apart the sources of each language are in the terms they use.
 
-Terms are counted by one CountVectorizer over all languages, whose terms carry their language, so its vocabulary (minDF documents at
-least, no bound on its size) is that of one CountVectorizer per language, however many there are. Its sparse document vectors are written
-once and read again as plain index and value columns; sums by (lang, source) of them are exact whole numbers.
+Terms are counted in one pass over the texts: numpy sums each batch's terms by (lang, source), so the rows that Spark shuffles and sums are
+those of a batch's groups and terms, not of documents and terms. Sums are exact whole numbers. The vocabulary of a language is all terms
+with documents enough, with no bound on its size.
 
 A group gives a term with `count` occurrences p = 1 + floor(SCALE * (count + 2) / (N + 2 V)), so all terms that a group doesn't hold have
 one p, its ground. The divergence of two groups is a sum of f(p, q) = floor((p - q)^2 / (p + q)) over all V terms:
@@ -21,15 +21,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, encode_words, gathered, whole_array
 
-#: What lies between terms. Splitting costs a tenth of extracting the terms, since a match found by extraction copies the text.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of UTF-8: letters and what isn't ASCII stay, A-Z become small, all else parts terms.
+TO_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCALE = 1_000_000_000
 #: A block holds some so many terms of one language.
 BLOCK = 2048
@@ -47,24 +47,45 @@ def apart(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def term_vectors(docs: DataFrame, least_docs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Sparse vectors (lang, source, indices, values) of documents, and the terms (index, lang, term) they count."""
-    lowered = F.translate("text", UPPER, LOWER)
-    keyed = F.concat(F.lit("\0"), F.col("lang"), F.lit("\0"))  # terms hold no NUL, so the last one ends the language
-    terms = F.transform(F.array_remove(F.split(lowered, BETWEEN), ""), lambda t: F.concat(keyed, t))
-    rows = docs.select("lang", "source", terms.alias("terms"))
-    # a vocabulary can't be empty, so rows of our own hold a term of no language
-    sentinels = docs.sparkSession.range(least_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit("\0")).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_docs), vocabSize=2**31 - 1).fit(rows.union(sentinels))
-    path = scratch.path("vocabulary")
-    model.write().overwrite().save(path)
-    listed = docs.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "keyed")).where(F.length("keyed") > 1)
-    term = F.substring_index("keyed", "\0", -1)
-    named = listed.select("index", F.expr("substring(keyed, 2, length(keyed) - length(substring_index(keyed, '\\0', -1)) - 2)").alias("lang"), term.alias("term"))
-    vectors = scratch.path("vectors")
-    model.transform(rows).select("lang", "source", "vector").write.parquet(vectors)
-    plain = docs.sparkSession.read.schema("lang string, source string, vector struct<type:tinyint,size:int,indices:array<int>,values:array<double>>").parquet(vectors)
-    return plain.select("lang", "source", F.col("vector.indices").alias("indices"), F.col("vector.values").alias("values")), scratch.table(named, "terms")
+def batch_counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, count, docs) of documents (text, lang, source): how often each term occurs in a batch's documents of a group,
+    and in how many of them. One row for each term of a group and batch."""
+
+    def run(batches):
+        for batch in gathered(batches, 0):
+            texts = whole_array(batch.column(0))
+            _, offsets, data = texts.buffers()
+            plain = pa.py_buffer((data.to_pybytes() if data else b"").translate(TO_TERMS))
+            codes, terms, starts = encode_words(pa.LargeStringArray.from_buffers(len(texts), offsets, plain), lower=False)
+            langs, sources = (batch.column(i).dictionary_encode() for i in (1, 2))
+            group = np.asarray(langs.indices, np.int64) * len(sources.dictionary) + np.asarray(sources.indices, np.int64)
+            width = max(1, len(terms))
+            own, times = np.unique(np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(starts)) * width + codes, return_counts=True)
+            key = group[own // width] * width + own % width
+            place = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[place], prepend=-1))
+            key, count = key[place][first], np.add.reduceat(times[place], first) if len(first) else times
+            group = key // width
+            lang, source = (pa.array(x.astype(np.int32)) for x in (group // len(sources.dictionary), group % len(sources.dictionary)))
+            yield pa.RecordBatch.from_pydict({
+                "lang": langs.dictionary.take(lang),
+                "source": sources.dictionary.take(source),
+                "term": terms.take(pa.array(key % width)).cast(pa.string()),
+                "count": pa.array(count.astype(np.int64)),
+                "docs": pa.array(np.diff(first, append=len(place)).astype(np.int64)),
+            })
+
+    return docs.select("text", "lang", "source").mapInArrow(run, "lang string, source string, term string, count long, docs long")
+
+
+def kept_counts(docs: DataFrame, least_docs: int) -> DataFrame:
+    """(lang, source, index, term, count) of terms that enough documents of their language hold; index stands for (lang, term)."""
+    # dealt by (lang, term), so both sums need one shuffle
+    dealt = batch_counts(docs).repartition("lang", "term")
+    summed = dealt.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")).withColumn("row", F.monotonically_increasing_id())
+    term = Window.partitionBy("lang", "term")
+    held = summed.withColumn("all_docs", F.sum("docs").over(term)).withColumn("index", F.min("row").over(term))
+    return held.where(F.col("all_docs") >= least_docs).select("lang", "source", "index", "term", "count")
 
 
 def in_both(rows: pd.DataFrame) -> pd.DataFrame:
@@ -92,13 +113,12 @@ def divergence(docs: DataFrame, least_docs: int = 10, top: int = TOP) -> DataFra
     """(lang, source, part, item, value, rank) of documents (text, lang, source)."""
     scratch = Scratch(docs.sparkSession, "divergence")
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    vectors, terms = term_vectors(docs, least_docs, scratch)
-    pairs = vectors.select("source", F.explode(F.arrays_zip("indices", "values")).alias("x")).select("source", F.col("x.indices").alias("index"), F.col("x.values").cast("long").alias("n"))
-    counted = pairs.groupBy("source", "index").agg(F.sum("n").alias("count"))
-    counts = scratch.table(counted.join(terms, "index").select("lang", "source", "index", "term", "count"), "counts")
-    sizes = terms.groupBy("lang").agg(F.count("*").alias("V"))
+    counts = scratch.table(kept_counts(docs, least_docs), "counts")
+    scratch.release()
+    whole = scratch.table(counts.groupBy("lang", "index").agg(F.sum("count").alias("all")), "terms")
+    sizes = whole.groupBy("lang").agg(F.count("*").alias("V"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("N"))
-    groups = vectors.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["N", "V"])
+    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["N", "V"])
     ground = F.when(F.col("V") > 0, share(F.lit(0), F.col("N"), F.col("V"))).alias("ground")
     groups = scratch.table(groups.select("lang", "source", "N", "V", ground), "groups")
     held = counts.join(groups, ["lang", "source"]).withColumn("p", share(F.col("count"), F.col("N"), F.col("V")))
@@ -120,7 +140,6 @@ def divergence(docs: DataFrame, least_docs: int = 10, top: int = TOP) -> DataFra
     pair = both.join(own, key, "left").join(theirs, key, "left").join(sided, key, "left").select(*key, value.cast("long").alias("value"))
 
     # terms that a group holds more than its language does
-    whole = counts.groupBy("lang", "index").agg(F.sum("count").alias("all"))
     language = groups.groupBy("lang").agg(F.sum("N").alias("all_N"), F.max("V").alias("lang_V"))
     q = whole.join(F.broadcast(language) if language.count() <= 100_000 else language, "lang").select("index", share(F.col("all"), F.col("all_N"), F.col("lang_V")).alias("q"))
     term = held.select("lang", "source", "index", F.col("term").alias("item"), "p").join(q, "index").where("p > q").select(*key, apart(F.col("p"), F.col("q")).alias("value"))

@@ -65,3 +65,11 @@ def test_counts_beyond_longs(spark):
     """Shares of very large counts are exact."""
     row = spark.sql("SELECT 20000000000L AS c, 40000000001L AS n, 3L AS v").select(divergence.share(*(divergence.F.col(x) for x in "cnv")))
     assert row.first()[0] == 1 + 10**9 * 20000000002 // (40000000001 + 6)
+
+
+def test_terms_are_summed_by_batch_and_group(spark):
+    """A batch gives one row for each term of a group, not one for each of a document; counts and documents are exact."""
+    rows = [("The cat THE\0x1é", "en", "a"), ("the", "en", "a"), ("the the", "en", "b"), ("", "en", "b"), ("the", "de", "a")] * 20
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1)
+    found = [tuple(r) for r in divergence.batch_counts(docs).collect()]
+    assert sorted(found) == [("de", "a", "the", 20, 20), ("en", "a", "cat", 20, 20), ("en", "a", "the", 60, 40), ("en", "a", "x", 20, 20), ("en", "a", "é", 20, 20), ("en", "b", "the", 40, 20)]
