@@ -33,6 +33,8 @@ from .mixing import CELL_DOCS, running
 
 CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
+#: Bytes of text that a task encodes at once.
+TEXT_AT_ONCE = 2 << 20
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -50,7 +52,7 @@ class Encoder:
     letters; so each word is encoded once, remembered, and put together again. Texts with other runs of white space, control
     characters or the two signs above are encoded whole."""
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -155,27 +157,29 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def cut_texts(batches, path: str, capacity: int):
+    """Pieces of batches (doc_id, text), some MB of text at a time."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    encoder = _encoders[path]
+    for batch in gathered(batches, 1, TEXT_AT_ONCE):
+        owner, piece, start, length, ids = [], [], [], [], []
+        for i, own in enumerate(encoder.encode(batch.column(1))):
+            cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                owner.append(i)
+                piece.append(k)
+                start.append(a)
+                length.append(b - a)
+                ids.append(own[a:b].astype("<u4").tobytes())
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(owner, pa.int32())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary())})
+        pa.default_memory_pool().release_unused()
+
+
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids and the end id, cut to the capacity; ids as little-endian 32 bits."""
     path = tokenizer or tokenizer_path()
-
-    def run(batches):
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        encoder = _encoders[path]
-        for batch in gathered(batches, 1):
-            owner, piece, start, length, ids = [], [], [], [], []
-            for i, own in enumerate(encoder.encode(batch.column(1))):
-                cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    owner.append(i)
-                    piece.append(k)
-                    start.append(a)
-                    length.append(b - a)
-                    ids.append(own[a:b].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(owner, pa.int32())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary())})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: cut_texts(batches, path, capacity), "doc_id long, piece int, start long, length long, ids binary")
 
 
 @dataclass

@@ -490,6 +490,18 @@ def test_archives_survive_other_splits(spark, monkeypatch, compression):
     assert got == {k: html for k, _, html in rows}
 
 
+def test_texts_are_encoded_a_few_megabytes_at_once(monkeypatch):
+    import pyarrow as pa
+
+    text, seen = "some words of a text " * 500, []
+    encode = packing.Encoder.encode
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, texts: seen.append(texts.nbytes) or encode(self, texts))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(50)), "text": pa.array([text] * 50)}) for _ in range(20)]
+    pieces = pa.Table.from_batches(packing.cut_texts(batches, packing.tokenizer_path(), 1024))
+    assert max(seen) <= 3 << 20 and sum(seen) > 10_000_000
+    assert len(set(zip(pieces["doc_id"].to_pylist(), pieces["piece"].to_pylist()))) * 20 == pieces.num_rows
+
+
 def test_a_text_is_split_once_for_license_blocks(spark):
     """Filters over the split words don't repeat the splitting: once for the words held, once for the blocks of what is left."""
     rows = [(1, "Released under the MIT License.\nmit the under"), (2, None)]
