@@ -12,11 +12,16 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space, as the contracts' word pattern has it.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+#: Whether Spark deletes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folder: dict[str, str] = {}
 
 
@@ -52,8 +57,16 @@ class Scratch:
         return f"{self.base}/{self.made:03d}-{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
+        path, before = self.path(name), self.spark.conf.get(CLEANUP, None)
+        # what the write shuffled isn't read again: its files go at its end, not when the driver collects its garbage
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
@@ -76,6 +89,14 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows, sent as Arrow: as plain rows they would be read by Python workers that stay in every executor."""
+    fields = T.StructType.fromDDL(schema)
+    columns = zip(*rows) if rows else [()] * len(fields)
+    kinds = to_arrow_schema(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.types)], schema=kinds), fields)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have."""
     taken, found = {c.lower() for c in df.columns}, f"_{name}"
@@ -96,7 +117,7 @@ def hot_parts(counts: DataFrame, on: list[str]) -> DataFrame | None:
         return None
     hot = [tuple(r) for r in counts.where(F.col("n") > most).select(*on, "n").collect()]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*on).schema.fields)
-    return counts.sparkSession.createDataFrame([(*key, -(-n // most)) for *key, n in hot], f"{schema}, _parts long")
+    return small_table(counts.sparkSession, [(*key, -(-n // most)) for *key, n in hot], f"{schema}, _parts long")
 
 
 def split_join(left: DataFrame, right: DataFrame, on: list[str], parts: DataFrame | None, how: str = "inner") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, Scratch, documents, mix64, rolled_words, shingle_sets, shingles_of, sliced, text_batches
+from .common import MIX, Scratch, documents, mix64, rolled_words, shingle_sets, shingles_of, sliced, small_table, text_batches
 from .partenum import MOST_BROADCAST, joined_groups, marked_sets, sampled_order, set_arrays, with_sets
 
 PERMUTATIONS, WORDS = 128, 5
@@ -103,7 +103,7 @@ def in_order_with_next(docs: DataFrame, partitions: int, columns: list[str]) ->
         return keyed.withColumn("sentinel", F.lit(False))
     runs = sorted(firsts)
     before = {r: runs[i - 1] for i, r in enumerate(runs)}
-    follows = docs.sparkSession.createDataFrame([(firsts[r], before[r]) for r in runs], "doc_id long, before int")
+    follows = small_table(docs.sparkSession, [(firsts[r], before[r]) for r in runs], "doc_id long, before int")
     firsts_only = keyed.join(F.broadcast(follows), keyed.doc_id.eqNullSafe(follows.doc_id)).drop(follows.doc_id)
     least = firsts_only.groupBy("before").agg(F.min_by(F.struct("doc_id", *columns), F.struct(*columns)).alias("r"))
     sentinels = least.select("r.*", F.col("before").alias("run"), F.lit(True).alias("sentinel")).select(*keyed.columns, "sentinel")

@@ -1,5 +1,7 @@
 """Word splitting and shingles on whole and sliced Arrow arrays."""
 
+import time
+
 import pyarrow as pa
 import pytest
 
@@ -41,3 +43,27 @@ def test_scratch_tables_are_in_the_shared_folder(spark):
     made = scratch.table(spark.range(3), "x")
     assert made.count() == 3 and scratch.base.startswith(spark.conf.get("spark.checkpoint.dir"))
     scratch.drop(made)
+
+
+def test_small_tables_need_no_python_workers(spark):
+    rows = [(1, None, [1, 2], 0.5), (None, "x", None, None)]
+    schema = "a int, b string, c array<long>, d double"
+    found = common.small_table(spark, rows, schema)
+    assert [tuple(r) for r in found.collect()] == rows and found.schema == spark.createDataFrame([], schema).schema
+    assert "LocalTableScan" in found._jdf.queryExecution().toString()
+    assert common.small_table(spark, [], schema).count() == 0 and common.small_table(spark, [], schema).schema == found.schema
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(common.CLEANUP, None)
+    counts = spark.range(50_000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    kept = common.Scratch(spark, "test").table(counts, "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 100 and counts.count() == 100
+    assert spark.conf.get(common.CLEANUP, None) == setting
