@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, documents, fresh
+from .common import WORD, Scratch, documents, fresh, small_table
 
 #: The golden ratio's fraction in 40 bits.
 GOLDEN, BITS = 679535556991, 40
@@ -59,7 +59,7 @@ def targets_of(spark: SparkSession, sized: DataFrame, cycle: list[float], share:
     sizes = [r.source_size for r in totals]
     targets = water_fill(sizes, [cycle[i % len(cycle)] for i in range(len(sizes))], share * sum(sizes), most_repeats)
     rows = [(i, r.source, r.source_size, t) for i, (r, t) in enumerate(zip(totals, targets))]
-    return spark.createDataFrame(rows, "s int, source string, source_size long, target double"), rows
+    return small_table(spark, rows, "s int, source string, source_size long, target double"), rows
 
 
 def running(df: DataFrame, group: list[str], cell: str, amount: str, order: list, before: str) -> DataFrame:
@@ -89,7 +89,7 @@ def schedule(spark: SparkSession, rows: list, block: int) -> DataFrame:
         if slots:
             need.append((s, size, blocks, slots, words))
     if not need:
-        return spark.createDataFrame([], "s int, rank long, slot long, block long, words long")
+        return small_table(spark, [], "s int, rank long, slot long, block long, words long")
     total, at, intervals, wide = sum(n[3] for n in need), 0, [], BITS - PLACE_BITS
     for s, _, _, slots, _ in need:
         low, high = (at << BITS) // total, ((at + slots) << BITS) // total
@@ -97,9 +97,9 @@ def schedule(spark: SparkSession, rows: list, block: int) -> DataFrame:
             intervals += [(place, s, low, high) for place in range(low >> wide, ((high - 1) >> wide) + 1)]  # all sources' together: one each, and 2**12
         at += slots
     slots = spark.range(total).select(F.col("id").alias("slot"), golden_point("id").alias("u"), (F.col("id") / CELL_SLOTS).cast("long").alias("cell")).withColumn("place", F.shiftright("u", wide))
-    found = spark.createDataFrame(intervals, "place long, s int, low long, high long")
+    found = small_table(spark, intervals, "place long, s int, low long, high long")
     slots = slots.join(F.broadcast(found), "place").where("u >= low and u < high").select("s", "slot", "cell", F.lit(1).alias("one"))
-    needs = spark.createDataFrame(need, "s int, size long, blocks long, need long, wanted long")
+    needs = small_table(spark, need, "s int, size long, blocks long, need long, wanted long")
     scratch = Scratch(spark, "schedule")
     ranked = scratch.table(running(slots, ["s"], "cell", "one", ["slot"], "rank").select("s", "slot", "rank").join(F.broadcast(needs), "s"), "ranked")
     counts = ranked.groupBy("s").agg(F.count("*").alias("n"))

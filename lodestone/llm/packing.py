@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, gathered, whole_array
+from .common import Scratch, documents, gathered, small_table, whole_array
 from .mixing import CELL_DOCS, running
 
 CAPACITY, END_ID = 1024, 2
@@ -162,17 +162,21 @@ def cut_texts(batches, path: str, capacity: int):
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     encoder = _encoders[path]
-    for batch in gathered(batches, 1, TEXT_AT_ONCE):
-        owner, piece, start, length, ids = [], [], [], [], []
-        for i, own in enumerate(encoder.encode(batch.column(1))):
-            cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                owner.append(i)
-                piece.append(k)
-                start.append(a)
-                length.append(b - a)
-                ids.append(own[a:b].astype("<u4").tobytes())
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(owner, pa.int32())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary())})
+    try:
+        for batch in gathered(batches, 1, TEXT_AT_ONCE):
+            owner, piece, start, length, ids = [], [], [], [], []
+            for i, own in enumerate(encoder.encode(batch.column(1))):
+                cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    owner.append(i)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(b - a)
+                    ids.append(own[a:b].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(owner, pa.int32())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary())})
+            pa.default_memory_pool().release_unused()
+    finally:
+        encoder.clear()  # the worker stays for other tasks, the words needn't
         pa.default_memory_pool().release_unused()
 
 
@@ -342,7 +346,7 @@ def slots_of(spark: SparkSession, patterns: list[Pattern]) -> DataFrame:
             used[s] = low + len(places) * p.times
             rows.append((s, low, used[s], len(places), sequence, places))
         sequence += p.times
-    return spark.createDataFrame(rows, "length long, low long, high long, per int, sequence long, offsets array<long>")
+    return small_table(spark, rows, "length long, low long, high long, per int, sequence long, offsets array<long>")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

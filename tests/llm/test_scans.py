@@ -510,3 +510,14 @@ def test_a_text_is_split_once_for_license_blocks(spark):
     assert [(r.doc_id, r.block, r.label) for r in found.collect()] == [(1, 0, "mit")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 2
+
+
+def test_encoded_words_are_let_go_with_the_task():
+    import pyarrow as pa
+
+    from lodestone.llm import packing
+
+    path = packing.tokenizer_path()
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array(["some words of a text"])})]
+    assert len(list(packing.cut_texts(batches, path, 1024))) == 1
+    assert packing._encoders[path].known == {"": 0}
