@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -44,6 +45,20 @@ def text_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextlib.contextmanager
+def letting_go(spark: SparkSession):
+    """Queries within delete what they shuffled when they end, not when the driver collects its garbage: it isn't read again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Tables written below the shared folder. Writing one cuts lineage; lost executors cost a reread, not a rerun."""
 
@@ -57,16 +72,9 @@ class Scratch:
         return f"{self.base}/{self.made:03d}-{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path, before = self.path(name), self.spark.conf.get(CLEANUP, None)
-        # what the write shuffled isn't read again: its files go at its end, not when the driver collects its garbage
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        path = self.path(name)
+        with letting_go(self.spark):
             df.write.parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
@@ -201,18 +209,27 @@ def sliced(batches, column: int):
         yield from slices(batch, column)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct elements in order; np.unique without its detour by a hash table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def rolled_words(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the dictionary's words, each word's code, where each text starts, and a hash of the n words from each place on."""
     codes, dictionary, starts = encode_words(texts)
-    named = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(dictionary))
-    words = named[codes] if len(codes) else np.zeros(0, np.uint64)
-    rolled = np.zeros(0, np.uint64)
+    # as a numpy array: a list of so many Python strings takes longer than their hashes
+    words = dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    named = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    rolled = np.zeros(max(0, len(codes) - n + 1), np.uint64)
     with np.errstate(over="ignore"):
-        if len(words) >= n:
-            rolled = np.zeros(len(words) - n + 1, np.uint64)
+        mixed = [mix64(named + np.uint64(i)) for i in range(n)]  # a word of the dictionary is mixed once for each place in a shingle
+        for a in range(0, len(rolled), 1 << 14):
+            part = rolled[a : a + (1 << 14)]
             for i in range(n):
-                rolled = rolled * MIX + mix64(words[i : len(words) - n + 1 + i] + np.uint64(i))
-            rolled = mix64(rolled)
+                part *= MIX
+                part += mixed[i][codes[a + i : a + i + len(part)]]
+            part[:] = mix64(part)
     return named, codes, starts, rolled
 
 
@@ -234,7 +251,7 @@ def shingles_of(named: np.ndarray, codes: np.ndarray, starts: np.ndarray, rolled
 
 
 def sets_of(named: np.ndarray, codes: np.ndarray, starts: np.ndarray, rolled: np.ndarray, n: int) -> list[np.ndarray]:
-    return [np.unique(x) for x in shingles_of(named, codes, starts, rolled, n)]
+    return [distinct(x) for x in shingles_of(named, codes, starts, rolled, n)]
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:

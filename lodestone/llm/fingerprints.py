@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, Scratch, documents, mix64, rolled_words, shingle_sets, shingles_of, sliced, small_table, text_batches
+from .common import MIX, Scratch, documents, letting_go, mix64, rolled_words, shingle_sets, shingles_of, sliced, small_table, text_batches
 from .partenum import MOST_BROADCAST, joined_groups, marked_sets, sampled_order, set_arrays, with_sets
 
 PERMUTATIONS, WORDS = 128, 5
@@ -33,32 +33,39 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:n] | np.uint64(1), seeds[n:]
 
 
-def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.ndarray:
-    """(texts, permutations) minima of 32 bits; sets without shingles have all bits set."""
+def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS, most: int = 8192) -> np.ndarray:
+    """(texts, permutations) minima of 32 bits; sets without shingles have all bits set. Some `most` shingles are permuted at once, one
+    permutation after the other, so that they stay near the processor; the upper halves are taken of the minima."""
     a, b = _coefficients(permutations)
-    out = np.full((len(sets), permutations), EMPTY, np.uint32)
-    filled = [i for i, s in enumerate(sets) if len(s)]
-    block: list[int] = []
-    held = 0
-    for k, i in enumerate(filled):
-        block.append(i)
-        held += len(sets[i])
-        if held >= 4096 or k + 1 == len(filled):
-            flat = np.concatenate([sets[j] for j in block])
-            starts = np.concatenate([[0], np.cumsum([len(sets[j]) for j in block])])[:-1]
-            with np.errstate(over="ignore"):
-                for p in range(0, permutations, 16):
-                    permuted = ((flat[None, :] * a[p : p + 16, None] + b[p : p + 16, None]) >> np.uint64(32)).astype(np.uint32)
-                    out[block, p : p + 16] = np.minimum.reduceat(permuted, starts, axis=1).T
-            block, held = [], 0
-    return out
-
-
-def common_start(a: np.ndarray, b: np.ndarray) -> int:
-    """How many elements two arrays begin with in common."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+    least = np.full((len(sets), permutations), ~np.uint64(0), np.uint64)
+    filled = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+    ends = np.cumsum([0] + [len(sets[i]) for i in filled.tolist()])
+    k = 0
+    with np.errstate(over="ignore"):
+        while k < len(filled):
+            m = max(k + 1, int(np.searchsorted(ends, ends[k] + most, side="right")) - 1)
+            flat, starts = np.concatenate([sets[i] for i in filled[k:m].tolist()]), ends[k:m] - ends[k]
+            permuted, minima = np.empty(len(flat), np.uint64), np.empty((permutations, m - k), np.uint64)
+            for p in range(permutations):
+                np.multiply(flat, a[p], out=permuted)
+                np.add(permuted, b[p], out=permuted)
+                np.minimum.reduceat(permuted, starts, out=minima[p])
+            least[filled[k:m]] = minima.T
+            k = m
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def edited_end(text: str, following: str, words: int) -> tuple[bytes, bytes, int]:
+    """The edited text in UTF-8, the end of it that holds all its shingles but the first ones of the text, and how many those are.
+
+    A shingle that ends before the last word ahead of the cut is the same in both texts; the word at the cut may become longer."""
+    n = len(text) // 4
+    head, new = (x.encode("utf-8", "surrogatepass") for x in (text[: len(text) - n], following[:n]))
+    cut = head.rsplit(None, words)
+    if len(cut) <= words:
+        return head + new, head + new, 0
+    whole = text.encode("utf-8", "surrogatepass")
+    return head + new, head[len(cut[0]) :] + new, len(whole[len(cut[0]) :].split())
 
 
 def text_of(signature: np.ndarray) -> list[str]:
@@ -132,22 +139,20 @@ def edited_fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words
             own = own[~np.asarray(batch.column(3).cast(pa.uint8()), bool)[own]]
             if not len(own):
                 continue
-            edited = []
-            for i in own.tolist():
-                n = len(texts[i]) // 4
-                edited.append(texts[i][: len(texts[i]) - n] + texts[i + 1][:n])
-            # a text and its edited one begin alike: what they share is permuted once, and repeats don't change a minimum
-            before = shingles_of(*rolled_words(batch.column(1), words), words)
-            after = shingles_of(*rolled_words(pa.array(edited, pa.large_string()), words), words)
+            # a text and its edited one begin alike: what they share is split into words and permuted once, and repeats don't change a minimum
+            edited = [edited_end(texts[i], texts[i + 1], words) for i in own.tolist()]
+            named, codes, starts, rolled = rolled_words(batch.column(1), words)
+            before = shingles_of(named, codes, starts, rolled, words)
+            after = shingles_of(*rolled_words(pa.array([x[1] for x in edited], pa.large_binary()).cast(pa.large_string()), words), words)
             same = np.zeros(len(before), np.int64)
-            same[own] = [common_start(before[i], x) for i, x in zip(own.tolist(), after)]
+            same[own] = [size - x[2] if x[2] else 0 for x, size in zip(edited, np.diff(starts)[own].tolist())]
             alike = signatures([x[:k] for x, k in zip(before, same)], permutations)
             marks = np.minimum(alike, signatures([x[k:] for x, k in zip(before, same)], permutations))
-            changed = np.minimum(alike[own], signatures([x[k:] for x, k in zip(after, same[own])], permutations))
+            changed = np.minimum(alike[own], signatures(after, permutations))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0).take(pa.array(own)),
                 "n_chars": pa.array([len(texts[i]) for i in own.tolist()], pa.int64()),
-                "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
+                "edited_sha256": pa.array([hashlib.sha256(x[0]).hexdigest() for x in edited]),
                 "fingerprint": pa.array(text_of(marks[own])),
                 "edited_fingerprint": pa.array(text_of(changed)),
                 "near_edited": pa.array(likeness(marks[own], changed)),
@@ -179,7 +184,8 @@ def near_classes(docs: DataFrame, least: Fraction = Fraction(4, 5), words: int =
     """(doc_id, class_id) of the documents (doc_id, text) whose class is another's id."""
     scratch, result = Scratch(docs.sparkSession, "near-copies"), Scratch(docs.sparkSession, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    found, _ = near_groups(scratch, docs, least, words)
+    with letting_go(docs.sparkSession):
+        found, _ = near_groups(scratch, docs, least, words)
     classes = result.table(found.where("id != component").groupBy("id").agg(F.min("component").alias("class_id")).withColumnRenamed("id", "doc_id"), "classes")
     scratch.clear()
     return classes
@@ -188,6 +194,7 @@ def near_classes(docs: DataFrame, least: Fraction = Fraction(4, 5), words: int =
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     classes = near_classes(docs)
-    few = classes.count() <= MOST_BROADCAST
+    with letting_go(spark):
+        few = classes.count() <= MOST_BROADCAST
     marked = edited_fingerprints(docs).join(F.broadcast(classes) if few else classes, "doc_id", "left")
     return marked.withColumn("class_id", F.coalesce("class_id", "doc_id"))

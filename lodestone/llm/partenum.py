@@ -30,14 +30,13 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT, MIX, Scratch, documents, fresh, hot_parts, mix64, rolled_words, sets_of, shingle_sets, sliced, split_join
+from .common import HOT, MIX, Scratch, distinct, documents, fresh, hot_parts, letting_go, mix64, rolled_words, sets_of, shingle_sets, sliced, split_join
 
 #: Buckets with so many sets have their pairs of different components tried; larger ones are taken apart again.
 SEVERAL = 64
@@ -50,6 +49,8 @@ COUNTED = 256
 PARITY = 16
 #: So many ids (8 bytes each) may be sent to every executor; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Signatures are dealt into parts of some IN_PART, from arrays of DEALT and more; a set's size lies in no more than BANDS bands.
+IN_PART, DEALT, BANDS = 200_000, 1_000_000, 8
 #: Set digests that a task remembers, so that equal sets it meets are signed once.
 REMEMBERED = 500_000
 
@@ -72,35 +73,30 @@ def size_bands(threshold: Fraction, largest: int) -> list[tuple[int, int, int]]:
     return bands
 
 
-@lru_cache(maxsize=4096)
-def _tag(band: int) -> np.uint64:
-    with np.errstate(over="ignore"):
-        return mix64(np.array([band + 1], np.uint64) * MIX)[0]
-
-
 class Signer:
-    """All signatures of a set of keys in ascending order, over the bands that hold its size: the first keys, as many as a partner of the
-    band must hold one of."""
+    """The signatures of sets of keys in ascending order: the first keys, as many as a partner of some band must hold one of. A band that
+    holds a set's size takes the first of them, see lengths."""
 
     def __init__(self, threshold: Fraction):
         self.threshold, self.bands = threshold, size_bands(threshold, 4096)
+        self.known: dict[int, list[int]] = {}
+
+    def lengths(self, size: int) -> list[int]:
+        """[band, number of signatures, ...] of the bands that hold a size and another near enough to it."""
+        if size not in self.known:
+            if self.bands[-1][0] <= size:
+                self.bands = size_bands(self.threshold, 2 * size)
+            t, found = self.threshold, []
+            for j, (least, most, _) in enumerate(self.bands):
+                if least <= size <= most and differences(size, min(most, int(size / t)), t):  # else no other set of the band is that near
+                    smallest = max(least, -(-size * t.numerator // t.denominator))
+                    shared = -(-(size + smallest) * t.numerator // (t.numerator + t.denominator))
+                    found += [j, size - shared + 1]
+            self.known[size] = found
+        return self.known[size]
 
     def __call__(self, sets: list[np.ndarray]) -> list[np.ndarray]:
-        largest = max(map(len, sets), default=0)
-        if self.bands[-1][0] <= largest:
-            self.bands = size_bands(self.threshold, 2 * largest)
-        return [self.sign(own) for own in sets]
-
-    def sign(self, own: np.ndarray) -> np.ndarray:
-        t, size, found = self.threshold, len(own), [np.zeros(0, np.uint64)]
-        for j, (least, most, _) in enumerate(self.bands):
-            if least > size:
-                break
-            if size <= most and differences(size, min(most, int(size / t)), t):  # else no other set of the band is that near
-                smallest = max(least, -(-size * t.numerator // t.denominator))
-                shared = -(-(size + smallest) * t.numerator // (t.numerator + t.denominator))
-                found.append(mix64(own[: size - shared + 1] ^ _tag(j)))
-        return np.concatenate(found)
+        return [mix64(own[: max(self.lengths(len(own))[1::2], default=0)]) for own in sets]
 
 
 def classes_of(hashes: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -131,7 +127,7 @@ class Order:
         some = np.flatnonzero(self.maybe[(rolled & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
         rank[some] = np.maximum(rank[some], classes_of(rolled[some], self.common))
         ordered = (rank.astype(np.uint64) << np.uint64(56)) | (rolled >> np.uint64(8))
-        return [np.unique(ordered[starts[i] : starts[i + 1] - n + 1]) if starts[i + 1] - starts[i] >= n else sets[i] for i in wanted]
+        return [distinct(ordered[starts[i] : starts[i + 1] - n + 1]) if starts[i + 1] - starts[i] >= n else sets[i] for i in wanted]
 
 
 def sampled_order(scratch: Scratch, docs: DataFrame, words: int) -> Order:
@@ -211,7 +207,8 @@ def summaries(sets: list[np.ndarray]) -> dict[str, pa.Array]:
 
 
 def marked_sets(docs: DataFrame, words: int, threshold: Fraction, order: Order) -> DataFrame:
-    """(id, mark, n_shingles, high, low, bits, sigs) of documents (id, mark, text): one pass over the texts.
+    """(id, mark, n_shingles, high, low, bits, sigs, bands) of documents (id, mark, text): one pass over the texts. `bands` are a signed
+    set's Signer.lengths.
 
     Of equal sets that a task meets the first has signatures."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
@@ -227,14 +224,14 @@ def marked_sets(docs: DataFrame, words: int, threshold: Fraction, order: Order)
                 if len(sets[i]) and named[i] and key not in seen:
                     seen.add(key)
                     new.append(i)
-            signed = [np.zeros(0, np.uint64)] * len(sets)
+            signed, bands = [np.zeros(0, np.uint64)] * len(sets), [[]] * len(sets)
             for i, s in zip(new, sign(sent.value.keys(*parts, words, new, sets))):
-                signed[i] = s
+                signed[i], bands[i] = s, sign.lengths(len(sets[i]))
             if len(seen) > REMEMBERED:
                 seen.clear()
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "mark": batch.column(1), **out, "sigs": lists(signed)})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "mark": batch.column(1), **out, "sigs": lists(signed), "bands": pa.array(bands, pa.list_(pa.int32()))})
 
-    return docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, n_shingles long, high long, low long, bits array<long>, sigs array<long>")
+    return docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, n_shingles long, high long, low long, bits array<long>, sigs array<long>, bands array<int>")
 
 
 def set_arrays(docs: DataFrame, words: int) -> DataFrame:
@@ -248,23 +245,108 @@ def set_arrays(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, high long, items array<long>")
 
 
+def by_many(deal, column: str):
+    """For mapInArrow: gives `deal` tables of DEALT elements and more in a column of arrays, so that what is dealt into parts are few rows."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += len(batch.column(column).flatten())
+            if size >= DEALT:
+                yield deal(pa.Table.from_batches(held).combine_chunks())
+                held, size = [], 0
+        if held:
+            yield deal(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def dealt_out(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """(part, arrays of what each column has of it)."""
+    order = np.argsort(part, kind="stable")
+    there, starts = np.unique(part[order], return_index=True)
+    at = pa.array(np.concatenate([starts, [len(order)]]).astype(np.int32))
+    return pa.RecordBatch.from_pydict({"part": pa.array(there, pa.int32()), **{c: pa.ListArray.from_arrays(at, pa.array(x[order])) for c, x in columns.items()}})
+
+
+def flat(rows: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [np.asarray(rows[c].combine_chunks().flatten()) for c in columns]
+
+
+def by_signature(keys: np.ndarray, members: np.ndarray, codes: np.ndarray, hot: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(g, a) of the sets (members) that share a signature (keys) and a band with others, all those of hot signatures. A code has a band in
+    its upper bits and in the lower 8 which bands from there on."""
+    if not hot:
+        place = np.argsort(keys, kind="stable")
+        keys, members, codes = keys[place], members[place], codes[place]
+        same = keys[1:] == keys[:-1]
+        kept = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(keys) else place
+        keys, members, codes = keys[kept], members[kept], codes[kept]
+    several = [np.flatnonzero(codes >> k & 1) for k in range(BANDS)]
+    within = np.concatenate([keys[at].astype(np.uint32).astype(np.uint64) << np.uint64(32) | ((codes[at] >> BANDS) + k).astype(np.uint64) for k, at in enumerate(several)])
+    members = members[np.concatenate(several)]
+    if hot:
+        return mix64(within), members
+    place = np.lexsort((members, within))
+    within, members = within[place], members[place]
+    new = np.concatenate([[True], within[1:] != within[:-1]])[: len(within)]
+    other = np.flatnonzero(new | np.concatenate([[True], members[1:] != members[:-1]])[: len(within)])  # a set may be signed by several tasks
+    new, members = new[other], members[other]
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.concatenate([starts, [len(new)]]))
+    if not len(starts):
+        return within, members
+    with np.errstate(over="ignore"):
+        held = np.bitwise_xor.reduceat(mix64(members.view(np.uint64)), starts)
+        ends = [mix64(members[at].view(np.uint64) + np.uint64(k)) for k, at in ((1, starts), (2, starts + sizes - 1))]
+        groups = mix64(held + ends[0] * MIX + mix64(ends[1] + sizes.astype(np.uint64)))
+    first = np.zeros(len(groups), bool)
+    first[np.unique(groups, return_index=True)[1]] = True
+    kept = np.repeat(first & (sizes > 1), sizes)
+    return np.repeat(groups, sizes)[kept], members[kept]
+
+
 def buckets(scratch: Scratch, marked: DataFrame) -> DataFrame:
-    """(g, a): the sets that share a signature with others. Buckets with the same sets are one: g is a hash of what they hold.
-
-    Signatures that hold over 1 / 100,000 of all, as a sample shows, are at most so many and are sent to all tasks, so their buckets
-    aren't put together in one; the others are."""
-    signed = lambda rows: rows.select(F.explode("sigs").alias("sig"), F.col("high").alias("a"))
-    sample = signed(marked.where(F.pmod(F.xxhash64("high"), F.lit(16)) == 0))
-    total = marked.where(F.pmod(F.xxhash64("high"), F.lit(16)) == 0).agg(F.sum(F.size("sigs"))).first()[0] or 0
-    hot = scratch.table(sample.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > max(16, total // 100_000)).select("sig"), "hot")
-    some = not hot.isEmpty()
-    cold = signed(marked).join(F.broadcast(hot), "sig", "left_anti") if some else signed(marked)
-    bucket = Window.partitionBy("sig")
-    held = cold.withColumn("least", F.min("a").over(bucket)).withColumn("most", F.max("a").over(bucket)).withColumn("held", F.bit_xor(F.xxhash64("a")).over(bucket)).withColumn("n", F.count("*").over(bucket))
-    members = held.where("least < most").select(F.xxhash64("least", "most", "held", "n").alias("g"), "a")
-    if some:
-        members = members.union(signed(marked).join(F.broadcast(hot), "sig").select(F.col("sig").alias("g"), "a"))
-    return scratch.table(members.distinct(), "members")
+    """(g, a): the sets that share a signature and a band with others. Buckets with the same sets are one: g is a hash of what they hold.
+
+    Signatures are dealt into parts as arrays, 32 bits of each, and put together there in numpy: most are one set's alone. Two that are
+    equal in these bits make a bucket of sets that needn't have links. Signatures that hold over 1 / 100,000 of all, as a sample shows, are
+    sent to all tasks and dealt by their sets, so their buckets aren't put together in one."""
+    spark = marked.sparkSession
+    total = marked.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    sample = marked.where(F.pmod(F.xxhash64("high"), F.lit(16)) == 0).select(F.explode("sigs").alias("sig"))
+    often = sample.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > max(16, total // 100_000)).select("sig").toArrow()
+    sent = spark.sparkContext.broadcast(np.sort(np.asarray(often["sig"]).view(np.uint64)))
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // IN_PART))
+
+    def deal(rows: pa.Table):
+        hot = sent.value
+        high, sigs, bands = (rows[c].chunk(0) for c in ("high", "sigs", "bands"))
+        sizes = np.diff(np.asarray(sigs.offsets))
+        keys, owner = np.asarray(sigs.flatten()).view(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        each, pairs = np.diff(np.asarray(bands.offsets)) // 2, np.asarray(bands.flatten()).reshape(-1, 2)
+        at = np.cumsum(each) - each
+        code = np.repeat(pairs[at, 0] << BANDS, sizes)
+        for k in range(int(each.max(initial=0))):
+            band, length = pairs[np.minimum(at + k, len(pairs) - 1)].T
+            code |= (place < np.repeat(np.where(k < each, length, 0), sizes)).astype(np.int32) << np.repeat(np.where(k < each, band - pairs[at, 0], 0), sizes).astype(np.int32)
+        members = np.asarray(high)[owner]
+        part = (keys % np.uint64(parts)).astype(np.int32)
+        if len(hot):
+            found = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+            part = np.where(found, parts + (mix64(members.view(np.uint64)) % np.uint64(parts)).astype(np.int32), part)
+        short = (keys // np.uint64(parts)).astype(np.uint32).view(np.int32)
+        return dealt_out(part, {"keys": short, "members": members, "codes": code.astype(np.int32)})
+
+    def put_together(key, rows):
+        groups, members = by_signature(*flat(rows, "keys", "members", "codes"), key[0].as_py() >= parts)
+        return pa.table({"g": pa.array(groups.view(np.int64)), "a": pa.array(members)})
+
+    dealt = marked.where("size(bands) > 0").select("high", "sigs", "bands").mapInArrow(by_many(deal, "sigs"), "part int, keys array<int>, members array<long>, codes array<int>")
+    return scratch.table(dealt.groupBy("part").applyInArrow(put_together, "g long, a long").distinct(), "members")
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -364,11 +446,12 @@ class Linker:
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["low", "high"], "left_anti")
         pairs = self.scratch.table(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
+        n = pairs.count()
+        if not n:
             return
         tried = pairs.select(*both_ways)
         self.tried = tried if self.tried is None else self.tried.union(tried)
-        parts = hot_parts(counted(pairs, "b"), ["b"])
+        parts = hot_parts(counted(pairs, "b"), ["b"]) if n > HOT else None
         near = self.scratch.table(self.near_enough(pairs, parts), "near")
         if near.isEmpty():
             return
@@ -465,20 +548,64 @@ def around_centres(linker: Linker, named: DataFrame, by_size: bool) -> DataFrame
     scratch.drop(apart)
     linker.verify(ordered(around.where("a != m and e + least <= 0"), "a", "m"))
 
-    elements = around.select("g", "a", "size", "e", "least", F.size("ds").alias("k"), F.explode("ds").alias("d"))
-    often = scratch.table(counted(elements, "g", "d"), "often")
-    often_of = split_join(elements, often.withColumnRenamed("n", "often"), ["g", "d"], hot_parts(often, ["g", "d"]))
-    place = F.row_number().over(Window.partitionBy("g", "a").orderBy("often", "d"))
-    short = F.col("k") - F.greatest(F.lit(1), F.ceil(F.col("e") / unit)) + 1
-    long = F.col("k") - F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("least")) / (2 * unit))) + 1
-    # an element that one member alone has is shared with nobody, but it takes its place in the order
-    kept = often_of.withColumn("place", place).where((F.col("place") <= long) & (F.col("often") > 1))
-    short = (F.col("place") <= short).alias("short")
-    if not by_size:
-        return kept.select(F.xxhash64("g", "d").alias("g"), "a", short)
-    # sizes within the threshold of each other lie in one band or in two that follow each other
-    band = F.floor(F.log("size") / (math.log(1 / threshold) * (1 + 1e-9))).cast("int")  # a hair wider, for rounding
-    return kept.select("g", "d", "a", short, F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("g", "d", "band").alias("g"), "a", "short")
+    short = F.size("ds") - F.greatest(F.lit(1), F.ceil(F.col("e") / unit)) + 1
+    long = F.size("ds") - F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("least")) / (2 * unit))) + 1
+    limits = around.select("g", "a", F.col("size").cast("int"), short.cast("int").alias("short"), long.cast("int").alias("long"), "ds").where("size(ds) > 0")
+    return rarest(limits, 1 / threshold if by_size else None)
+
+
+def rarest(limits: DataFrame, growth: Fraction | None) -> DataFrame:
+    """(g, a, short) of members (g, a, size, short, long, ds) of groups: g stands for a group and an element that a member and another one
+    hold. Of a member's elements, in order from rare to frequent in its group, the first `long` count, and are marked if among the first
+    `short`. With `growth` g has a band of sizes too: sizes no further apart than that lie in one band or in two that follow each other.
+
+    Members' elements are dealt into parts as arrays to be counted, and those that several hold back to their members, so there is no
+    row for each."""
+    spark = limits.sparkSession
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(limits.agg(F.sum(F.size("ds"))).first()[0] or 0) // IN_PART))
+    part_of = lambda g, x: (mix64(mix64(g.view(np.uint64)) ^ x.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    ahead = ["alone", "size", "short", "long"]
+    kinds = {"g": "long", "a": "long", "d": "long"} | dict.fromkeys(["often", *ahead], "int")
+    arrays = lambda *names: ", ".join(["part int", *(f"{n} array<{kinds[n]}>" for n in names)])
+
+    def by_element(rows: pa.Table):
+        at = np.asarray(rows["ds"].chunk(0).offsets)
+        sizes = np.diff(at)
+        found = {n: np.repeat(np.asarray(rows[n]), sizes) for n in ("g", "a", "size", "short", "long")}
+        found |= {"alone": np.repeat(sizes, sizes), "d": np.asarray(rows["ds"].chunk(0).flatten())}
+        return dealt_out(part_of(found["g"], found["d"]), found)
+
+    def count(key, rows):
+        found = dict(zip(("g", "a", "d", *ahead), flat(rows, "g", "a", "d", *ahead)))
+        place = np.lexsort((found["d"], found["g"]))
+        g, d = found["g"][place], found["d"][place]
+        starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]))
+        sizes = np.diff(np.concatenate([starts, [len(g)]]))
+        kept = np.repeat(sizes > 1, sizes)
+        found = {n: x[place][kept] for n, x in found.items()} | {"often": np.repeat(sizes, sizes)[kept].astype(np.int32)}
+        return pa.Table.from_batches([dealt_out(part_of(found["g"], found["a"]), found)])
+
+    def choose(key, rows):
+        g, a, d, often, alone, size, short, long = flat(rows, "g", "a", "d", "often", *ahead)
+        order = np.lexsort((d, often, a, g))
+        g, a, d, alone, size, short, long = (x[order] for x in (g, a, d, alone, size, short, long))
+        starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] != a[:-1])]))
+        shared = np.diff(np.concatenate([starts, [len(g)]]))
+        # an element that one member alone has is shared with nobody, but it takes its place in the order, ahead of all others
+        place = np.arange(len(g)) - np.repeat(starts, shared) + alone - np.repeat(shared, shared) + 1
+        kept = place <= long
+        g, a, d, size, short = g[kept], a[kept], d[kept], size[kept], (place <= short)[kept]
+        with np.errstate(over="ignore"):
+            group = mix64(mix64(g.view(np.uint64)) + d.view(np.uint64) * MIX)
+            if growth is not None:
+                band = np.floor(np.log(size) / (math.log(growth) * (1 + 1e-9))).astype(np.int64)  # a hair wider, for rounding
+                group = np.concatenate([mix64(group + (band + k).astype(np.uint64) * MIX) for k in (0, 1)])
+                a, short = np.concatenate([a, a]), np.concatenate([short, short])
+        return pa.table({"g": pa.array(group.view(np.int64)), "a": pa.array(a), "short": pa.array(short)})
+
+    counted_ = limits.mapInArrow(by_many(by_element, "ds"), arrays("g", "a", "size", "short", "long", "alone", "d")).groupBy("part")
+    counted_ = counted_.applyInArrow(count, arrays("g", "a", "d", *ahead, "often"))
+    return counted_.groupBy("part").applyInArrow(choose, "g long, a long, short boolean")
 
 
 def link_all(linker: Linker, members: DataFrame) -> None:
@@ -530,7 +657,8 @@ def joined_groups(scratch: Scratch, docs: DataFrame, marked: DataFrame, words: i
     scratch.drop(marked)
     scratch.release()
     linker = Linker(scratch, docs, summary, words, threshold)
-    link_all(linker, members)
+    with letting_go(scratch.spark):
+        link_all(linker, members)
     roots = copies.select("key", "id", "n")
     parts = hot_parts(copies, ["key"])
     if linker.labels is None:

@@ -171,3 +171,51 @@ def test_sample_is_counted_whole(spark, tmp_path):
     named, codes, _, rolled = rolled_words(pa.array(["a b c d"]), 3)
     assert set(order.words[0].tolist()) == set(named.tolist()) and set(order.common[0].tolist()) == set(rolled.tolist())
     assert set(order.words[1].tolist()) == {int(4 * np.log2(40)) // 2} and set(order.common[1].tolist()) == {128 + int(4 * np.log2(40))}
+
+
+def test_signatures_of_overlapping_bands_are_made_once():
+    """A set in two bands has the signatures of the longer beginning; how many of them a band takes is beside them."""
+    for threshold, size in ((Fraction(4, 5), 180), (Fraction(9, 10), 350)):
+        sign = partenum.Signer(threshold)
+        found, lengths = sign([np.arange(size, dtype=np.uint64)])[0], sign.lengths(size)
+        holding = [j for j, (least, most, _) in enumerate(partenum.size_bands(threshold, 4096)) if least <= size <= most]
+        assert lengths[::2] == holding and len(holding) == 2
+        assert len(set(found.tolist())) == len(found) == max(lengths[1::2]) <= (1 - threshold) * size + 1
+
+
+def test_members_meet_by_signature_and_band():
+    keys = np.array([5, 5, 5, 5, 6, 7, 7, 7, 8, 8], np.int32)
+    members = np.array([1, 2, 3, 2, 1, 4, 5, 4, 1, 2], np.int64)
+    codes = np.array([3 << 8 | 1, 3 << 8 | 3, 4 << 8 | 1, 3 << 8 | 3, 3 << 8 | 3, 9 << 8 | 1, 10 << 8 | 1, 9 << 8 | 1, 3 << 8 | 1, 3 << 8 | 1], np.int32)
+    g, a = partenum.by_signature(keys, members, codes, False)
+    found = {}
+    for x, y in zip(g.tolist(), a.tolist()):
+        found.setdefault(x, set()).add(y)
+    assert sorted(map(sorted, found.values())) == [[1, 2], [2, 3]] and len(g) == 4  # 5 in bands 3 and 4; 8 has the same sets as 5 in band 3
+    g, a = partenum.by_signature(keys[:3], members[:3], codes[:3], True)
+    assert sorted(a.tolist()) == [1, 2, 2, 3] and len(set(g.tolist())) == 2
+    assert [len(x) for x in partenum.by_signature(keys[:0], members[:0], codes[:0], False)] == [0, 0]
+
+
+@pytest.mark.parametrize("growth", [None, Fraction(5, 4)])
+def test_rarest_elements_of_members(spark, growth):
+    """Against plain Python; members' elements are no rows, in no join."""
+    import math
+
+    rng = random.Random(4)
+    rows = [(g, a, 50 + a % 7 * 10, s := rng.randrange(0, 12), s + rng.randrange(0, 12), sorted(rng.sample(range(60), rng.randrange(0, 25)))) for g in (1, 2) for a in range(30)]
+    found = partenum.rarest(spark.createDataFrame(rows, "g long, a long, size int, short int, long int, ds array<long>").where("size(ds) > 0"), growth)
+    expected = {}
+    for g, a, size, short, long, ds in rows:
+        often = {d: sum(d in r[5] for r in rows if r[0] == g) for d in ds}
+        for place, d in enumerate(sorted(ds, key=lambda d: (often[d], d)), 1):
+            if often[d] > 1 and place <= long:
+                band = math.floor(math.log(size) / (math.log(growth) * (1 + 1e-9))) if growth else 0
+                for b in (band, band + 1) if growth else (0,):
+                    expected.setdefault((g, d, b), set()).add((a, place <= short))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.g, set()).add((r.a, r.short))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan

@@ -199,6 +199,27 @@ def test_edited_texts_and_likeness(spark):
     assert fingerprints.edited_fingerprints(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("white", [" ", "\n \t", "\x0b", "\x1c ", "\xa0 "])
+def test_end_of_an_edited_text_holds_its_other_shingles(white):
+    """Only the end of an edited text is split into words; what comes before is the text's own."""
+    import pyarrow as pa
+
+    from lodestone.llm.common import rolled_words, shingle_sets, shingles_of
+
+    rng = random.Random(6)
+    text = lambda n: white * rng.randrange(2) + white.join("".join(rng.choice("abé日") for _ in range(rng.randrange(1, 9))) for _ in range(n)) + white * rng.randrange(2)
+    for n in (0, 1, 4, 5, 6, 7, 8, 9, 30, 200):
+        own, following = text(n), text(rng.randrange(0, 60))
+        cut = len(own) - len(own) // 4
+        whole, end, size = fingerprints.edited_end(own, following, 5)
+        assert whole.decode() == own[:cut] + following[: len(own) // 4] and whole.endswith(end)
+        named, codes, starts, rolled = rolled_words(pa.array([own]), 5)
+        before, after = (shingles_of(*x, 5)[0].tolist() for x in ((named, codes, starts, rolled), rolled_words(pa.array([end.decode()]), 5)))
+        kept = before[: int(starts[1]) - size] if size else []
+        assert {*kept, *after} == set(shingle_sets(pa.array([whole.decode()]), 5)[0].tolist())
+        assert n < 30 or len(after) < len(before) / 2
+
+
 def test_fingerprints_equal_plain_minhash(spark):
     import xxhash
 
